@@ -1 +1,148 @@
-"""Named queries."""
+"""Named queries: facts matched to items and laid over snapshots."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import facts
+from .registry import query
+
+_ITEMS = "f_customers"
+
+
+def _facts(t):
+    return t["f_facts"].withColumn("component", F.lit("generators"))
+
+
+def _all_facts(t):
+    return _facts(t).unionByName(t["f_named_facts"], allowMissingColumns=True)
+
+
+_NATIONAL = """national AS (SELECT c.name, f.snapshot, f.value FROM f_facts f JOIN f_customers c ON f.carrier = c.carrier
+                            WHERE f.aggregation = 'national' AND f.region = 'ALL')"""
+_PROVINCE = """prov AS (SELECT c.name, f.snapshot, f.value FROM f_facts f
+                        JOIN f_customers c ON f.carrier = c.carrier AND f.region = c.province WHERE f.aggregation = 'province')"""
+
+
+@query("match_national", f", {_NATIONAL} SELECT name, snapshot, round(value, 2) AS value FROM national", "f_facts f_customers", digits=2)
+def _match_national(t):
+    return facts.match_national(_facts(t), t[_ITEMS], "ALL").select("name", "snapshot", "value")
+
+
+@query("match_province", f", {_PROVINCE} SELECT name, snapshot, round(value, 2) AS value FROM prov", "f_facts f_customers", digits=2)
+def _match_province(t):
+    return facts.match_province(_facts(t), t[_ITEMS]).select("name", "snapshot", "value")
+
+
+@query(
+    "match_generator_fallback",
+    """
+    , named AS (SELECT c.name, f.snapshot, f.value FROM f_named_facts f JOIN f_customers c ON f.carrier = c.carrier AND f.name = c.name),
+    rest AS (SELECT c.name, f.snapshot, f.value FROM f_named_facts f JOIN f_customers c ON f.carrier = c.carrier AND f.region = c.province
+             WHERE c.name NOT IN (SELECT name FROM named))
+    SELECT name, snapshot, count(*) AS n, round(max(value), 2) AS value
+    FROM (SELECT * FROM named UNION ALL SELECT * FROM rest) GROUP BY name, snapshot
+    """,
+    "f_named_facts f_customers",
+    digits=2,
+)
+def _match_generator_fallback(t):
+    rows = facts.match_generator(t["f_named_facts"], t[_ITEMS])
+    return rows.groupBy("name", "snapshot").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"))
+
+
+@query(
+    "last_level_wins",
+    f", {_PROVINCE} SELECT name, snapshot, round(value, 2) AS value, 'province' AS aggregation FROM prov",
+    "f_facts f_customers",
+    digits=2,
+)
+def _last_level_wins(t):
+    return facts.matched(_all_facts(t), t[_ITEMS], "ALL").select("name", "snapshot", "value", "aggregation")
+
+
+@query(
+    "closest_level_wins",
+    f""", {_NATIONAL}, {_PROVINCE}
+    SELECT name, snapshot, round(value, 2) AS value, 'province' AS aggregation FROM prov
+    UNION ALL SELECT name, snapshot, round(value, 2), 'national' FROM national WHERE name NOT IN (SELECT name FROM prov)
+    """,
+    "f_facts f_customers",
+    digits=2,
+)
+def _closest_level_wins(t):
+    return facts.matched(_facts(t), t[_ITEMS], "ALL", mode="merge").select("name", "snapshot", "value", "aggregation")
+
+
+@query(
+    "duplicate_facts",
+    """
+    , named AS (SELECT c.name, f.snapshot FROM f_named_facts f JOIN f_customers c ON f.carrier = c.carrier AND f.name = c.name),
+    rest AS (SELECT c.name, f.snapshot FROM f_named_facts f JOIN f_customers c ON f.carrier = c.carrier AND f.region = c.province
+             WHERE c.name NOT IN (SELECT name FROM named))
+    SELECT name, snapshot AS period, count(*) AS n FROM (SELECT * FROM named UNION ALL SELECT * FROM rest)
+    GROUP BY name, snapshot HAVING count(*) > 1
+    """,
+    "f_named_facts f_customers",
+)
+def _duplicate_facts(t):
+    rows = facts.match_generator(t["f_named_facts"], t[_ITEMS])
+    return facts.duplicate_facts(rows).select("name", "period", "n")
+
+
+@query(
+    "apply_monthly",
+    f""", {_PROVINCE},
+    days AS (SELECT snapshot FROM f_months WHERE year(snapshot) >= 1996 AND year(snapshot) < 1998),
+    grid AS (SELECT DISTINCT p.name, d.m FROM prov p, (SELECT DISTINCT date_trunc('month', snapshot) AS m FROM days) d),
+    filled AS (SELECT g.name, g.m, last_value(p.value IGNORE NULLS) OVER (PARTITION BY g.name ORDER BY g.m
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+               FROM grid g LEFT JOIN prov p ON g.name = p.name AND g.m = p.snapshot AND month(p.snapshot) % 3 <> 1)
+    SELECT f.name, d.snapshot, round(f.value, 2) AS value FROM filled f JOIN days d ON date_trunc('month', d.snapshot) = f.m
+    """,
+    "f_facts f_customers f_months",
+    digits=2,
+)
+def _apply_monthly(t):
+    # Every third month has no facts, so values are carried over gaps and the first month stays open.
+    days = t["f_months"].where((F.year("snapshot") >= 1996) & (F.year("snapshot") < 1998))
+    rows = facts.matched(_facts(t), t[_ITEMS], "ALL").withColumn("value", F.when(F.month("snapshot") % 3 != 1, F.col("value")))
+    return facts.lay_monthly(rows, days).select("name", "snapshot", "value")
+
+
+@query(
+    "apply_snapshot",
+    """
+    , days AS (SELECT snapshot FROM f_months WHERE year(snapshot) = 1997),
+    daily AS (SELECT snapshot, value FROM f_daily WHERE month(snapshot) % 2 = 0)
+    SELECT c.name, d.snapshot, round(x.value, 2) AS value FROM (SELECT name FROM f_customers WHERE carrier = 'c1') c, days d
+    LEFT JOIN daily x ON d.snapshot = x.snapshot
+    """,
+    "f_months f_daily f_customers",
+    digits=2,
+)
+def _apply_snapshot(t):
+    days = t["f_months"].where(F.year("snapshot") == 1997)
+    daily = t["f_daily"].where(F.month("snapshot") % 2 == 0).select(
+        F.lit("generators").alias("components"), F.lit("p_max_pu").alias("attribute"), F.lit("c1").alias("carrier"),
+        F.lit("ALL").alias("region"), F.lit("national").alias("aggregation"), F.lit(True).alias("status"), "snapshot", "value",
+    )
+    out, _ = facts.apply_facts(None, daily, t[_ITEMS], days, "ALL", monthly=False)
+    return out.select("name", "snapshot", "value")
+
+
+@query(
+    "replace_attributes",
+    """
+    SELECT component, attribute, name, snapshot, round(value, 6) AS value FROM f_network_series
+    WHERE NOT (component = 'loads' AND attribute = 'p_set')
+    UNION ALL SELECT 'loads', 'p_set', name, snapshot, round(value, 6) FROM f_series WHERE value > 60
+    """,
+    "f_network_series f_series",
+    digits=6,
+)
+def _replace_attributes(t):
+    new = t["f_series"].where("value > 60").select(
+        F.lit("loads").alias("component"), F.lit("p_set").alias("attribute"), "name", "snapshot", "value"
+    )
+    return facts.replace_attributes(t["f_network_series"], new)

@@ -167,11 +167,12 @@ _MEMBERS = "SELECT name, carrier || '_' || province AS new_name FROM f_items"
     f"""
     , members AS ({_MEMBERS})
     SELECT 'generators' AS component, attribute, new_name AS name, snapshot,
-           round(CASE attribute WHEN 'p' THEN sum(value) WHEN 'fuel_cost' THEN max(value) ELSE avg(value) END, 4) AS value
+           round(CASE attribute WHEN 'p' THEN sum(value) WHEN 'fuel_cost' THEN max(value) ELSE avg(value) END, 8) AS value
     FROM f_network_series JOIN members USING (name)
     WHERE component = 'generators' GROUP BY attribute, new_name, snapshot
     """,
     "f_network_series f_items",
+    digits=8,
 )
 def _agg_generator_series(t):
     members = rollup.membership(t["f_items"], "province")

@@ -183,7 +183,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """
         SELECT p_type AS carrier, CASE WHEN p_type <> 'SMALL' THEN round(avg(p_size) / 50, 3) END AS p_min_pu,
-               round(max(p_retailprice) / 100, 2) AS ramp_limit_up, CAST(2.7 AS DOUBLE) AS min_up_time,
+               max(p_retailprice) AS ramp_limit_up, CAST(2.7 AS DOUBLE) AS min_up_time,
                CASE WHEN p_type < 'M' THEN CAST(0.8 AS DOUBLE) END AS max_cf, CAST(NULL AS DOUBLE) AS min_cf
         FROM part WHERE p_type <> 'PROMO' GROUP BY p_type
         UNION ALL
