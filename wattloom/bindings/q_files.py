@@ -1 +1,210 @@
-"""Named queries."""
+"""Named queries: file formats, written from the given tables to shared scratch space and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..model import ROW_ID
+from ..sources import settings, tables
+from .registry import query
+from .views import Tables
+
+
+def _csv(df, path: str, encoding: str = "UTF-8"):
+    spark = df.sparkSession
+    flag = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(flag, "false")
+    spark.conf.set(flag, "true")
+    try:
+        df.write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
+    finally:
+        spark.conf.set(flag, before)
+    return path
+
+
+def _folder(t: Tables) -> str:
+    folder = t.scratch("network")
+    _csv(t["f_buses"].drop(ROW_ID, "grp"), f"{folder}/buses.csv")
+    _csv(t["f_generators"].select("name", "bus", "carrier", "province", "p_nom", "build_year", "cc_group"), f"{folder}/generators.csv")
+    wide = t["f_series"].where(F.col("name").isin("u1", "u2")).groupBy("snapshot").pivot("name", ["u1", "u2"]).agg(F.max("value"))
+    _csv(wide.withColumn("snapshot", F.date_format("snapshot", "dd/MM/yyyy HH:mm")), f"{folder}/loads-p_set.csv")
+    return folder
+
+
+@query(
+    "scan_network",
+    """
+    SELECT name, bus, carrier, province, round(p_nom, 4) AS p_nom, CAST(build_year AS BIGINT) AS build_year, cc_group FROM f_generators
+    """,
+    "f_generators",
+)
+def _scan_network(t):
+    return tables.read_network(t.spark, _folder(t))["generators"].drop(ROW_ID)
+
+
+@query(
+    "scan_network_series",
+    """
+    , w AS (SELECT snapshot, n.name FROM (SELECT DISTINCT snapshot FROM f_series WHERE name IN ('u1', 'u2')) s, (VALUES ('u1'), ('u2')) n(name))
+    SELECT 'loads' AS component, 'p_set' AS attribute, w.name, w.snapshot, round(f.value, 4) AS value
+    FROM w LEFT JOIN f_series f ON w.name = f.name AND w.snapshot = f.snapshot
+    """,
+    "f_series",
+)
+def _scan_network_series(t):
+    return tables.read_network(t.spark, _folder(t)).series
+
+
+def _fact_file(t: Tables, label: str, view: str) -> str:
+    rows = t[view].withColumn("snapshot", F.date_format("snapshot", "dd/MM/yyyy HH:mm"))
+    return _csv(rows, f"{t.scratch(label)}/facts.csv")
+
+
+@query(
+    "scan_monthly",
+    """
+    SELECT make_timestamp(2024, month(snapshot), 1, 0, 0, 0) AS snapshot, carrier, region, aggregation, attribute, round(value, 2) AS value
+    FROM f_facts WHERE year(snapshot) = 1997
+    """,
+    "f_facts",
+    digits=2,
+)
+def _scan_monthly(t):
+    good, _ = tables.read_monthly(t.spark, _fact_file(t, "monthly", "f_facts"), 1997, 2024)
+    return good.drop(ROW_ID)
+
+
+@query(
+    "scan_monthly_rejects",
+    "SELECT count(*) AS n FROM f_daily WHERE month(snapshot) = 2 AND day(snapshot) = 29 AND year(snapshot) = 1996",
+    "f_daily",
+)
+def _scan_monthly_rejects(t):
+    _, bad = tables.read_monthly(t.spark, _fact_file(t, "rejects", "f_daily"), 1996, 2023)
+    return bad.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "scan_snapshot",
+    """
+    SELECT make_timestamp(2024, month(snapshot), day(snapshot), 0, 0, 0) AS snapshot, name, round(value, 2) AS value FROM f_daily
+    WHERE year(snapshot) = 1998
+    UNION ALL
+    SELECT make_timestamp(2024, 2, 29, 0, 0, 0), name, round(value, 2) FROM f_daily
+    WHERE year(snapshot) = 1998 AND month(snapshot) = 2 AND day(snapshot) = 28
+    """,
+    "f_daily",
+    digits=2,
+)
+def _scan_snapshot(t):
+    good, _ = tables.read_hourly(t.spark, _fact_file(t, "hourly", "f_daily"), 1998, 2024)
+    return good.drop(ROW_ID)
+
+
+@query(
+    "scan_encoded_csv",
+    "SELECT name, '울산 ' || province AS province, round(p_nom, 4) AS p_nom FROM f_generators",
+    "f_generators",
+)
+def _scan_encoded_csv(t):
+    rows = t["f_generators"].select("name", F.concat(F.lit("울산 "), "province").alias("province"), "p_nom")
+    path = _csv(rows, f"{t.scratch('encoded')}/units.csv", "MS949")
+    return tables.read_encoded_csv(t.spark, path, "cp949").drop(ROW_ID)
+
+
+@query("transcode_files", "SELECT CAST(count(*) AS BIGINT) AS lines, true AS ok FROM customer")
+def _transcode_files(t):
+    rows = t["customer"].select("c_custkey", F.concat(F.lit("부산 "), "c_name").alias("c_name"))
+    path = _csv(rows.repartition(4, "c_custkey"), t.scratch("transcode"), "EUC-KR")
+    out = tables.transcode_files(t.spark, path)
+    # One line per row and one header per file.
+    lines = F.size(F.split("content", "\n")) - 2
+    return out.groupBy("ok").agg(F.sum(F.when(F.contains("content", F.lit("부산")), lines)).cast("bigint").alias("lines"))
+
+
+@query(
+    "csv_dir_to_tables",
+    """
+    SELECT 'nations' AS "table", count(*) AS rows, CAST(3 AS BIGINT) AS cols FROM nation
+    UNION ALL SELECT 'customers', count(*), CAST(2 AS BIGINT) FROM customer
+    """,
+)
+def _csv_dir_to_tables(t):
+    folder = t.scratch("csvdir")
+    for name, df in (("nations", t["nation"]), ("customers", t["customer"].select("c_custkey", "c_name"))):
+        _single(df, folder, name)
+    return tables.csv_dir_to_tables(t.spark, folder, t.scratch("converted"))
+
+
+def _single(df, folder: str, name: str) -> None:
+    """A table as one plain file `<name>.csv`, as such folders hold them."""
+    part = _csv(df.coalesce(1), f"{folder}/parts/{name}")
+    spark = df.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(fs_path(part)):
+        if status.getPath().getName().endswith(".csv"):
+            fs.rename(status.getPath(), fs_path(f"{folder}/{name}.csv"))
+
+
+@query("write_table", "SELECT name, province, round(p_nom, 4) AS p_nom FROM f_generators", "f_generators")
+def _write_table(t):
+    path = t.scratch("sink")
+    tables.write_table(t["f_generators"].select("name", "province", "p_nom"), path)
+    return t.spark.read.parquet(path)
+
+
+@query(
+    "write_series",
+    "SELECT component, attribute, name, snapshot, round(value, 6) AS value FROM f_network_series WHERE component = 'links' AND attribute = 'p0'",
+    "f_network_series",
+    digits=6,
+)
+def _write_series(t):
+    path = t.scratch("series")
+    tables.write_series(t["f_network_series"], path)
+    return tables.read_series(t.spark, path).where("component = 'links' AND attribute = 'p0'")
+
+
+@query(
+    "load_rules",
+    """
+    SELECT p_type AS attribute, CASE WHEN p_type < 'M' THEN 'sum' ELSE 'mean' END AS rule FROM part WHERE p_type <> 'SMALL' GROUP BY p_type
+    """,
+)
+def _load_rules(t):
+    rules = t["part"].groupBy(F.col("p_type").alias("attribute")).agg(
+        F.when(F.max("p_type") == "SMALL", F.lit(None)).when(F.max("p_type") < "M", "sum").otherwise("mean").alias("rule")
+    )
+    path = _csv(rules, f"{t.scratch('rules')}/rules.csv")
+    found = settings.rules_dict(tables.read_csv(t.spark, path))
+    return t.spark.createDataFrame(sorted(found.items()), "attribute string, rule string")
+
+
+@query(
+    "load_carrier_attrs",
+    """
+    SELECT carrier, p_min_pu, ramp_limit_up, min_up_time, max_cf, min_cf FROM f_carrier_attrs
+    """,
+    "f_carrier_attrs",
+)
+def _load_carrier_attrs(t):
+    path = _csv(t["f_carrier_attrs"].withColumnRenamed("carrier", "carriers"), f"{t.scratch('attrs')}/attrs.csv")
+    return settings.carrier_attributes(tables.read_csv(t.spark, path, infer=False))
+
+
+@query(
+    "load_region_map",
+    "SELECT official AS k, short FROM f_region_map UNION SELECT short, short FROM f_region_map",
+    "f_region_map",
+)
+def _load_region_map(t):
+    path = _csv(t["f_region_map"].select("short", "official"), f"{t.scratch('regions')}/map.csv")
+    return settings.read_region_map(t.spark, path)
+
+
+@query("load_demand", "SELECT province, round(demand, 2) AS demand FROM f_demand", "f_demand", digits=2)
+def _load_demand(t):
+    total = t["f_demand"].agg(F.lit("합계").alias("province"), F.sum("demand").alias("demand"))
+    path = _csv(t["f_demand"].unionByName(total), f"{t.scratch('demand')}/demand.csv")
+    return settings.demand_table(tables.read_csv(t.spark, path)).drop(ROW_ID)

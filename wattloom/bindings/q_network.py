@@ -21,10 +21,11 @@ _REG = "reg AS (SELECT name AS bus, coalesce(short, province) AS region FROM f_b
 @query(
     "agg_buses",
     f""", {_REG}
-    SELECT region AS name, region AS province, round(avg(x), 4) AS x, round(avg(y), 4) AS y, max(v_nom) AS v_nom,
+    SELECT region AS name, region AS province, round(avg(x), 9) AS x, round(avg(y), 9) AS y, max(v_nom) AS v_nom,
            'AC' AS carrier, 'KR' AS country FROM f_buses JOIN reg ON name = bus GROUP BY region
     """,
     "f_buses f_region_map",
+    digits=9,
 )
 def _agg_buses(t):
     return topology.aggregate_buses(t["f_buses"], _regions(t)).drop(ROW_ID)
@@ -55,11 +56,11 @@ _FIRST = "arg_min({c}, row_id)"
           FROM placed GROUP BY region0, region1, v_nom)
     SELECT concat_ws('_', 'line', region0, region1, row_number() OVER (ORDER BY region0, region1, v_nom) - 1) AS name,
            region0 AS bus0, region1 AS bus1, v_nom, round(num_parallel, 4) AS num_parallel, round(s_nom, 4) AS s_nom,
-           round(r, 5) AS r, round(x, 5) AS x, round(b, 5) AS b, round(length, 4) AS length
+           round(r, 9) AS r, round(x, 9) AS x, round(b, 9) AS b, round(length, 4) AS length
     FROM g
     """,
     "f_buses f_region_map f_lines",
-    digits=5,
+    digits=9,
 )
 def _agg_lines(t):
     out = topology.aggregate_lines(t["f_lines"], _regions(t)).drop(ROW_ID)

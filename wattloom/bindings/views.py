@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..model import ROW_ID
@@ -292,7 +294,7 @@ def needed(names: tuple[str, ...]) -> list[str]:
 def with_views(names: tuple[str, ...], body: str) -> str:
     """SQL text with the views as common table expressions."""
     parts = [f"{name} AS ({VIEWS[name][1].strip()})" for name in needed(names)]
-    return f"WITH {', '.join(parts)} {body.strip()}" if parts else body.strip()
+    return f"WITH RECURSIVE {', '.join(parts)} {body.strip()}" if parts else body.strip()
 
 
 class Tables:
@@ -312,9 +314,10 @@ class Tables:
         if name in BASE:
             return self.base(name)
         if name not in self._cache:
-            for table in BASE:
+            text = with_views((name,), f"SELECT * FROM {name}")
+            for table in set(re.findall(r"\w+", text)) & set(BASE):
                 self.base(table).createOrReplaceTempView(table)
-            df = self.spark.sql(with_views((name,), f"SELECT * FROM {name}"))
+            df = self.spark.sql(text)
             stamps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)]
             df = df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in stamps}) if stamps else df
             self._cache[name] = df.withColumnRenamed("row_id", ROW_ID)

@@ -118,7 +118,9 @@ def fill_recent(
     else:
         trim = exclude_outliers if how == "mean" else 0
         usual, hot = split_by_size(rows, names, list_rows)
-        fills = _window_lists(usual, names, half, how, trim).unionByName(_window_ranks(hot, names, half, how, trim))
+        fills = _window_lists(usual, names, half, how, trim)
+        if hot is not None:
+            fills = fills.unionByName(_window_ranks(hot, names, half, how, trim))
     if keys:
         return _with_fill(df, target, [*keys, year], fills.withColumnRenamed("_year", year), non_negative)
     return _with_fill(df, target, [year], fills.select(F.col("_year").alias(year), "_fill"), non_negative)

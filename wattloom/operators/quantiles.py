@@ -99,10 +99,17 @@ def _holding(
     return placed.join(state, on & (F.col("k") >= F.col("_before")) & (F.col("k") < F.col("_before") + F.col("_c")))
 
 
-def split_by_size(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary groups and rows of hot groups."""
+def split_by_size(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary groups, and rows of hot groups or None.
+
+    Looks for hot groups right away, with a partially aggregated count of the keys: most data have none,
+    and their plan should not carry the other branch.
+    """
     hot = hot_groups(df, keys, hot_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys])
+    if hot.isEmpty():
+        return df, None
     on = same_keys([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys])
+    # Bounded by construction (see hot_groups), hence the hints.
     return df.join(F.broadcast(hot), on, "left_anti"), df.join(F.broadcast(hot), on, "left_semi")
 
 
@@ -111,10 +118,9 @@ def medians(df: DataFrame, keys: Sequence[str], value: str, alias: str, hot_rows
     known = df.where(F.col(value).isNotNull()).select(*keys, value)
     usual, hot = split_by_size(known, keys, hot_rows)
     small = usual.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias(alias))
+    if hot is None:
+        return small
     n = F.col("n")
     picked = order_statistics(hot, keys, value, {"_m0": F.floor((n - 1) / 2), "_m1": F.floor(n / 2)})
     # Halves first, so that the midpoint of two huge numbers stays finite.
-    large = picked.select(
-        *keys, F.when(F.col("_m0") == F.col("_m1"), F.col("_m0")).otherwise(F.col("_m0") / 2 + F.col("_m1") / 2).alias(alias)
-    )
-    return small.unionByName(large)
+    return small.unionByName(picked.select(*keys, (F.col("_m0") / 2 + F.col("_m1") / 2).alias(alias)))
