@@ -156,7 +156,7 @@ def _facility_rollup(t):
 )
 def _first_max_row(t):
     led = t["f_generators"].groupBy("province").agg(leader_row(["name", "p_nom"]).alias("l"))
-    return led.select("province", "l.name", "l.p_nom")
+    return led.select("province", "l.*")
 
 
 _MEMBERS = "SELECT name, carrier || '_' || province AS new_name FROM f_items"

@@ -31,8 +31,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """
         SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
                  || '-' || CAST(l_suppkey AS STRING) AS name,
-               CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
-                 || '-' || CAST(l_suppkey AS STRING) AS row_id,
+               ((CAST(l_orderkey AS DECIMAL(38, 0)) * 10 + l_linenumber) * 1000000000000 + l_partkey) * 1000000000000
+                 + l_suppkey AS row_id,
                'b' || CAST(l_suppkey AS STRING) AS bus, p_type AS carrier, n_name AS province, r_name AS grp,
                l_quantity AS p_nom, 1.0 - l_discount AS efficiency, l_tax AS marginal_cost,
                CAST(year(l_shipdate) AS INT) AS build_year,
@@ -49,8 +49,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """
         SELECT 'l-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-'
                  || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS name,
-               'l-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-'
-                 || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS row_id,
+               ((CAST(l_orderkey AS DECIMAL(38, 0)) * 10 + l_linenumber) * 1000000000000 + l_partkey) * 1000000000000
+                 + l_suppkey AS row_id,
                'b' || CAST(l_suppkey AS STRING) AS bus0, 'b' || CAST(l_partkey % 10 AS STRING) AS bus1,
                CAST(CASE l_linenumber % 3 WHEN 0 THEN 154 WHEN 1 THEN 345 ELSE 765 END AS DOUBLE) AS v_nom,
                CAST(l_linenumber AS DOUBLE) AS num_parallel, l_extendedprice AS s_nom,

@@ -33,7 +33,7 @@ def lookup(rules: Mapping[str, object], column: str, default: str) -> object:
 def leader_row(columns: Iterable[str], weight: str = "p_nom") -> Column:
     """The wanted columns of the row with the largest weight, first in file order on ties.
 
-    One struct for all columns: a single aggregation buffer instead of one per column.
+    One struct for all columns: a single aggregation buffer and a single pass, however many are wanted.
     """
     wanted = F.struct(*[F.col(c).alias(c) for c in columns])
     return F.min_by(wanted, F.struct(F.col(weight).isNull(), -F.col(weight), F.col(ROW_ID)))

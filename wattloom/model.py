@@ -147,3 +147,12 @@ def total(column: Column | str) -> Column:
 def scalar(df: DataFrame, expr: Column) -> Column:
     """One aggregate of a whole table as a scalar subquery: no join, and no action at plan time."""
     return df.agg(expr.alias("_scalar")).scalar()
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition rows that are about to multiply.
+
+    AQE sizes partitions by what goes into them; rows that each unfold to many need the full parallelism.
+    A fixed number of partitions is one AQE leaves alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.temporal import month_start
-from ..model import SERIES_COLUMNS
+from ..model import SERIES_COLUMNS, spread
 from .columns import active_only
 from .scans import filled
 
@@ -66,17 +66,14 @@ def matched(facts: DataFrame, items: DataFrame, national_region: str, mode: str
     columns = ["component", "attribute", "name", "snapshot", "value", "aggregation"]
     rows = reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
     keys = ["component", "attribute"] if mode == "replace" else ["component", "attribute", "name"]
-    rank = F.col("aggregation") if mode == "replace" else _merge_rank()
+    order = {level: i for i, level in enumerate(LEVELS)} if mode == "replace" else MERGE_PRIORITY
+    rank = F.lit(-1)
+    for level, place in order.items():
+        rank = F.when(F.col("aggregation") == level, F.lit(place)).otherwise(rank)
+    rows = rows.withColumn("_rank", rank)
     # The winner per key is a small aggregate, joined back; no window over the facts.
-    best = rows.groupBy(*keys).agg(F.max_by("aggregation", rank).alias("_level"))
-    return rows.join(best, keys).where(F.col("aggregation") == F.col("_level")).select(*columns)
-
-
-def _merge_rank():
-    expr = F.lit(0)
-    for level, rank in MERGE_PRIORITY.items():
-        expr = F.when(F.col("aggregation") == level, F.lit(rank)).otherwise(expr)
-    return expr
+    best = rows.groupBy(*keys).agg(F.max("_rank").alias("_best"))
+    return rows.join(best, keys).where(F.col("_rank") == F.col("_best")).select(*columns)
 
 
 def normalized_facts(facts: DataFrame) -> DataFrame:
@@ -123,7 +120,7 @@ def lay_monthly(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
     placed = grid.join(values, [*keys, "period"], "left")
     number = F.year("period") * 12 + F.month("period")
     return (
-        filled(placed, keys, "period", "value", position=number)
+        spread(filled(placed, keys, "period", "value", position=number), *keys, "period")
         .join(months, "period")
         .select(*keys, F.explode("_at").alias("snapshot"), "value")
         .select(*SERIES_COLUMNS)
@@ -137,8 +134,7 @@ def lay_hourly(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
     days = snapshots.groupBy(F.to_date("snapshot").alias("_day")).agg(F.collect_list("snapshot").alias("_at"))
     calendar = days.agg(F.collect_list("_day").alias("d")).scalar()
     grid = (
-        rows.select(*keys)
-        .distinct()
+        spread(rows.select(*keys).distinct(), *keys)
         .withColumn("_day", F.explode(calendar))
         .join(days, "_day")
         .select(*keys, F.explode("_at").alias("period"))

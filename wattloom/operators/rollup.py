@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
-from ..functions.rules import LEADER, SERIES_RULES, finish, leader_row, plan_rules
+from ..functions.rules import LEADER, SERIES_RULES, finish, plan_rules
 from ..model import ROW_ID, total
 
 _HIDDEN = (ROW_ID, "name")
@@ -19,8 +19,8 @@ _HIDDEN = (ROW_ID, "name")
 def merge_cc(units: DataFrame, rules: Mapping[str, object], defaults: Mapping[str, object] | None = None) -> DataFrame:
     """Units that share a `cc_group` with another one become one row; all others stay as they are.
 
-    One partially aggregated shuffle finds and merges the groups; the rest is told apart by joining the
-    merged groups back, which are few compared with the units.
+    Groups are found and merged by partially aggregated sums and extremes; the rest is told apart by
+    joining the merged groups back.
     """
     if "cc_group" not in units.columns or not rules:
         return units
@@ -70,14 +70,14 @@ def merge_cc_simple(units: DataFrame) -> DataFrame:
     """Every `cc_group` becomes one row: its first unit named with `GT` (else its first), capacities added."""
     if "cc_group" not in units.columns:
         return units
-    columns = [c for c in units.columns if c not in (ROW_ID, "name", "p_nom", "cc_group")]
-    template = F.struct(*columns, ROW_ID)
-    is_gt = F.coalesce(F.contains(F.col("name"), F.lit("GT")), F.lit(False))
+    columns = [c for c in units.columns if c not in ("name", "p_nom", "cc_group")]
+    turbine = F.coalesce(F.contains(F.col("name"), F.lit("GT")), F.lit(False))
+    template = F.min_by(F.struct(*columns), F.struct(~turbine, F.col(ROW_ID)))
     merged = (
         units.where(F.col("cc_group").isNotNull())
         .groupBy("cc_group")
-        .agg(F.min_by(template, F.struct(~is_gt, F.col(ROW_ID))).alias("_t"), total("p_nom").alias("p_nom"))
-        .select("cc_group", "p_nom", F.col("cc_group").alias("name"), "_t.*")
+        .agg(template.alias(LEADER), total("p_nom").alias("p_nom"))
+        .select("cc_group", "p_nom", F.col("cc_group").alias("name"), f"{LEADER}.*")
     )
     return units.where(F.col("cc_group").isNull()).unionByName(merged.select(*units.columns))
 
@@ -117,8 +117,8 @@ def aggregate_by_carrier(
 ) -> DataFrame:
     """One unit per carrier, or per carrier and region. Rows without a key drop out.
 
-    All rules become aggregates of a single `groupBy`, so the units are shuffled once, after partial
-    aggregation. Rules whose name is no rule are constants.
+    All rules become aggregates of one `groupBy`: a single pass, and what is shuffled are partial results,
+    a row per key and task. Rules whose name is no rule are constants.
     """
     region = _region_key(units, region_column)
     keys = ["carrier"] + ([region] if region else [])
@@ -126,12 +126,9 @@ def aggregate_by_carrier(
     keyed = {"carrier": F.col("_carrier"), "region": F.col("_region") if region else F.lit(None).cast("string")}
     plan = plan_rules(units, columns, rules, "sum", keyed, constants=True)
     key_columns = [F.col("carrier").alias("_carrier")] + ([F.col(region).alias("_region")] if region else [])
-    present = units.where(F.col("carrier").isNotNull())
-    if region:
-        present = present.where(F.col(region).isNotNull())
-    grouped = present.groupBy(*key_columns).agg(
-        *plan.aggregates, *([F.min(ROW_ID).alias("_first")] if ROW_ID in units.columns else [])
-    )
+    present = units.dropna(subset=keys)
+    first = [F.min(ROW_ID).alias("_first")] if ROW_ID in units.columns else []
+    grouped = present.groupBy(*key_columns).agg(*plan.aggregates, *first)
     if region and region_map is not None and rules.get("bus", rules.get("others")) == "region" and "bus" in plan.outputs:
         # Only the bus carries the short name; the mapping meets the aggregated rows, not the units.
         pairs = region_map.select(F.col("k").alias("_k"), F.col("short").alias("_short"))

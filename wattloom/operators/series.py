@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import temporal
 from ..functions.rules import SERIES_RULES
-from ..model import SERIES_COLUMNS, Network, scalar, total
+from ..model import SERIES_COLUMNS, Network, scalar, spread, total
 from .scans import HOT_ROWS, filled, positions
 
 SERIES_KEYS = ("component", "attribute", "name")
@@ -251,7 +251,8 @@ def _with_empty_buckets(folded: DataFrame, buckets: DataFrame, rules: Mapping, d
     folded side is already partitioned that way, and no task holds a whole series.
     """
     calendar = scalar(buckets, F.array_sort(F.collect_list("snapshot")))
-    grid = folded.select(*SERIES_KEYS).distinct().withColumn("snapshot", F.explode(calendar))
+    names = spread(folded.select(*SERIES_KEYS).distinct(), *SERIES_KEYS)
+    grid = names.withColumn("snapshot", F.explode(calendar))
     empty = F.when(_zero_rule(rules, default), F.lit(0.0))
     marked = folded.withColumn("_found", F.lit(True))
     return grid.join(marked, [*SERIES_KEYS, "snapshot"], "left").select(

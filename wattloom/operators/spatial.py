@@ -199,7 +199,9 @@ def nearest(points: DataFrame, sites: DataFrame, key: str = "bus_id") -> DataFra
     its nearest site and opens those only, so it meets a handful of sites however they are spread. The
     top level is at most 64 boxes and travels as one array; lower levels are equi joins on the box.
     """
-    unique = sites.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x", "y").agg(F.min(key).alias(key))
+    known = sites.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    # Read once per level and by the small checks below, so it is written out first.
+    unique = checkpointed(known.groupBy("x", "y").agg(F.min(key).alias(key)))
     frame = unique.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     spots = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("x", "y").distinct()
     if frame[0] is None:

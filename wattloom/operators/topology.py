@@ -174,8 +174,8 @@ def line_setting(config: Mapping, key: str, default: str) -> str:
 
 
 def first_value(column: str) -> Column:
-    """The first row's value in file order, null included."""
-    return F.min(F.struct(F.col(ROW_ID), F.col(column).alias("v")))["v"]
+    """The first row's value in file order, null included. With numbers on both sides this hash-aggregates."""
+    return F.min_by(column, ROW_ID)
 
 
 def _simple(rule: str, column: str) -> Column:
@@ -217,12 +217,11 @@ def aggregate_lines(lines: DataFrame, regions: DataFrame, config: Mapping | None
     aggregates += _impedances(line_setting(config, "impedance", "weighted_by_num_parallel"))
     if "length" in lines.columns:
         aggregates.append(_simple(line_setting(config, "length", "mean"), "length").alias("length"))
-    for c in ("type", "terrain_factor"):
-        if c in lines.columns:
-            value = first_value(c)
-            aggregates.append((F.nullif(value, F.lit("")) if c == "type" else value).alias(c))
-    grouped = placed.groupBy(*keys).agg(*aggregates)
-    return _named_edges(grouped, "line", keys, "region0", "region1")
+    if "type" in lines.columns:
+        aggregates.append(F.nullif(first_value("type"), F.lit("")).alias("type"))
+    if "terrain_factor" in lines.columns:
+        aggregates.append(first_value("terrain_factor").alias("terrain_factor"))
+    return _named_edges(placed.groupBy(*keys).agg(*aggregates), "line", keys, "region0", "region1")
 
 
 def unplaced_lines(lines: DataFrame, regions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import geo, text
 from ..operators import spatial
 from ..operators.quality import concat_tables
+from ..session import checkpointed
 
 # Column names a voltage tag may come under, first match counts.
 VOLTAGE_COLUMNS = ("tags.voltage", "voltage", "tags_voltage")
@@ -86,8 +87,9 @@ def build_network(
     tolerance: float = 5000.0,
 ) -> tuple[DataFrame, DataFrame]:
     """(buses, lines) from line and cable features and substations."""
-    lines = prepared_lines(concat_tables(features), voltage_min_kv, voltage_unit)
-    buses = spatial.cluster_buses(cluster_input(lines, substations, voltage_unit), tolerance)
+    # Parsed once: the steps below read the lines several times.
+    lines = checkpointed(prepared_lines(concat_tables(features), voltage_min_kv, voltage_unit))
+    buses = checkpointed(spatial.cluster_buses(cluster_input(lines, substations, voltage_unit), tolerance))
     return buses, spatial.connect_lines(lines, buses)
 
 

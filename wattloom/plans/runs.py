@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..model import Network
 from ..operators import columns, facts, loads, overlays, results, rollup, series, topology
+from ..session import checkpointed
 from ..sources import settings as st
 from ..sources import tables
 
@@ -79,10 +80,16 @@ def aggregate_by_region(network: Network, settings: Mapping) -> Network:
         )
         out = out.with_components(loads=new_loads).with_series(new_series)
     if config.get("aggregate_regions_by_group", False):
-        out = aggregate_by_group(out, settings)
+        out = aggregate_by_group(_written(out, config), settings)
     return out
 
 
+def _written(network: Network, config: Mapping) -> Network:
+    """The rolled-up tables written out: each is small, costly to derive and read several times by the next level."""
+    small = ["buses", "lines", "links", "loads"] + (["generators"] if config.get("aggregate_by_carrier") else [])
+    return network.with_components(**{n: checkpointed(network[n]) for n in small if n in network})
+
+
 def _roll_up(
     network: Network, regions: DataFrame, column: str, region_map: DataFrame | None, config: Mapping, settings: Mapping
 ) -> Network:

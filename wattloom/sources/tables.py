@@ -75,17 +75,12 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = "ut
 
 
 def read_encoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """CSV in a named encoding. Korean code pages need `spark.sql.legacy.javaCharsets`, set here for the read.
-
-    The check of the name happens when the read is planned, so the setting can go back at once.
+    """CSV in a named encoding. Korean code pages need `spark.sql.legacy.javaCharsets`, which is checked when
+    the rows are read; the session therefore keeps the setting.
     """
-    flag = "spark.sql.legacy.javaCharsets"
-    before = spark.conf.get(flag, "false")
-    spark.conf.set(flag, "true")
-    try:
-        return read_csv(spark, path, encoding)
-    finally:
-        spark.conf.set(flag, before)
+    if _SPARK_ENCODING.get(encoding, encoding) not in ("UTF-8", "ISO-8859-1"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return read_csv(spark, path, encoding)
 
 
 def read_network(spark: SparkSession, folder: str, encoding: str = "utf-8-sig") -> Network:
