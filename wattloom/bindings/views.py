@@ -13,6 +13,9 @@ BASE = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+_FACT_TABLES = ("lineitem", "orders", "events", "documents", "pages", "conversations")
+_SCHEMAS: dict[str, T.StructType] = {}
+
 # name -> (views it reads, text). Every view has a `row_id` that stands for file order.
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "f_buses": (
@@ -305,10 +308,24 @@ class Tables:
         self._cache: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
+        """A base table. The schema is looked up once per file and process."""
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            path = f"{self.folder}/{name}.parquet"
+            if path not in _SCHEMAS:
+                _SCHEMAS[path] = self.spark.read.parquet(path).schema
+            self._cache[name] = self._spread(self.spark.read.schema(_SCHEMAS[path]).parquet(path), name)
         return self._cache[name]
 
+    def _spread(self, df: DataFrame, name: str) -> DataFrame:
+        """Share out a large table that sits in fewer splits than there are cores.
+
+        A file of one row group is one task however many cores wait; tables of many files never get here.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        if name not in _FACT_TABLES or df.rdd.getNumPartitions() >= cores:
+            return df
+        return df.repartition(cores)
+
     def __getitem__(self, name: str) -> DataFrame:
         """A base table, or a view with its `row_id` under the library's name and naive timestamps."""
         if name in BASE:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.temporal import month_start
-from ..model import SERIES_COLUMNS, spread
+from ..model import SERIES_COLUMNS, scalar, spread
 from .columns import active_only
 from .scans import filled
 
@@ -91,17 +91,17 @@ def duplicate_facts(rows: DataFrame, period: Callable = month_start) -> DataFram
     )
 
 
-def _one_per_period(rows: DataFrame, period: Callable) -> DataFrame:
-    """Values per item and period, without the pairs that carry several."""
-    keys = ["component", "attribute", "name"]
-    return (
-        rows.groupBy(*keys, period(F.col("snapshot")).alias("period"))
-        .agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") == 1)
-        .drop("_n")
+def _by_period(rows: DataFrame, period: Callable) -> DataFrame:
+    """One row per item and period, with the number of facts that fell on it."""
+    return rows.groupBy("component", "attribute", "name", period(F.col("snapshot")).alias("period")).agg(
+        F.max("value").alias("value"), F.count(F.lit(1)).alias("_n")
     )
 
 
+def _unambiguous(counted: DataFrame) -> DataFrame:
+    return counted.where(F.col("_n") == 1).drop("_n")
+
+
 def lay_monthly(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Every snapshot gets its month's value, carried forward over months without one.
 
@@ -112,12 +112,11 @@ def lay_monthly(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
     months = snapshots.groupBy(month_start(F.col("snapshot")).alias("period")).agg(
         F.collect_list("snapshot").alias("_at")
     )
-    values = _one_per_period(rows, month_start)
-    # Grid of items x months of the run; both sides are dimensions, the facts are not multiplied.
-    calendar = F.array_sort(F.collect_list("period"))
-    items = rows.select(*keys).distinct().withColumn("_months", months.agg(calendar.alias("m")).scalar())
-    grid = items.select(*keys, F.explode("_months").alias("period"))
-    placed = grid.join(values, [*keys, "period"], "left")
+    counted = _by_period(rows, month_start)
+    # Grid of items x months of the run. Both come from tables that are already folded.
+    calendar = scalar(months, F.collect_list("period"))
+    grid = counted.select(*keys).distinct().select(*keys, F.explode(calendar).alias("period"))
+    placed = grid.join(_unambiguous(counted), [*keys, "period"], "left")
     number = F.year("period") * 12 + F.month("period")
     return (
         spread(filled(placed, keys, "period", "value", position=number), *keys, "period")
@@ -130,16 +129,18 @@ def lay_monthly(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
 def lay_hourly(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Exact timestamps, no fill; every item gets a row for every snapshot."""
     keys = ["component", "attribute", "name"]
-    values = _one_per_period(rows, lambda c: c)
+    counted = _by_period(rows, lambda c: c)
     days = snapshots.groupBy(F.to_date("snapshot").alias("_day")).agg(F.collect_list("snapshot").alias("_at"))
-    calendar = days.agg(F.collect_list("_day").alias("d")).scalar()
+    calendar = scalar(days, F.collect_list("_day"))
     grid = (
-        spread(rows.select(*keys).distinct(), *keys)
-        .withColumn("_day", F.explode(calendar))
+        spread(counted.select(*keys).distinct(), *keys)
+        .select(*keys, F.explode(calendar).alias("_day"))
         .join(days, "_day")
         .select(*keys, F.explode("_at").alias("period"))
     )
-    return grid.join(values, [*keys, "period"], "left").withColumnRenamed("period", "snapshot").select(*SERIES_COLUMNS)
+    return grid.join(_unambiguous(counted), [*keys, "period"], "left").select(
+        *keys, F.col("period").alias("snapshot"), "value"
+    )
 
 
 def replace_attributes(series: DataFrame | None, new: DataFrame) -> DataFrame:
