@@ -87,7 +87,7 @@ def _closest_level_wins(t):
 )
 def _duplicate_facts(t):
     rows = facts.match_generator(t["f_named_facts"], t[_ITEMS])
-    return facts.duplicate_facts(rows).select("name", "period", "n")
+    return facts.duplicate_facts(rows, ["name"])
 
 
 @query(
@@ -106,8 +106,9 @@ def _duplicate_facts(t):
 def _apply_monthly(t):
     # Every third month has no facts, so values are carried over gaps and the first month stays open.
     days = t["f_months"].where((F.year("snapshot") >= 1996) & (F.year("snapshot") < 1998))
-    rows = facts.matched(_facts(t), t[_ITEMS], "ALL").withColumn("value", F.when(F.month("snapshot") % 3 != 1, F.col("value")))
-    return facts.lay_monthly(rows, days).select("name", "snapshot", "value")
+    gappy = _facts(t).withColumn("value", F.when(F.month("snapshot") % 3 != 1, F.col("value")))
+    out, _ = facts.apply_facts(None, gappy, t[_ITEMS], days, "ALL", monthly=True)
+    return out.select("name", "snapshot", "value")
 
 
 @query(

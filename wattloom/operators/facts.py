@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
+from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.temporal import month_start
 from ..model import SERIES_COLUMNS, scalar, spread
 from .columns import active_only
-from .scans import filled
-
-# Aggregation levels of a fact, weakest first. Where several match, the last one counts.
-LEVELS = ("generator", "national", "province")
-MERGE_PRIORITY = {"generator": 3, "province": 2, "national": 1}
+from .scans import filled, salted_join
 
-_FACT = ("component", "attribute", "carrier", "region", "snapshot", "value")
+# Aggregation levels of a fact are generator, national and province. Where several match anything, the
+# last one in this order counts.
 
 
 def national_facts(facts: DataFrame, national_region: str) -> DataFrame:
@@ -53,27 +48,82 @@ def match_generator(facts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def matched(facts: DataFrame, items: DataFrame, national_region: str, mode: str = "replace") -> DataFrame:
-    """(component, attribute, name, snapshot, value, aggregation) after level precedence.
+    """(component, attribute, name, snapshot, value, aggregation): the facts each item takes, after precedence.
 
     `replace`: per attribute the last level that matches anything supplies all values. `merge`: per item
     and attribute the closest level that matches it does (generator, then province, then national).
     """
-    parts = [
-        match_generator(facts, items),
-        match_national(facts, items, national_region),
-        match_province(facts, items),
-    ]
-    columns = ["component", "attribute", "name", "snapshot", "value", "aggregation"]
-    rows = reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
-    keys = ["component", "attribute"] if mode == "replace" else ["component", "attribute", "name"]
-    order = {level: i for i, level in enumerate(LEVELS)} if mode == "replace" else MERGE_PRIORITY
-    rank = F.lit(-1)
-    for level, place in order.items():
-        rank = F.when(F.col("aggregation") == level, F.lit(place)).otherwise(rank)
-    rows = rows.withColumn("_rank", rank)
-    # The winner per key is a small aggregate, joined back; no window over the facts.
-    best = rows.groupBy(*keys).agg(F.max("_rank").alias("_best"))
-    return rows.join(best, keys).where(F.col("_rank") == F.col("_best")).select(*columns)
+    keyed = keyed_facts(facts, national_region)
+    chosen = assigned(keyed, items, mode)
+    rows = salted_join(chosen, keyed, KEY)
+    return rows.select("component", "attribute", "name", "snapshot", "value", "aggregation")
+
+
+# A fact's key: what it must have in common with an item. Unused parts are empty text.
+KEY = ["component", "attribute", "kind", "carrier", "place", "item"]
+
+
+def keyed_facts(facts: DataFrame, national_region: str) -> DataFrame:
+    """Facts under the keys they may match by, in one pass; a generator fact has a key by name and one by place."""
+
+    def key(kind: str, place, item):
+        return F.struct(F.lit(kind).alias("kind"), place.alias("place"), item.alias("item"))
+
+    empty, region = F.lit(""), F.col("region")
+    kinds = F.when(F.col("aggregation") == "province", F.array(key("province", region, empty)))
+    kinds = kinds.when(
+        (F.col("aggregation") == "national") & (region == national_region), F.array(key("national", empty, empty))
+    )
+    if "name" in facts.columns:
+        by_name, by_place = key("name", empty, F.col("name")), key("place", region, empty)
+        kinds = kinds.when(F.col("aggregation") == "generator", F.array(by_name, by_place))
+    rows = facts.withColumn("_k", F.explode(kinds))
+    # Every kind but the national one needs its text.
+    named = (F.col("_k.kind") == "national") | (F.concat(F.col("_k.place"), F.col("_k.item")) != "")
+    return rows.where(named).select(
+        "component", "attribute", "_k.kind", "carrier", "_k.place", "_k.item", "aggregation", "snapshot", "value"
+    )
+
+
+_STRENGTH = {"national": 1, "province": 2, "place": 3, "name": 4}
+_LEVEL_ORDER = {"place": 0, "name": 0, "national": 1, "province": 2}
+
+
+def _by_kind(values: dict[str, int]):
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("kind"))
+
+
+def assigned(keyed: DataFrame, items: DataFrame, mode: str = "replace") -> DataFrame:
+    """(key, name): the one key per item and attribute that supplies its values.
+
+    Works on distinct keys and on items; the time dimension stays out of it.
+    """
+    keys = keyed.select(*KEY).distinct()
+    place = F.coalesce(F.col("province"), F.lit(""))
+    empty = F.lit("")
+    offers = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), p.alias("place"), i.alias("item"))
+            for kind, p, i in (
+                ("national", empty, empty),
+                ("province", place, empty),
+                ("place", place, empty),
+                ("name", empty, F.col("name")),
+            )
+        ]
+    )
+    offered = items.select("component", "carrier", "name", F.explode(offers).alias("_o")).select(
+        "component", "_o.kind", "carrier", "_o.place", "_o.item", "name"
+    )
+    found = offered.join(keys, ["component", "kind", "carrier", "place", "item"])
+    if mode == "replace":
+        # A handful of attributes: their last level travels as a map, so the matches are filtered in place.
+        label = F.concat_ws("/", "component", "attribute")
+        last = found.groupBy(label.alias("k")).agg(F.max(_by_kind(_LEVEL_ORDER)).alias("v"))
+        lookup = scalar(last, F.map_from_entries(F.collect_list(F.struct("k", "v"))))
+        found = found.where(F.try_element_at(lookup, label) == _by_kind(_LEVEL_ORDER))
+    best = found.groupBy("component", "attribute", "name").agg(F.max_by(F.struct("kind", "carrier", "place", "item"), _by_kind(_STRENGTH)).alias("_b"))
+    return best.select("component", "attribute", "_b.kind", "_b.carrier", "_b.place", "_b.item", "name")
 
 
 def normalized_facts(facts: DataFrame) -> DataFrame:
@@ -82,64 +132,57 @@ def normalized_facts(facts: DataFrame) -> DataFrame:
     return active.withColumnRenamed("components", "component") if "components" in active.columns else active
 
 
-def duplicate_facts(rows: DataFrame, period: Callable = month_start) -> DataFrame:
-    """Item and period pairs with more than one value; these cannot be laid over the snapshots."""
-    return (
-        rows.groupBy("component", "attribute", "name", period(F.col("snapshot")).alias("period"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
-    )
+def duplicate_facts(rows: DataFrame, keys: Sequence[str], period: Callable = month_start) -> DataFrame:
+    """Key and period pairs with more than one value; these cannot be laid over the snapshots."""
+    return _by_period(rows, keys, period).where(F.col("n") > 1).drop("value")
 
 
-def _by_period(rows: DataFrame, period: Callable) -> DataFrame:
-    """One row per item and period, with the number of facts that fell on it."""
-    return rows.groupBy("component", "attribute", "name", period(F.col("snapshot")).alias("period")).agg(
-        F.max("value").alias("value"), F.count(F.lit(1)).alias("_n")
+def _by_period(rows: DataFrame, keys: Sequence[str], period: Callable) -> DataFrame:
+    """One row per key and period, with the number of facts that fell on it."""
+    return rows.groupBy(*keys, period(F.col("snapshot")).alias("period")).agg(
+        F.max("value").alias("value"), F.count(F.lit(1)).alias("n")
     )
 
 
 def _unambiguous(counted: DataFrame) -> DataFrame:
-    return counted.where(F.col("_n") == 1).drop("_n")
+    return counted.where(F.col("n") == 1).drop("n")
 
 
-def lay_monthly(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
+def lay_monthly(keyed: DataFrame, chosen: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Every snapshot gets its month's value, carried forward over months without one.
 
-    Filling happens on months, before the rows are spread over the snapshots: all snapshots of a month
-    share a value, so the result is the same and the ordered step sees one row per item and month.
+    Filling happens per fact key and month, long before items and snapshots multiply the rows: all
+    items of a key and all snapshots of a month share a value.
     """
-    keys = ["component", "attribute", "name"]
     months = snapshots.groupBy(month_start(F.col("snapshot")).alias("period")).agg(
         F.collect_list("snapshot").alias("_at")
     )
-    counted = _by_period(rows, month_start)
-    # Grid of items x months of the run. Both come from tables that are already folded.
+    counted = _by_period(keyed, KEY, month_start)
     calendar = scalar(months, F.collect_list("period"))
-    grid = counted.select(*keys).distinct().select(*keys, F.explode(calendar).alias("period"))
-    placed = grid.join(_unambiguous(counted), [*keys, "period"], "left")
+    grid = counted.select(*KEY).distinct().select(*KEY, F.explode(calendar).alias("period"))
+    placed = grid.join(_unambiguous(counted), [*KEY, "period"], "left")
     number = F.year("period") * 12 + F.month("period")
+    by_month = filled(placed, KEY, "period", "value", position=number).join(months, "period")
     return (
-        spread(filled(placed, keys, "period", "value", position=number), *keys, "period")
-        .join(months, "period")
-        .select(*keys, F.explode("_at").alias("snapshot"), "value")
-        .select(*SERIES_COLUMNS)
+        salted_join(spread(chosen, "name"), by_month, KEY)
+        .select("component", "attribute", "name", F.explode("_at").alias("snapshot"), "value")
     )
 
 
-def lay_hourly(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Exact timestamps, no fill; every item gets a row for every snapshot."""
-    keys = ["component", "attribute", "name"]
-    counted = _by_period(rows, lambda c: c)
+def lay_hourly(keyed: DataFrame, chosen: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Exact timestamps, no fill; every item gets a row for every snapshot, put together per fact key."""
+    counted = _by_period(keyed, KEY, lambda c: c)
     days = snapshots.groupBy(F.to_date("snapshot").alias("_day")).agg(F.collect_list("snapshot").alias("_at"))
     calendar = scalar(days, F.collect_list("_day"))
     grid = (
-        spread(counted.select(*keys).distinct(), *keys)
-        .select(*keys, F.explode(calendar).alias("_day"))
+        spread(counted.select(*KEY).distinct(), *KEY)
+        .select(*KEY, F.explode(calendar).alias("_day"))
         .join(days, "_day")
-        .select(*keys, F.explode("_at").alias("period"))
+        .select(*KEY, F.explode("_at").alias("period"))
     )
-    return grid.join(_unambiguous(counted), [*keys, "period"], "left").select(
-        *keys, F.col("period").alias("snapshot"), "value"
+    dense = grid.join(_unambiguous(counted), [*KEY, "period"], "left")
+    return salted_join(chosen, dense, KEY).select(
+        "component", "attribute", "name", F.col("period").alias("snapshot"), "value"
     )
 
 
@@ -160,8 +203,9 @@ def apply_facts(
     monthly: bool,
     mode: str = "replace",
 ) -> tuple[DataFrame, DataFrame]:
-    """(series with the new attributes, rejected item-period pairs)."""
-    rows = matched(normalized_facts(facts), items, national_region, mode)
+    """(series with the new attributes, rejected key-period pairs)."""
+    keyed = keyed_facts(normalized_facts(facts), national_region)
+    chosen = assigned(keyed, items, mode)
     lay = lay_monthly if monthly else lay_hourly
-    rejects = duplicate_facts(rows, month_start if monthly else (lambda c: c))
-    return replace_attributes(series, lay(rows, snapshots)), rejects
+    rejects = duplicate_facts(keyed, KEY, month_start if monthly else (lambda c: c))
+    return replace_attributes(series, lay(keyed, chosen, snapshots)), rejects

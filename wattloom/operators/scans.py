@@ -3,7 +3,7 @@
 A plain window sorts a whole group in one task. Here groups above `hot_rows` are cut into chunks along
 the order column; each chunk is scanned on its own, and what a chunk needs from those before it comes
 from a summary with one row per chunk. Groups below the bound form a single chunk, so the usual case is
-one shuffle and one window.
+one shuffle and one window. Rows with a null key belong to no group; they are scattered and left alone.
 """
 
 from __future__ import annotations
@@ -18,8 +18,12 @@ _CHUNK = "_chunk"
 
 
 def same_keys(left: Sequence[Column], right: Sequence[Column]) -> Column:
-    """Null-safe equality of two key tuples."""
-    return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(left, right)])
+    """Equality of two key tuples. Plain equality, so that a join can use a partitioning by the keys."""
+    return reduce(lambda a, b: a & b, [x == y for x, y in zip(left, right)])
+
+
+def keyless(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int, *extra: Column) -> DataFrame:
@@ -30,14 +34,17 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int, *extra: Column
 def _with_chunk(df: DataFrame, keys: Sequence[str], position: Column, hot_rows: int) -> DataFrame:
     """Add `_chunk`: 0 in ordinary groups, about four chunks per `hot_rows` in hot ones."""
     placed = df.withColumn("_p", position)
-    hot = hot_groups(placed, keys, hot_rows, F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
+    grouped = placed.dropna(subset=list(keys))
+    hot = hot_groups(grouped, keys, hot_rows, F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
     hot = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_n", "_lo", "_hi")
     # Bounded by construction (see hot_groups), hence the hint.
     joined = placed.join(
         F.broadcast(hot), same_keys([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys]), "left"
     )
     width = F.greatest((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") * 4 / F.lit(hot_rows)), F.lit(1e-9))
-    chunk = F.coalesce(F.floor((F.col("_p") - F.col("_lo")) / width), F.lit(0))
+    chunk = F.when(keyless(keys), F.pmod(F.xxhash64("_p"), F.lit(4096))).otherwise(
+        F.coalesce(F.floor((F.col("_p") - F.col("_lo")) / width), F.lit(0))
+    )
     joined = joined.withColumns({_CHUNK: chunk, "_hot": F.col("_n").isNotNull()})
     return joined.drop("_p", "_n", "_lo", "_hi", *[f"_h_{k}" for k in keys])
 
@@ -84,11 +91,8 @@ def filled(
     # Chunk 0 of an ordinary group is alone and needs nothing, so only hot groups reach the summary.
     carry = _carry(chunked.where("_hot"), keys, summary, before)
     scanned = chunked.withColumn("_local", local)
-    return (
-        _attach(scanned, keys, carry)
-        .withColumn(value, F.coalesce("_local", "_carry"))
-        .select(*df.columns)
-    )
+    result = F.when(keyless(keys), F.col(value)).otherwise(F.coalesce("_local", "_carry"))
+    return _attach(scanned, keys, carry).withColumn(value, result).select(*df.columns)
 
 
 def numbered(
@@ -133,3 +137,24 @@ def positions(df: DataFrame, order: Sequence[str | Column], chunk: Column, alias
         .withColumn(alias, (F.col("_start") + F.col("_rank") - 1).cast("bigint"))
         .select(*df.columns, alias)
     )
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join in which `left` may repeat a key without bound and `right` holds a bounded number of rows per key.
+
+    A key with more than `hot_rows` rows on the left is split by a salt, and only such a key's rows on the
+    right are copied, once per salt. All other rows join as usual.
+    """
+    hot = hot_groups(left, keys, hot_rows).select(
+        *[F.col(k).alias(f"_h_{k}") for k in keys], F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts")
+    )
+    on = same_keys([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys])
+    drop = ["_salts", *[f"_h_{k}" for k in keys]]
+    spread = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c not in keys]), F.col("_salts")).cast("int")
+    )
+    # Bounded by construction (see hot_groups), hence the hints.
+    salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", spread).drop(*drop)
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))
+    copied = right.join(F.broadcast(hot), on, "left").withColumn("_salt", copies).drop(*drop)
+    return salted.join(copied, [*keys, "_salt"]).drop("_salt")
