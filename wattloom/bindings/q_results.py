@@ -277,13 +277,13 @@ def _effect(hours: int, few: str) -> str:
     o AS (SELECT name, avg(value) AS om, max(value) AS ox FROM pu GROUP BY name),
     b AS (SELECT name, date_diff('hour', (SELECT a FROM a), snapshot) // {hours} AS b, avg(value) AS m, max(value) AS x FROM pu GROUP BY 1, 2),
     f AS (SELECT name, avg(m) AS mm, max(m) AS mx, avg(x) AS xm, max(x) AS xx FROM b GROUP BY name)
-    SELECT name, round(om, 10) AS original_mean, round(ox, 10) AS original_max, round(mm, 10) AS mean_rule_mean, round(mx, 10) AS mean_rule_max,
-           round(xm, 10) AS max_rule_mean, round(xx, 10) AS max_rule_max, round((om - mm) / om * 100, 10) AS loss_percent
+    SELECT name, round(om, 13) AS original_mean, round(ox, 13) AS original_max, round(mm, 13) AS mean_rule_mean, round(mx, 13) AS mean_rule_max,
+           round(xm, 13) AS max_rule_mean, round(xx, 13) AS max_rule_max, round((om - mm) / om * 100, 9) AS loss_percent
     FROM o JOIN f USING (name)
     """
 
 
-@query("resample_effect", _effect(4, ""), "f_network_series f_snapshots", digits=10)
+@query("resample_effect", _effect(4, ""), "f_network_series f_snapshots", digits={"loss_percent": 9, "": 13})
 def _resample_effect(t):
     return results.resample_effect(t["f_network_series"], series.snapshot_dimension(t["f_snapshots"]), 4, None)
 
@@ -292,7 +292,7 @@ def _resample_effect(t):
     "resample_effect_report",
     _effect(6, "WHERE name IN (SELECT DISTINCT name FROM f_series ORDER BY name LIMIT 5)"),
     "f_network_series f_series f_snapshots",
-    digits=10,
+    digits={"loss_percent": 9, "": 13},
 )
 def _resample_effect_report(t):
     return results.resample_effect(t["f_network_series"], series.snapshot_dimension(t["f_snapshots"]), 6, 5)

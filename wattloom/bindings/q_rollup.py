@@ -32,8 +32,8 @@ CARRIER_RULES = {
     , alive AS (SELECT * FROM f_generators WHERE build_year <= 1998 AND (close_year > 1998 OR close_year IS NULL)),
     led AS (SELECT *, row_number() OVER (PARTITION BY carrier, province ORDER BY p_nom DESC NULLS LAST, row_id) AS i FROM alive)
     SELECT carrier || '_' || province AS name, coalesce(max(short), province) AS bus, carrier, province,
-           round(sum(p_nom), 4) AS p_nom, round(avg(efficiency), 4) AS efficiency,
-           round(avg(marginal_cost), 4) AS marginal_cost, CAST(min(build_year) AS BIGINT) AS build_year,
+           round(sum(p_nom), 4) AS p_nom, round(avg(efficiency), 9) AS efficiency,
+           round(avg(marginal_cost), 9) AS marginal_cost, CAST(min(build_year) AS BIGINT) AS build_year,
            CAST(max(close_year) AS BIGINT) AS close_year, max(CASE WHEN i = 1 THEN cc_group END) AS cc_group,
            round(coalesce(sum(capital_cost), 0), 2) AS capital_cost, 'M' AS market,
            max(CASE WHEN i = 1 THEN control END) AS control
@@ -41,12 +41,13 @@ CARRIER_RULES = {
     GROUP BY carrier, province
     """,
     "f_generators f_region_map",
+    digits={"capital_cost": 2, "": 9},
 )
 def _agg_carrier_region(t):
     alive = columns.lifecycle(t["f_generators"], 1998)
     regions = settings.region_map(t["f_region_map"])
     out = rollup.aggregate_by_carrier(alive, CARRIER_RULES, "province", regions)
-    return out.drop(ROW_ID).withColumn("capital_cost", F.round("capital_cost", 2))
+    return out.drop(ROW_ID)
 
 
 @query(
@@ -87,8 +88,8 @@ CC_RULES = {
              avg(marginal_cost) AS marginal_cost, min(build_year) AS build_year, max(close_year) AS close_year, cc_group,
              max(capital_cost) AS capital_cost, max(CASE WHEN i = 1 THEN control END) AS control
       FROM sized WHERE n > 1 GROUP BY cc_group)
-    SELECT name, bus, carrier, province, round(p_nom, 4) AS p_nom, round(efficiency, 4) AS efficiency,
-           round(marginal_cost, 4) AS marginal_cost, CAST(build_year AS BIGINT) AS build_year,
+    SELECT name, bus, carrier, province, round(p_nom, 4) AS p_nom, round(efficiency, 9) AS efficiency,
+           round(marginal_cost, 9) AS marginal_cost, CAST(build_year AS BIGINT) AS build_year,
            CAST(close_year AS BIGINT) AS close_year, cc_group, capital_cost, control
     FROM (SELECT * FROM merged UNION ALL
           SELECT g.name, g.bus, g.carrier, g.province, g.p_nom, g.efficiency, g.marginal_cost, g.build_year, g.close_year,
@@ -96,6 +97,7 @@ CC_RULES = {
           FROM f_generators g LEFT JOIN merged m ON g.cc_group = m.cc_group WHERE m.cc_group IS NULL)
     """,
     "f_generators",
+    digits=9,
 )
 def _merge_cc(t):
     units = t["f_generators"].drop("grp", "market")

@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(key: str, sql: str | None = None, uses: str = "", digits: int = 4):
+def query(key: str, sql: str | None = None, uses: str = "", digits: int | dict[str, int] = 4):
     """Register `fn(tables)` under a key, with its SQL over the views named in `uses`."""
 
     def add(fn: Callable[[Tables], DataFrame]):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..model import ROW_ID
 
@@ -353,13 +353,26 @@ class Tables:
         return f"{shared}/wattloom-{label}-{uuid.uuid4().hex[:12]}"
 
 
-def tidy(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Common output types: whole numbers as BIGINT, decimals rounded, timestamps naive, file order under `row_id`."""
+def _rounded(x: Column, digits: int) -> Column:
+    """Half away from zero on the scaled number: what SQL engines do with doubles, without going through decimals."""
+    scale = float(10**digits)
+    size = F.abs(x) * F.lit(scale)
+    whole = F.rint(size)
+    up = F.when(size - whole == 0.5, whole + 1).otherwise(whole)
+    return F.when(size < 1e300, F.signum(x) * up / F.lit(scale) + F.lit(0.0)).otherwise(x)
+
+
+def tidy(df: DataFrame, digits: int | dict[str, int] = 4) -> DataFrame:
+    """Common output types: whole numbers as BIGINT, decimals rounded, timestamps naive, file order under `row_id`.
+
+    `digits` may name columns; `""` then stands for all others.
+    """
+    places = digits if isinstance(digits, dict) else {"": digits}
     updates = {}
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            updates[f.name] = F.round(c.cast("double"), digits) + F.lit(0.0)
+            updates[f.name] = _rounded(c.cast("double"), places.get(f.name, places[""]))
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             updates[f.name] = c.cast("bigint")
         elif isinstance(f.dataType, T.TimestampType):

@@ -54,7 +54,8 @@ def fill_missing(
 
 
 def _clipped(value: Column, non_negative: bool) -> Column:
-    return F.greatest(value, F.lit(0.0)) if non_negative else value
+    # Not `greatest`, which would turn a missing fill into 0.
+    return F.when(value < 0, F.lit(0.0)).otherwise(value) if non_negative else value
 
 
 def _with_fill(df: DataFrame, target: str, keys: Sequence[str], fills: DataFrame, non_negative: bool) -> DataFrame:

@@ -48,7 +48,7 @@ def order_statistics(
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     wanted = F.array(*[F.struct(F.lit(name).alias("which"), rank.cast("bigint").alias("k")) for name, rank in ranks.items()])
     state = sizes.select(*keys, "n", F.explode(wanted).alias("_w")).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], "n", F.col("_w.which").alias("which"), F.col("_w.k").alias("k")
+        *[F.col(k).alias(f"_k_{k}") for k in keys], "n", F.col("_w.which").alias("_which"), F.col("_w.k").alias("_k")
     )
     left, right = [F.col(k) for k in keys], [F.col(f"_k_{k}") for k in keys]
     path: list[str] = []
@@ -61,8 +61,8 @@ def order_statistics(
         state = _holding(counts, state, keys, path, digit).select(
             *right,
             "n",
-            "which",
-            (F.col("k") - F.col("_before")).alias("k"),
+            "_which",
+            (F.col("_k") - F.col("_before")).alias("_k"),
             *[F.col(f"_s{p}") for p in path],
             F.col(digit).alias(f"_s{digit}"),
             "_lo",
@@ -81,8 +81,8 @@ def order_statistics(
         state = state.drop("_lo", "_hi")
     # Equal values collapse before the last window, which therefore sees distinct values only.
     values = current.groupBy(*keys, *path, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    found = _holding(values, state, keys, path, "_v").select(*keys, "n", "which", "_v")
-    picks = [F.max(F.when(F.col("which") == name, F.col("_v"))).alias(name) for name in ranks]
+    found = _holding(values, state, keys, path, "_v").select(*keys, "n", "_which", "_v")
+    picks = [F.max(F.when(F.col("_which") == name, F.col("_v"))).alias(name) for name in ranks]
     return found.groupBy(*keys, "n").agg(*picks)
 
 
@@ -96,7 +96,7 @@ def _holding(
         [F.col(c) for c in [*keys, *path]],
         [F.col(f"_k_{k}") for k in keys] + [F.col(f"_s{p}") for p in path],
     )
-    return placed.join(state, on & (F.col("k") >= F.col("_before")) & (F.col("k") < F.col("_before") + F.col("_c")))
+    return placed.join(state, on & (F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_c")))
 
 
 def split_by_size(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:

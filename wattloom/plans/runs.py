@@ -85,9 +85,10 @@ def aggregate_by_region(network: Network, settings: Mapping) -> Network:
 
 
 def _written(network: Network, config: Mapping) -> Network:
-    """The rolled-up tables written out: each is small, costly to derive and read several times by the next level."""
-    small = ["buses", "lines", "links", "loads"] + (["generators"] if config.get("aggregate_by_carrier") else [])
-    return network.with_components(**{n: checkpointed(network[n]) for n in small if n in network})
+    """The rolled-up network written out: costly to derive, and read several times by the next level."""
+    done = ["buses", "lines", "links", "loads"] + (["generators"] if config.get("aggregate_by_carrier") else [])
+    out = network.with_components(**{n: checkpointed(network[n]) for n in done if n in network})
+    return out if out.series is None else out.with_series(checkpointed(out.series))
 
 
 def _roll_up(
