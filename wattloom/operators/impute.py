@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..model import ROW_ID, scalar
 from .quantiles import medians, order_statistics, split_by_size
-from .scans import HOT_ROWS, filled, same_keys
+from .scans import HOT_ROWS, filled, positions, same_keys
 
 # Arrays of a group's values are only built below this size; larger groups go by order statistics.
 LIST_ROWS = 100_000
@@ -213,9 +213,9 @@ def fill_neighbour(
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): alphabetical rank from 0 of the distinct values."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
-    # A map of the distinct values is what the coding is; the window sees those only.
-    rank = F.row_number().over(W.orderBy(F.encode("value", "UTF-8"))) - 1
-    return values.withColumn("code", rank.cast("double"))
+    # Ranked by their first letters and then within them, so no task sorts all distinct values.
+    ranked = positions(values, ["value"], F.substring("value", 1, 2), "code")
+    return ranked.withColumn("code", F.col("code").cast("double"))
 
 
 def _features(df: DataFrame, predictors: Sequence[str], target: str) -> tuple[DataFrame, list[str]]:

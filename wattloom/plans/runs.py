@@ -20,7 +20,8 @@ def load(network: Network, settings: Mapping) -> Network:
     """Clean, filter by life time, move to the target year, scale the load."""
     base = settings.get("base_year")
     target = settings.get("target_year")
-    out = network.map_components(lambda n, df: columns.blank_cc_group(df) if n == "generators" else df)
+    tidy = {"generators": columns.blank_cc_group, "buses": columns.drop_repeated_columns}
+    out = network.map_components(lambda n, df: tidy.get(n, lambda d: d)(df))
     out = columns.lifecycle_network(out, base, target)
     out = series.shift_network(out, base, target)
     if settings.get("target_load") and out.series is not None:
@@ -70,9 +71,8 @@ def aggregate_by_region(network: Network, settings: Mapping) -> Network:
     column = config.get("region_column", "province")
     mapping = settings.get("region_map")
     region_map = None if mapping is None else st.region_map(mapping)
-    buses = columns.drop_repeated_columns(network["buses"])
-    regions = topology.bus_regions(buses, column, region_map)
-    out = _roll_up(network.with_components(buses=buses), regions, column, region_map, config, settings)
+    regions = topology.bus_regions(network["buses"], column, region_map)
+    out = _roll_up(network, regions, column, region_map, config, settings)
     if "loads" in out:
         new_loads, new_series = loads.regional_loads(
             out["loads"], out.series, out["buses"], settings.get("region_demand"), column, region_map,
