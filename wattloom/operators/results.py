@@ -267,7 +267,7 @@ def resample_effect(series: DataFrame, snapshots: DataFrame, hours: int = 4, fir
     original = rows.groupBy("name").agg(F.avg("value").alias("original_mean"), F.max("value").alias("original_max"))
     anchor = scalar(snapshots, F.date_trunc("day", F.min("snapshot")).cast("timestamp_ntz"))
     bucket = temporal.bucket_start(F.col("snapshot"), anchor, hours)
-    folded = rows.groupBy("name", bucket.alias("bucket")).agg(F.avg("value").alias("m"), F.max("value").alias("x"))
+    folded = rows.withColumn("bucket", bucket).groupBy("name", "bucket").agg(F.avg("value").alias("m"), F.max("value").alias("x"))
     after = folded.groupBy("name").agg(
         F.avg("m").alias("mean_rule_mean"), F.max("m").alias("mean_rule_max"),
         F.avg("x").alias("max_rule_mean"), F.max("x").alias("max_rule_max"),

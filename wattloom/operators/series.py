@@ -237,7 +237,8 @@ def resample(
     touched = ~among(passive) if default else among(list(active))
     work = series.where(touched)
     bucket = temporal.bucket_start(F.col("snapshot"), _anchor(snapshots), hours)
-    folded = work.groupBy(*SERIES_KEYS, bucket.alias("snapshot")).agg(_rule_expr(active, default).alias("value"))
+    placed = work.withColumn("snapshot", bucket)
+    folded = placed.groupBy(*SERIES_KEYS, "snapshot").agg(_rule_expr(active, default).alias("value"))
     out = _with_empty_buckets(folded, resampled_snapshots(snapshots, hours), active, default)
     if not passive and default:
         return out

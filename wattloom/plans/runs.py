@@ -186,8 +186,8 @@ def single_node(network: Network, settings: Mapping, monthly: DataFrame | None =
 
 def province(network: Network, settings: Mapping, monthly: DataFrame | None = None, hourly: DataFrame | None = None) -> Network:
     """Regions, no resampling; the first snapshots only."""
-    out = aggregate_by_region(common(network, settings, monthly, hourly), settings)
-    out = standardized(out, settings)
+    rolled = aggregate_by_region(common(network, settings, monthly, hourly), settings)
+    out = standardized(_written(rolled, settings.get("regional_aggregation", {})), settings)
     return with_energy_limits(_first(out, settings), settings)
 
 
@@ -199,8 +199,8 @@ def _first(network: Network, settings: Mapping) -> Network:
 
 def group(network: Network, settings: Mapping, monthly: DataFrame | None = None, hourly: DataFrame | None = None) -> Network:
     """Regions and groups, a range of snapshots, resampling."""
-    out = aggregate_by_region(common(network, settings, monthly, hourly), settings)
-    out = standardized(out, settings)
+    rolled = aggregate_by_region(common(network, settings, monthly, hourly), settings)
+    out = standardized(_written(rolled, settings.get("regional_aggregation", {})), settings)
     out = series.limit_network(out, settings.get("snapshot_start"), settings.get("snapshot_end"))
     return resampled(with_energy_limits(out, settings), settings)
 

@@ -50,7 +50,9 @@ def _names(header: Sequence[str]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8-sig", infer: bool = True) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8-sig", infer: bool = True, row_id: bool = True
+) -> DataFrame:
     """CSV with a header: known columns typed by name, the rest inferred, missing as null, file order kept.
 
     The header comes from the first line alone. Types of unknown columns cost one pass; switch `infer`
@@ -71,7 +73,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = "ut
         inferred = {n: t for n, t in inferred.items() if not isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType))}
     schema = T.StructType([T.StructField(n, KNOWN_TYPES.get(n, inferred.get(n, _S))) for n in names])
     df = reader.option("enforceSchema", True).schema(schema).csv(path)
-    return nan_to_null(with_row_id(df))
+    return nan_to_null(with_row_id(df) if row_id else df)
 
 
 def read_encoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
@@ -93,10 +95,10 @@ def read_network(spark: SparkSession, folder: str, encoding: str = "utf-8-sig")
             table = stem if stem in COMPONENTS else stem.rstrip("s") + "s"
             components[table] = _named(read_csv(spark, path, encoding))
         elif stem == "snapshots":
-            snapshots = read_csv(spark, path, encoding)
+            snapshots = read_csv(spark, path, encoding, row_id=False)
         elif "-" in stem and stem.split("-", 1)[0] in COMPONENTS:
             component, attribute = stem.split("-", 1)
-            wide = read_csv(spark, path, encoding).drop(ROW_ID)
+            wide = read_csv(spark, path, encoding, row_id=False)
             parts.append(series_ops.unpivot(wide, component, attribute, wide.columns[0]))
     series = reduce(DataFrame.unionByName, parts) if parts else None
     if snapshots is not None:
