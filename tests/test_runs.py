@@ -89,14 +89,14 @@ def test_group_run(spark, folder):
     out = runs.group(network, configured(spark), monthly, hourly)
     assert {r["name"] for r in out["buses"].collect()} == {"가", "나", "다"}
     units = {r["name"]: r for r in out["generators"].collect()}
-    # The closed unit is gone, the combined-cycle pair is one, carriers carry new names.
+    # The closed unit is gone, the combined-cycle pair is one, carriers carry new names (loads have one too).
     assert {(n, u["carrier"], u["bus"], u["p_nom"]) for n, u in units.items()} == {
         ("lng_가도", "gas", "가", 150.0), ("sun_나", "solar", "나", 10.0), ("coal_다도", "coal", "다", 70.0),
     }
     assert units["lng_가도"]["p_min_pu"] == 0.3 and units["coal_다도"]["p_min_pu"] == 0.1
     assert units["coal_다도"]["ramp_limit_up"] == pytest.approx(2.0)
     assert units["coal_다도"]["e_sum_max"] == pytest.approx(70 * 0.8 * 48)
-    assert {r["name"] for r in out["carriers"].collect()} == {"gas", "solar", "coal", "AC"}
+    assert {r["name"] for r in out["carriers"].collect()} == {"gas", "solar", "coal", "AC", "load"}
     lines = {(r["bus0"], r["bus1"]): r for r in out["lines"].collect()}
     assert set(lines) == {("가", "나"), ("다", "나")} and lines[("가", "나")]["r"] == pytest.approx((0.1 * 2 + 0.4) / 3)
     assert [r["p_nom"] for r in out["links"].collect()] == [1e6]

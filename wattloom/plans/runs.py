@@ -178,7 +178,7 @@ def resampled(network: Network, settings: Mapping) -> Network:
 
 def single_node(network: Network, settings: Mapping, monthly: DataFrame | None = None, hourly: DataFrame | None = None) -> Network:
     """Everything on one bus; the first snapshots only."""
-    out = common(network, settings, monthly, hourly)
+    out = _written(common(network, settings, monthly, hourly), {})
     out = out.with_components(buses=topology.ensure_bus(out["buses"]))
     out = standardized(out, settings)
     return with_energy_limits(_first(out, settings), settings)
