@@ -4,8 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm import queries
-from wattloom.llm.common import stored, table
+from wattloom.llm import decontamination, mixing, neardup, queries, toxicity
+from wattloom.llm.common import stored, table, without_ids
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier rejects go."""
+    found = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return without_ids(docs, found.where("predicted = 1").select("doc_id"))
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return neardup.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +35,10 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", one_of_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
     ("token files", token_files),
 ]
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import tokens
+from . import decontamination, licenses, mixing, neardup, quality, secrets, shards, substrings, tokens, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,7 @@ def tokenizer_path() -> str:
 
 
 def token_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Write the documents' token files and return what is read back from them."""
     place, index = tokens.write_tokens(docs, tokenizer_path(), END_ID)
     return tokens.read_tokens(spark, place, index)
 
@@ -28,8 +29,51 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_report(spark, table(spark, folder, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licenses(table(spark, folder, "documents"))
+
+
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.decontamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secrets(table(spark, folder, "documents"))
+
+
+def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digests(table(spark, folder, "documents"))
+
+
+def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
+    rows = shards.sharded(table(spark, folder, "documents"))
+    return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_files": op1_token_files,
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_near_duplicates, op3_quality, op4_toxicity, op5_licenses, op6_mixing,
+        op7_decontamination, op8_secrets, op9_substrings, op10_shards,
+    )
 }
 
 SQL: dict[str, str] = {}
