@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .common import new_path, ship, stored, texts
 
 FRAME_IDS = 1 << 15
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
+PORTION = 1_000_000
 # Fixed values of the public seekable zstandard format: skippable frame, footer, descriptor with checksums.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -40,10 +41,11 @@ READ = "doc_id long, file int, position int, start long, n_tokens long, ids_crc3
 
 
 class Encoder:
-    """Encodes texts word by word and keeps what it has seen.
+    """Encodes texts piece by piece and keeps what it has seen.
 
     Blanks and line feeds always end a token in tokenizers that drop white space, so a text's ids are those of its
-    pieces in order; every piece is encoded by the tokenizer itself.
+    pieces in order; every piece is encoded by the tokenizer itself. New pieces go through it in one call, with a
+    special token between them, which cuts the text before anything else looks at it.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -51,18 +53,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
-
-    def __call__(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        missing = list(set(pieces).difference(self.known))
-        if missing:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-                missing = list(set(pieces))
-            encoded = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-            for piece, found in zip(missing, encoded):
-                self.known[piece] = np.array(found.ids, dtype=self.dtype).tobytes()
-        return b"".join(map(self.known.__getitem__, pieces))
+        special = [(t.content, k) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.specials = [content for content, _ in special]
+        self.cut, self.cut_id = special[-1] if special else (None, None)
+
+    def _ids(self, pieces: list[str]) -> Iterator[bytes]:
+        if self.cut is None or any(s in p for s in self.specials for p in pieces):
+            found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
+            return (np.array(f.ids, dtype=self.dtype).tobytes() for f in found)
+        ids = np.array(self.tokenizer.encode(self.cut.join(pieces), add_special_tokens=False).ids, dtype=self.dtype)
+        cuts = np.flatnonzero(ids == self.cut_id)
+        data, width = ids.tobytes(), ids.itemsize
+        starts, ends = np.r_[0, cuts + 1] * width, np.r_[cuts, len(ids)] * width
+        return (data[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        seen = set().union(*split)
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        missing = list(seen.difference(self.known))
+        self.known.update(zip(missing, self._ids(missing)))
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -75,6 +87,16 @@ def encoder(path: str, dtype: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def _portions(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about a million bytes of text each."""
+    total = np.cumsum(np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]))
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + PORTION, "right")))
+        yield low, high
+        low = high
+
+
 def id_type(tokenizer_path: str) -> str:
     from tokenizers import Tokenizer
 
@@ -208,10 +230,11 @@ def write_tokens(
                 sink = storage.open_output_stream(attempt)
                 writer = FrameWriter(sink, dtype, frame_ids)
             ids, lengths = batch.column(0).to_pylist(), []
-            for doc_id, text in zip(ids, batch.column(1)):
-                data = encode(text.as_py() or "") + end
-                writer.add(doc_id, data)
-                lengths.append(len(data) // len(end))
+            for low, high in _portions(batch.column(1)):
+                portion = [text or "" for text in batch.column(1).slice(low, high - low).to_pylist()]
+                for doc_id, data in zip(ids[low:high], encode(portion)):
+                    writer.add(doc_id, data + end)
+                    lengths.append(len(data) // len(end) + 1)
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -264,4 +287,4 @@ def read_tokens(spark: SparkSession, folder: str, index: DataFrame, wanted: Data
                         names=["doc_id", "file", "position", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return asked.select("file", "base", "positions").repartition("file").mapInArrow(read, READ)
+    return asked.select("file", "base", "positions").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(read, READ)
