@@ -173,7 +173,7 @@ def _maybe(ids: DataFrame, bits: int = 24) -> np.ndarray:
     """A bit field of fixed size that holds every id; others may seem to be held."""
     cells = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("cell"))
     words = cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("cell") % 64).cast("int"))).alias("bits")
+        F.expr("bit_or(shiftleft(1L, cast(cell % 64 AS int)))").alias("bits")
     )
     field = np.zeros(1 << (bits - 6), np.int64)  # at most 2**18 rows come back
     found = words.toArrow()
