@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 MIN_ASSIGNED = 6
 MIN_IDENTIFIER = 12
 MIN_TOKEN = 20
-MIN_RATIO = 0.25
+MIN_RATIO = 0.0
 SMOOTHING = 0.5
 UNIFORM = 0.5
 # Fixed values of the contract; a match of the first that assigns fewer than 6 characters is dropped after matching.
