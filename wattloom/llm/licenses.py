@@ -49,7 +49,7 @@ NOTICES = {
 }
 
 
-def _template_bigrams(text: str) -> list[str]:
+def template_bigrams(text: str) -> list[str]:
     words = re.findall(r"[^\W_]+", text.lower())
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
@@ -74,7 +74,7 @@ def bigrams(words: Column) -> Column:
 
 def notices(docs: DataFrame, templates: Mapping[str, str] = NOTICES, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, unit, license and dice: for every unit of a text that bears a licence, its best template."""
-    sets = {name: _template_bigrams(text) for name, text in sorted(templates.items())}
+    sets = {name: template_bigrams(text) for name, text in sorted(templates.items())}
     sets = {name: pairs for name, pairs in sets.items() if pairs}
     low, high = similarity / (2 - similarity), (2 - similarity) / similarity
     bounds = [(ceil(low * len(pairs) - 1e-9), floor(high * len(pairs) + 1e-9)) for pairs in sets.values()]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, licenses, mixing, neardup, quality, secrets, shards, substrings, tokens, toxicity
+from . import decontamination, licenses, mixing, neardup, quality, secrets, shards, sql, substrings, tokens, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,4 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_quality": sql.quality_sql(),
+    "op5_licenses": sql.licenses_sql(),
+    "op6_mixing": sql.mixing_sql(),
+    "op9_substrings": sql.substrings_sql(),
+}
