@@ -33,3 +33,17 @@ def components(links: DataFrame) -> DataFrame:
         turn += 1
     least = names.groupBy("name").agg(F.min("node").alias("class"))
     return stored(names.join(least, "name").select("node", "class"), "classes")
+
+
+def extended(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The classes after more links: only links between different classes are looked at."""
+    if classes is None:
+        return components(links)
+    of_a = classes.select(F.col("node").alias("a"), F.col("class").alias("class_a"))
+    of_b = classes.select(F.col("node").alias("b"), F.col("class").alias("class_b"))
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left")
+    ends = ends.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b"))
+    top = components(ends)
+    moved = top.select(F.col("node").alias("old"), F.col("class").alias("new"))
+    kept = classes.join(moved, F.col("class") == F.col("old"), "left").select("node", F.coalesce("new", "class").alias("class"))
+    return stored(kept.union(top.join(classes.select("node"), "node", "left_anti")), "classes")
