@@ -247,11 +247,11 @@ def _map_buses_region(t):
 
 @query(
     "distinct_union",
-    "SELECT province AS name FROM f_generators UNION SELECT province FROM f_buses WHERE v_nom > 200",
+    "SELECT province AS name FROM f_generators UNION SELECT province FROM f_buses",
     "f_generators f_buses",
 )
 def _distinct_union(t):
-    return topology.distinct_regions([t["f_generators"], t["f_lines"], t["f_buses"].where("v_nom > 200")], "province")
+    return topology.distinct_regions([t["f_generators"], t["f_lines"], t["f_buses"]], "province")
 
 
 @query("ensure_bus", "SELECT name, carrier FROM f_buses UNION ALL SELECT 'KR', 'AC'", "f_buses")

@@ -63,15 +63,23 @@ def _last_level_wins(t):
 
 @query(
     "closest_level_wins",
-    f""", {_NATIONAL}, {_PROVINCE}
-    SELECT name, snapshot, round(value, 2) AS value, 'province' AS aggregation FROM prov
-    UNION ALL SELECT name, snapshot, round(value, 2), 'national' FROM national WHERE name NOT IN (SELECT name FROM prov)
+    f""", {_NATIONAL}, {_PROVINCE},
+    named AS (SELECT c.name, f.snapshot, f.value FROM f_named_facts f JOIN f_customers c ON f.carrier = c.carrier AND f.name = c.name),
+    place AS (SELECT c.name, f.snapshot, f.value FROM f_named_facts f JOIN f_customers c ON f.carrier = c.carrier AND f.region = c.province),
+    every AS (SELECT *, 'generator' AS aggregation, 4 AS s FROM named UNION ALL SELECT *, 'generator', 3 FROM place
+              UNION ALL SELECT *, 'province', 2 FROM prov UNION ALL SELECT *, 'national', 1 FROM national),
+    strongest AS (SELECT name, max(s) AS s FROM every GROUP BY name)
+    SELECT name, snapshot, aggregation, count(*) AS n, round(min(value), 2) AS low, round(max(value), 2) AS high
+    FROM every JOIN strongest USING (name, s) GROUP BY name, snapshot, aggregation
     """,
-    "f_facts f_customers",
+    "f_facts f_customers f_named_facts",
     digits=2,
 )
 def _closest_level_wins(t):
-    return facts.matched(_facts(t), t[_ITEMS], "ALL", mode="merge").select("name", "snapshot", "value", "aggregation")
+    rows = facts.matched(_all_facts(t), t[_ITEMS], "ALL", mode="merge")
+    return rows.groupBy("name", "snapshot", "aggregation").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
 
 
 @query(
@@ -93,43 +101,53 @@ def _duplicate_facts(t):
 @query(
     "apply_monthly",
     f""", {_PROVINCE},
-    days AS (SELECT snapshot FROM f_months WHERE year(snapshot) >= 1996 AND year(snapshot) < 1998),
+    days AS (SELECT snapshot FROM f_months),
     grid AS (SELECT DISTINCT p.name, d.m FROM prov p, (SELECT DISTINCT date_trunc('month', snapshot) AS m FROM days) d),
     filled AS (SELECT g.name, g.m, last_value(p.value IGNORE NULLS) OVER (PARTITION BY g.name ORDER BY g.m
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
                FROM grid g LEFT JOIN prov p ON g.name = p.name AND g.m = p.snapshot AND month(p.snapshot) % 3 <> 1)
-    SELECT f.name, d.snapshot, round(f.value, 2) AS value FROM filled f JOIN days d ON date_trunc('month', d.snapshot) = f.m
+    SELECT f.name, f.m AS month, count(*) AS days, count(f.value) AS known, round(min(f.value), 2) AS low,
+           round(max(f.value), 2) AS high
+    FROM filled f JOIN days d ON date_trunc('month', d.snapshot) = f.m GROUP BY f.name, f.m
     """,
     "f_facts f_customers f_months",
     digits=2,
 )
 def _apply_monthly(t):
     # Every third month has no facts, so values are carried over gaps and the first month stays open.
-    days = t["f_months"].where((F.year("snapshot") >= 1996) & (F.year("snapshot") < 1998))
     gappy = _facts(t).withColumn("value", F.when(F.month("snapshot") % 3 != 1, F.col("value")))
-    out, _ = facts.apply_facts(None, gappy, t[_ITEMS], days, "ALL", monthly=True)
-    return out.select("name", "snapshot", "value")
+    out, _ = facts.apply_facts(None, gappy, t[_ITEMS], t["f_months"], "ALL", monthly=True)
+    return _per_month(out)
+
+
+def _per_month(out):
+    """All rows of the operator, counted per item and month."""
+    return out.groupBy("name", F.date_trunc("month", "snapshot").cast("timestamp_ntz").alias("month")).agg(
+        F.count(F.lit(1)).alias("days"), F.count("value").alias("known"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
 
 
 @query(
     "apply_snapshot",
     """
-    , days AS (SELECT snapshot FROM f_months WHERE year(snapshot) = 1997),
-    daily AS (SELECT snapshot, value FROM f_daily WHERE month(snapshot) % 2 = 0)
-    SELECT c.name, d.snapshot, round(x.value, 2) AS value FROM (SELECT name FROM f_customers WHERE carrier = 'c1') c, days d
-    LEFT JOIN daily x ON d.snapshot = x.snapshot
+    , days AS (SELECT snapshot FROM f_months UNION SELECT snapshot + INTERVAL 12 HOUR FROM f_months)
+    SELECT c.name, date_trunc('month', d.snapshot) AS month, count(*) AS days, count(x.value) AS known,
+           round(min(x.value), 2) AS low, round(max(x.value), 2) AS high
+    FROM (SELECT name FROM f_customers WHERE carrier = 'c1') c, days d LEFT JOIN f_daily x ON d.snapshot = x.snapshot
+    GROUP BY 1, 2
     """,
     "f_months f_daily f_customers",
     digits=2,
 )
 def _apply_snapshot(t):
-    days = t["f_months"].where(F.year("snapshot") == 1997)
-    daily = t["f_daily"].where(F.month("snapshot") % 2 == 0).select(
+    # Facts fall on midnight only, so the noon snapshots stay open.
+    days = t["f_months"].unionByName(t["f_months"].select((F.col("snapshot") + F.expr("INTERVAL 12 HOUR")).alias("snapshot")))
+    daily = t["f_daily"].select(
         F.lit("generators").alias("components"), F.lit("p_max_pu").alias("attribute"), F.lit("c1").alias("carrier"),
         F.lit("ALL").alias("region"), F.lit("national").alias("aggregation"), F.lit(True).alias("status"), "snapshot", "value",
     )
     out, _ = facts.apply_facts(None, daily, t[_ITEMS], days, "ALL", monthly=False)
-    return out.select("name", "snapshot", "value")
+    return _per_month(out)
 
 
 @query(
@@ -137,13 +155,13 @@ def _apply_snapshot(t):
     """
     SELECT component, attribute, name, snapshot, round(value, 6) AS value FROM f_network_series
     WHERE NOT (component = 'loads' AND attribute = 'p_set')
-    UNION ALL SELECT 'loads', 'p_set', name, snapshot, round(value, 6) FROM f_series WHERE value > 60
+    UNION ALL SELECT 'loads', 'p_set', name, snapshot, round(value, 6) FROM f_series
     """,
     "f_network_series f_series",
     digits=6,
 )
 def _replace_attributes(t):
-    new = t["f_series"].where("value > 60").select(
+    new = t["f_series"].select(
         F.lit("loads").alias("component"), F.lit("p_set").alias("attribute"), "name", "snapshot", "value"
     )
     return facts.replace_attributes(t["f_network_series"], new)

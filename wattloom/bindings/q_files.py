@@ -25,7 +25,11 @@ def _csv(df, path: str, encoding: str = "UTF-8"):
 def _folder(t: Tables) -> str:
     folder = t.scratch("network")
     _csv(t["f_buses"].drop(ROW_ID, "grp"), f"{folder}/buses.csv")
-    _csv(t["f_generators"].select("name", "bus", "carrier", "province", "p_nom", "build_year", "cc_group"), f"{folder}/generators.csv")
+    units = t["f_generators"].select("name", "bus", "carrier", "province", "p_nom", "build_year", "cc_group", "control")
+    # Whole numbers as decimals, the way a column with gaps is often written, and cells that are no numbers.
+    year, broken = F.concat(F.col("build_year").cast("string"), F.lit(".0")), F.col("control") == "O"
+    units = units.withColumns({"build_year": year, "p_nom": F.when(broken, "n/k").otherwise(F.col("p_nom").cast("string"))})
+    _csv(units.drop("control"), f"{folder}/generators.csv")
     wide = t["f_series"].where(F.col("name").isin("u1", "u2")).groupBy("snapshot").pivot("name", ["u1", "u2"]).agg(F.max("value"))
     _csv(wide.withColumn("snapshot", F.date_format("snapshot", "dd/MM/yyyy HH:mm")), f"{folder}/loads-p_set.csv")
     return folder
@@ -34,7 +38,8 @@ def _folder(t: Tables) -> str:
 @query(
     "scan_network",
     """
-    SELECT name, bus, carrier, province, round(p_nom, 4) AS p_nom, CAST(build_year AS BIGINT) AS build_year, cc_group FROM f_generators
+    SELECT name, bus, carrier, province, CASE WHEN control <> 'O' THEN round(p_nom, 4) END AS p_nom,
+           CAST(build_year AS BIGINT) AS build_year, cc_group FROM f_generators
     """,
     "f_generators",
 )
@@ -42,6 +47,16 @@ def _scan_network(t):
     return tables.read_network(t.spark, _folder(t))["generators"].drop(ROW_ID)
 
 
+@query(
+    "scan_network_rejects",
+    "SELECT 'p_nom' AS \"column\", 'n/k' AS cell, count(*) AS n FROM f_generators WHERE control = 'O'",
+    "f_generators",
+)
+def _scan_network_rejects(t):
+    rejects = tables.read_network(t.spark, _folder(t)).rejects["generators"]
+    return rejects.groupBy("column", "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "scan_network_series",
     """
@@ -156,14 +171,14 @@ def _write_table(t):
 
 @query(
     "write_series",
-    "SELECT component, attribute, name, snapshot, round(value, 6) AS value FROM f_network_series WHERE component = 'links' AND attribute = 'p0'",
+    "SELECT component, attribute, name, snapshot, round(value, 6) AS value FROM f_network_series",
     "f_network_series",
     digits=6,
 )
 def _write_series(t):
     path = t.scratch("series")
     tables.write_series(t["f_network_series"], path)
-    return tables.read_series(t.spark, path).where("component = 'links' AND attribute = 'p0'")
+    return tables.read_series(t.spark, path)
 
 
 @query(
@@ -177,8 +192,7 @@ def _load_rules(t):
         F.when(F.max("p_type") == "SMALL", F.lit(None)).when(F.max("p_type") < "M", "sum").otherwise("mean").alias("rule")
     )
     path = _csv(rules, f"{t.scratch('rules')}/rules.csv")
-    found = settings.rules_dict(tables.read_csv(t.spark, path))
-    return t.spark.createDataFrame(sorted(found.items()), "attribute string, rule string")
+    return settings.rules_frame(tables.read_csv(t.spark, path))
 
 
 @query(

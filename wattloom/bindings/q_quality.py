@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.geo import DEGREES_PER_KM
 from ..model import ROW_ID
 from ..operators import quality, rollup
 from .registry import query
@@ -63,7 +64,14 @@ def _all_same_coordinates(t):
     return quality.all_same_coordinates(t["f_buses"])
 
 
-@query("jitter")
+def _moved_sql(x: str, y: str) -> str:
+    """The offset from the digest of row, seed and purpose, as `jitter_offset` draws it."""
+    unit = "CAST(CAST('0x' || substr(md5(CAST(row_id AS VARCHAR) || ':7:{}'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496"
+    radius, angle = f"sqrt({unit.format('radius')}) * {2.0 * DEGREES_PER_KM!r}", f"{unit.format('angle')} * 2 * pi()"
+    return f"SELECT name, round({x} + {radius} * cos({angle}), 6) AS x, round({y} + {radius} * sin({angle}), 6) AS y FROM f_buses"
+
+
+@query("jitter", _moved_sql("x", "y"), "f_buses", digits=6)
 def _jitter(t):
     moved = quality.jitter(t["f_buses"].select("name", "x", "y", ROW_ID), 2.0, ROW_ID, 7)
     return moved.select("name", "x", "y")
@@ -75,6 +83,12 @@ def _jitter_if_same(t):
     return quality.jitter_if_same(t["f_buses"].select("name", "x", "y", ROW_ID), 2.0, ROW_ID, 7).select("name", "x", "y")
 
 
+@query("jitter_if_same_moves", _moved_sql("127.5", "36.25"), "f_buses", digits=6)
+def _jitter_if_same_moves(t):
+    same = t["f_buses"].select("name", F.lit(127.5).alias("x"), F.lit(36.25).alias("y"), ROW_ID)
+    return quality.jitter_if_same(same, 2.0, ROW_ID, 7).select("name", "x", "y")
+
+
 @query(
     "distinct_values",
     """

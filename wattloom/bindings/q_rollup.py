@@ -185,19 +185,24 @@ def _agg_generator_series(t):
 
 @query(
     "series_members",
-    """
-    SELECT i.carrier, count(DISTINCT i.name) AS members, count(DISTINCT s.name) AS with_series
-    FROM f_items i LEFT JOIN (SELECT DISTINCT name FROM f_network_series
-                              WHERE component = 'generators' AND attribute = 'p' AND value > 60) s ON i.name = s.name
-    GROUP BY i.carrier
+    f"""
+    , members AS ({_MEMBERS}),
+    folded AS (SELECT attribute, new_name AS name, snapshot, sum(value) AS value FROM f_network_series JOIN members USING (name)
+               WHERE component = 'generators' GROUP BY attribute, new_name, snapshot),
+    size AS (SELECT new_name AS name, count(*) AS members FROM members GROUP BY new_name)
+    SELECT name, members, attribute, count(value) AS snapshots, round(sum(value), 3) AS total
+    FROM size LEFT JOIN folded USING (name) GROUP BY name, members, attribute
     """,
     "f_items f_network_series",
+    digits=3,
 )
 def _series_members(t):
-    rows = t["f_network_series"].where("component = 'generators' AND attribute = 'p' AND value > 60")
-    found = rows.select("name").distinct().withColumn("_s", F.lit(1))
-    return t["f_items"].join(found, "name", "left").groupBy("carrier").agg(
-        F.count("name").alias("members"), F.count("_s").alias("with_series")
+    members = rollup.membership(t["f_items"], "province")
+    out = rollup.aggregate_generator_series(t["f_network_series"], members, {"others": "sum"}).where("component = 'generators'")
+    per_unit = out.groupBy("name", "attribute").agg(F.count("value").alias("snapshots"), F.sum("value").alias("total"))
+    size = members.groupBy(F.col("new_name").alias("name")).agg(F.count(F.lit(1)).alias("members"))
+    return size.join(per_unit, "name", "left").select(
+        "name", "members", "attribute", F.coalesce("snapshots", F.lit(0)).alias("snapshots"), "total"
     )
 
 

@@ -21,24 +21,42 @@ def _bus_points(t):
     )
 
 
-@query("eps_neighbours")
+_EPS = _TOL / 111000.0
+_SIDE = spatial.cell_side(_EPS)
+
+# Every bus is compared with all others here, which only SQL on few buses can afford.
+_NEAR = f"""
+    , near AS (SELECT a.row_id AS a, b.row_id AS b FROM f_buses a, f_buses b
+               WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= ({_TOL} / 111000.0) ** 2),
+    reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+    c AS (SELECT a AS row_id, min(b) AS c FROM reach GROUP BY a)"""
+
+
+@query(
+    "eps_neighbours",
+    f"""
+    , p AS (SELECT DISTINCT x, y, CAST(floor(x / {_SIDE!r}) AS BIGINT) AS gx, CAST(floor(y / {_SIDE!r}) AS BIGINT) AS gy FROM f_buses)
+    SELECT DISTINCT a.gx * 4294967296 + a.gy AS cell_a, b.gx * 4294967296 + b.gy AS cell_b FROM p a, p b
+    WHERE (b.gx > a.gx OR (b.gx = a.gx AND b.gy > a.gy)) AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= {_EPS * _EPS!r}
+    """,
+    "f_buses",
+)
 def _eps_neighbours(t):
-    return spatial.eps_neighbours(t["f_buses"], _TOL / 111000.0)
+    return spatial.eps_neighbours(t["f_buses"], _EPS)
 
 
-@query("cluster_points")
+@query("cluster_points", f"{_NEAR} SELECT row_id, c AS cluster FROM c", "f_buses")
 def _cluster_points(t):
-    return spatial.cluster_points(_bus_points(t), _TOL).select("row_id", "component")
+    # A cluster under the id of its first point.
+    found = spatial.cluster_points(_bus_points(t), _TOL)
+    first = found.groupBy("component").agg(F.min("row_id").alias("cluster"))
+    return found.join(first, "component").select("row_id", "cluster")
 
 
-# Reachability by repeated widening. Each bus is compared with all others here, which only SQL on few buses can afford.
+# Reachability by repeated widening.
 @query(
     "cluster_buses",
-    f"""
-    , near AS (SELECT a.row_id AS a, b.row_id AS b FROM f_buses a, f_buses b
-               WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= ({_TOL} / 111000.0) ** 2),
-    reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
-    c AS (SELECT a AS row_id, min(b) AS c FROM reach GROUP BY a),
+    f"""{_NEAR},
     g AS (SELECT c, avg(x) AS x, avg(y) AS y, max(v_nom) AS v_nom, count(*) AS cluster_size,
                  arg_min(CASE WHEN row_id % 3 = 0 THEN name END, row_id) FILTER (WHERE row_id % 3 = 0) AS sub
           FROM f_buses JOIN c USING (row_id) GROUP BY c)

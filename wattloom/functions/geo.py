@@ -60,8 +60,9 @@ def reactance_per_km(voltage_kv: Column) -> Column:
 
 
 def _unit_uniform(*parts: Column) -> Column:
-    """A repeatable U[0,1) from a hash of its arguments: 53 bits, the same on every retry."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(2**53))
+    """A repeatable U[0,1) from a digest of its arguments: 52 bits, the same on every retry."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(2**52))
 
 
 def jitter_offset(key: Column, km: float, seed: int = 0) -> tuple[Column, Column]:
@@ -69,15 +70,3 @@ def jitter_offset(key: Column, km: float, seed: int = 0) -> tuple[Column, Column
     angle = _unit_uniform(key, F.lit(seed), F.lit("angle")) * F.lit(2.0) * F.pi()
     radius = F.sqrt(_unit_uniform(key, F.lit(seed), F.lit("radius"))) * F.lit(km * DEGREES_PER_KM)
     return radius * F.cos(angle), radius * F.sin(angle)
-
-
-def parse_jitter(text: str | float | None) -> float | None:
-    """`jitter-5`, `5`, `auto` (1 km) or nothing."""
-    if text is None:
-        return None
-    value = str(text).strip().lower()
-    if value in ("", "none", "no"):
-        return None
-    if value in ("auto", "jitter"):
-        return 1.0
-    return float(value.removeprefix("jitter-"))

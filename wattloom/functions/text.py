@@ -24,10 +24,6 @@ def blank_to_null(c: Column) -> Column:
     return F.when(~c.isin("", " "), c)
 
 
-def is_blank(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "")
-
-
 def cc_group(name: Column, unit_type: Column) -> Column:
     """Group a combined-cycle unit belongs to: its name without a trailing GT/ST marker."""
     text = strip(name)

@@ -28,42 +28,8 @@ SNAPSHOT_SCHEMA = T.StructType(
     ]
 )
 
-# Attributes that carry whole numbers, and the attributes of a generator that have a
-# component default. Everything else on a generator is a custom column.
+# Attributes that carry whole numbers.
 INTEGER_ATTRIBUTES = ("min_up_time", "min_down_time", "up_time_before", "down_time_before")
-STANDARD_GENERATOR_ATTRIBUTES = (
-    "bus",
-    "control",
-    "type",
-    "p_nom",
-    "p_nom_extendable",
-    "p_nom_min",
-    "p_nom_max",
-    "p_min_pu",
-    "p_max_pu",
-    "p_set",
-    "q_set",
-    "sign",
-    "carrier",
-    "marginal_cost",
-    "capital_cost",
-    "efficiency",
-    "committable",
-    "start_up_cost",
-    "shut_down_cost",
-    "min_up_time",
-    "min_down_time",
-    "up_time_before",
-    "down_time_before",
-    "ramp_limit_up",
-    "ramp_limit_down",
-    "ramp_limit_start_up",
-    "ramp_limit_shut_down",
-    "build_year",
-    "lifetime",
-    "weight",
-    "max_hours",
-)
 
 # Component tables a network may hold, and those that carry a carrier name.
 COMPONENTS = (

@@ -21,7 +21,8 @@ def national_facts(facts: DataFrame, national_region: str) -> DataFrame:
 def match_national(facts: DataFrame, items: DataFrame, national_region: str) -> DataFrame:
     """Facts of the whole country to items of the same carrier."""
     rows = national_facts(facts, national_region).drop("region", "name")
-    return rows.join(items.select("component", "name", "carrier"), ["component", "carrier"])
+    matched_items = salted_join(items.select("component", "carrier", "name"), rows, ["component", "carrier"])
+    return matched_items.select("component", "carrier", *[c for c in rows.columns if c not in ("component", "carrier")], "name")
 
 
 def match_province(facts: DataFrame, items: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def match_province(facts: DataFrame, items: DataFrame) -> DataFrame:
 
 def _by_region(rows: DataFrame, items: DataFrame) -> DataFrame:
     places = items.select("component", "name", "carrier", F.col("province").alias("region")).where(F.col("region") != "")
-    return rows.join(places, ["component", "carrier", "region"]).drop("region")
+    return salted_join(places, rows, ["component", "carrier", "region"]).drop("region")
 
 
 def match_generator(facts: DataFrame, items: DataFrame) -> DataFrame:
@@ -115,6 +116,8 @@ def assigned(keyed: DataFrame, items: DataFrame, mode: str = "replace") -> DataF
     offered = items.select("component", "carrier", "name", F.explode(offers).alias("_o")).select(
         "component", "_o.kind", "carrier", "_o.place", "_o.item", "name"
     )
+    # All items of a carrier offer its one national key. Keys are distinct under more columns than the join uses, so both
+    # sides are shuffled for it and AQE can split that key's items.
     found = offered.join(keys, ["component", "kind", "carrier", "place", "item"])
     if mode == "replace":
         # A handful of attributes: their last level travels as a map, so the matches are filtered in place.

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..model import ROW_ID, scalar
+from ..session import checkpointed
 from .quantiles import medians, order_statistics, split_by_size
 from .scans import HOT_ROWS, filled, positions, same_keys
 
@@ -213,8 +214,9 @@ def fill_neighbour(
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): alphabetical rank from 0 of the distinct values."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
-    # Ranked by their first letters and then within them, so no task sorts all distinct values.
-    ranked = positions(values, ["value"], F.substring("value", 1, 2), "code")
+    # Dealt by ranges of the values, so no task sorts all of them; written, so that both readers see the same ranges.
+    dealt = checkpointed(values.repartitionByRange("value").withColumn("_range", F.spark_partition_id()))
+    ranked = positions(dealt, ["value"], F.col("_range"), "code").drop("_range")
     return ranked.withColumn("code", F.col("code").cast("double"))
 
 
@@ -236,13 +238,13 @@ def _features(df: DataFrame, predictors: Sequence[str], target: str) -> tuple[Da
 def normal_equations(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
     """One row with the moments of a least-squares fit: a single partially aggregated pass.
 
-    `_gaps` counts rows with a missing predictor, which the fit cannot use.
+    Rows with a missing predictor do not take part.
     """
     columns = [*names, target]
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
     known = whole & F.col(target).isNotNull()
     seen = {c: F.when(known, F.col(c)) for c in columns}
-    aggs = [F.count(F.when(known, 1)).alias("_n"), F.count(F.when(~whole, 1)).alias("_gaps")]
+    aggs = [F.count(F.when(known, 1)).alias("_n")]
     aggs += [F.avg(seen[c]).alias(f"m_{c}") for c in columns]
     aggs += [F.covar_pop(seen[a], seen[b]).alias(f"c_{a}_{b}") for i, a in enumerate(columns) for b in columns[i:]]
     return df.agg(*aggs)
@@ -267,20 +269,23 @@ def fill_regression(
 ) -> DataFrame:
     """Least squares over all rows with a known target, then a plain projection.
 
-    The data are reduced to k x k moments on the cluster; only those reach the driver. Group means are
-    used instead when fewer than two rows can be fitted or some row lacks a predictor.
+    The data are reduced to k x k moments on the cluster; only those reach the driver. The fit uses the rows with all
+    predictors; rows that lack one get their group's mean, and so do all if fewer than two rows can be fitted.
     """
     chosen = [c for c in (groups if predictors is None else predictors) if c in df.columns]
     if not chosen:
         return fill_group(df, target, groups, "mean", non_negative)
     coded, names = _features(df, chosen, target)
     moments = normal_equations(coded, names, target).first().asDict()
-    if moments["_n"] < 2 or moments["_gaps"]:
+    if moments["_n"] < 2:
         return fill_group(df, target, groups, "mean", non_negative)
     beta, intercept, _ = solve(moments, names, target)
     prediction = reduce(lambda acc, kx: acc + F.lit(kx[0]) * F.col(kx[1]), zip(beta, names), F.lit(intercept))
     value = F.coalesce(F.col(target), _clipped(prediction, non_negative))
-    return coded.withColumn(target, value).select(*df.columns)
+    fitted = coded.withColumn("_fitted", value).select(*df.columns, "_fitted")
+    means = df.groupBy(*groups).agg(F.avg(target).alias("_fill"))
+    filled_rows = _with_fill(fitted, target, groups, means, non_negative)
+    return filled_rows.withColumn(target, F.coalesce("_fitted", target)).select(*df.columns)
 
 
 def regression_quality(df: DataFrame, target: str, predictor: str) -> DataFrame:

@@ -120,33 +120,3 @@ def static_rescale_by_carrier(
         if expr is not None:
             updates[attribute] = expr.otherwise(F.col(attribute))
     return df.withColumns(updates) if updates else df
-
-
-# The template of resampling rules (component, attribute, carrier, rule).
-RESAMPLE_RULE_TEMPLATE = tuple(
-    {"component": c, "attribute": a, "carrier": k, "rule": r, "value": None}
-    for c, a, k, r in (
-        ("generators_t", "p_max_pu", None, "mean"),
-        ("generators_t", "p_max_pu", "solar", "max"),
-        ("generators_t", "p_max_pu", "wind", "max"),
-        ("generators_t", "p_min_pu", None, "mean"),
-        ("generators_t", "p_set", None, "mean"),
-        ("generators_t", "marginal_cost", None, "mean"),
-        ("generators_t", "fuel_cost", None, "mean"),
-        ("loads_t", "p_set", None, "mean"),
-        ("storage_units_t", "inflow", None, "sum"),
-        ("storage_units_t", "p_max_pu", None, "mean"),
-        ("links_t", "p_max_pu", None, "mean"),
-        ("links_t", "efficiency", None, "mean"),
-        ("generators", "ramp_limit_up", None, "scale"),
-        ("generators", "ramp_limit_down", None, "scale"),
-        ("generators", "ramp_limit_start_up", None, "scale"),
-        ("generators", "ramp_limit_shut_down", None, "scale"),
-        ("storage_units", "ramp_limit_up", None, "scale"),
-        ("storage_units", "ramp_limit_down", None, "scale"),
-        ("storage_units", "standing_loss", None, "scale"),
-        ("stores", "standing_loss", None, "scale"),
-        ("links", "ramp_limit_up", None, "scale"),
-        ("links", "ramp_limit_down", None, "scale"),
-    )
-)

@@ -39,7 +39,9 @@ def merge_cc(units: DataFrame, rules: Mapping[str, object], defaults: Mapping[st
         *([F.col("_first").alias(ROW_ID)] if ROW_ID in units.columns else []),
     )
     groups = grouped.select(F.col("_group").alias("cc_group"))
-    rest = units.join(groups, "cc_group", "left_anti")
+    # Units without a group share no key worth meeting under.
+    single = units.where(F.col("cc_group").isNotNull()).join(groups, "cc_group", "left_anti")
+    rest = single.select(*units.columns).unionByName(units.where(F.col("cc_group").isNull()))
     return rest.select(*merged.columns).unionByName(merged).select(*units.columns)
 
 
@@ -182,10 +184,6 @@ def aggregate_generator_series(
     return series.where(~mine).unionByName(folded.select(*series.columns))
 
 
-# The rules of the older series aggregation.
-LEGACY_SERIES_RULES = {"p_set": "sum", "p_min_pu": "sum", "p_max_pu": "sum", "others": "mean"}
-
-
 # --- facilities ---------------------------------------------------------------------------------
 
 

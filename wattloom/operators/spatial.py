@@ -42,7 +42,7 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
 # --- neighbourhood graph ------------------------------------------------------------------------
 
 
-def _cell_side(eps: float) -> float:
+def cell_side(eps: float) -> float:
     # Any two points of a cell are within eps; the factor keeps rounding on the safe side.
     return eps / 2**0.5 * (1 - 1e-9)
 
@@ -57,7 +57,7 @@ def cell_id(x: Column, y: Column) -> Column:
 
 def with_cell(points: DataFrame, eps: float) -> DataFrame:
     """Add `cell`: points in one cell are all within eps of each other."""
-    gx, gy = _grid(_cell_side(eps))
+    gx, gy = _grid(cell_side(eps))
     return points.withColumn("cell", cell_id(gx, gy))
 
 
@@ -69,7 +69,7 @@ def eps_neighbours(points: DataFrame, eps: float) -> DataFrame:
     four boxes and looked at again; boxes of a single point always settle. No task sees all points of a
     cell, and no pair of points is ever listed.
     """
-    side = _cell_side(eps)
+    side = cell_side(eps)
     gx, gy = _grid(side)
     distinct = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("x", "y").distinct()
     placed = checkpointed(distinct.select("x", "y", gx, gy))
@@ -118,7 +118,7 @@ def eps_neighbours(points: DataFrame, eps: float) -> DataFrame:
 # --- connected components -----------------------------------------------------------------------
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): smallest node id of each connected component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). Minima are partially aggregated,
@@ -128,9 +128,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     )
     mark = None
-    for _ in range(max_rounds):
-        if current.isEmpty():
-            break
+    while not current.isEmpty():
         both = current.union(current.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
         # large-star: every larger neighbour hangs on the smallest of the neighbourhood
@@ -145,8 +143,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
         if tuple(new) == mark:
             break
         mark = tuple(new)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

@@ -5,11 +5,12 @@ Each returns a lazy `Network` ready for an optimiser; `summaries` turns its solv
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..model import Network
+from ..model import SERIES_COLUMNS, Network
 from ..operators import columns, facts, loads, overlays, results, rollup, series, topology
 from ..session import checkpointed
 from ..sources import settings as st
@@ -162,18 +163,50 @@ def with_energy_limits(network: Network, settings: Mapping) -> Network:
 
 
 def resampled(network: Network, settings: Mapping) -> Network:
-    """Series to coarser snapshots, then static attributes by rule."""
+    """Series to coarser snapshots, then static attributes, both by rule.
+
+    `resample_rules` has rows (component, attribute, rule, value, carrier); components of series end in `_t`. Series
+    without a rule take their mean. Rules with a carrier switch to the carrier-aware forms.
+    """
     weights = int(settings.get("weights", 1) or 1)
     if weights <= 1:
         return network
     rules = settings.get("resample_rules") or ()
     out = network
     if network.series is not None:
-        out = out.with_series(series.resample(network.series, network.snapshots, weights))
+        out = out.with_series(_resampled_series(network, rules, weights))
     out = out.with_snapshots(series.resampled_snapshots(network.snapshots, weights))
-    return out.map_components(
-        lambda n, df: overlays.static_rescale(df, n, rules, weights, settings.get("component_defaults"))
+    by_carrier = any(rule.get("carrier") for rule in rules if not rule["component"].endswith("_t"))
+    rescale = overlays.static_rescale_by_carrier if by_carrier else overlays.static_rescale
+    return out.map_components(lambda n, df: rescale(df, n, rules, weights, settings.get("component_defaults")))
+
+
+def _resampled_series(network: Network, rules: Sequence[Mapping], weights: int) -> DataFrame:
+    """Units of a carrier with rules of its own are resampled apart from the others; every row is in one part."""
+    of_series = [(r["component"].removesuffix("_t"), r) for r in rules if r["component"].endswith("_t")]
+    common_rules = {(c, r["attribute"]): r["rule"] for c, r in of_series if not r.get("carrier")}
+    special: dict[tuple[str, str], dict] = {}
+    for c, r in of_series:
+        if r.get("carrier") and c in network and "carrier" in network[c].columns:
+            special.setdefault((c, r["carrier"]), {})[(c, r["attribute"])] = r["rule"]
+    if not special:
+        return series.resample(network.series, network.snapshots, weights, common_rules)
+    units = reduce(
+        DataFrame.unionByName,
+        [
+            network[c].where(F.col("carrier").isin(*[k for x, k in special if x == c])).select(
+                F.lit(c).alias("component"), "name", "carrier"
+            )
+            for c in dict.fromkeys(c for c, _ in special)
+        ],
     )
+    marked = network.series.join(units, ["component", "name"], "left")
+    rest = marked.where(F.col("carrier").isNull()).drop("carrier")
+    parts = [series.resample(rest.select(*SERIES_COLUMNS), network.snapshots, weights, common_rules)]
+    for (c, carrier), own in special.items():
+        mine = marked.where((F.col("component") == c) & (F.col("carrier") == carrier)).select(*SERIES_COLUMNS)
+        parts.append(series.resample(mine, network.snapshots, weights, {**common_rules, **own}))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def single_node(network: Network, settings: Mapping, monthly: DataFrame | None = None, hourly: DataFrame | None = None) -> Network:

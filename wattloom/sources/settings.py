@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
+from ..model import ROW_ID, with_row_id
 from ..operators.loads import TOTAL_LABEL
 from .tables import read_csv
 
@@ -33,30 +34,31 @@ def read_settings(path: str) -> dict:
         return yaml.safe_load(f) or {}
 
 
-# Settings and rules steer planning, so they are read on the driver. These tables hold one row per
-# attribute or setting; a larger one is a mistake in the input.
-MAX_RULES = 10_000
+def settings_dict(df: DataFrame, names: Sequence[str], key: str = "setting", value: str = "value") -> dict:
+    """The settings called `names`; no others leave the cluster. Of repeated settings the last row counts."""
+    wanted = _last(df.where(F.col(key).isin(*names)), key, value)
+    return {r[key]: coerce(r[value]) for r in wanted.collect()}
 
 
-def _rows(df: DataFrame) -> list:
-    rows = df.take(MAX_RULES + 1)
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule or setting table with more than {MAX_RULES} rows")
-    return rows
+def _last(df: DataFrame, key: str, value: str) -> DataFrame:
+    rows = with_row_id(df)
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(value, ROW_ID).alias(value))
 
 
-def settings_dict(df: DataFrame, key: str = "setting", value: str = "value") -> dict:
-    return {r[key]: coerce(r[value]) for r in _rows(df.select(key, value))}
+def rules_frame(df: DataFrame) -> DataFrame:
+    """(attribute, rule): the last row of each attribute; attributes without a rule are left out."""
+    return _last(df, "attribute", "rule").where(F.col("rule").isNotNull())
 
 
-def rules_dict(df: DataFrame) -> dict[str, str]:
-    """attribute -> rule; rows without a rule are left out."""
-    return {r["attribute"]: r["rule"] for r in _rows(df.select("attribute", "rule")) if r["rule"] is not None}
+def rules_dict(df: DataFrame, attributes: Sequence[str]) -> dict[str, str]:
+    """attribute -> rule for the columns that exist, since rules steer planning; no other rules leave the cluster."""
+    wanted = rules_frame(df.where(F.col("attribute").isin(*attributes)))
+    return {r["attribute"]: r["rule"] for r in wanted.collect()}
 
 
-def rules_list(df: DataFrame) -> list[dict]:
-    """Resampling rules as dictionaries."""
-    return [r.asDict() for r in _rows(df)]
+def rules_list(df: DataFrame, attributes: Sequence[str]) -> list[dict]:
+    """Resampling rules of the attributes that exist, as dictionaries."""
+    return [r.asDict() for r in df.where(F.col("attribute").isin(*attributes)).collect()]
 
 
 def carrier_attributes(df: DataFrame) -> DataFrame:
@@ -76,26 +78,32 @@ def attributes_frame(spark: SparkSession, attributes: Mapping[str, Mapping[str,
 
 
 def region_map(df: DataFrame) -> DataFrame:
-    """(k, short): official and short name both lead to the short one; rows without a short name are skipped."""
-    tidy = df.select(text.strip(F.col("short")).alias("short"), text.strip(F.col("official")).alias("official"))
-    tidy = tidy.where(F.col("short") != "")
-    pairs = tidy.select(F.col("official").alias("k"), "short").unionByName(tidy.select(F.col("short").alias("k"), "short"))
-    return pairs.where(F.col("k") != "").groupBy("k").agg(F.max("short").alias("short"))
+    """(k, short): official and short name both lead to the short one; rows without a short name are skipped.
+
+    Of rows with the same name the last counts.
+    """
+    tidy = _spellings(df).where(F.col("short") != "")
+    pairs = tidy.select("at", F.explode(F.array("official", "short")).alias("k"), "short")
+    return pairs.where(F.col("k") != "").groupBy("k").agg(F.max_by("short", "at").alias("short"))
+
+
+def _spellings(df: DataFrame) -> DataFrame:
+    rows = with_row_id(df)
+    return rows.select(
+        F.col(ROW_ID).alias("at"), text.strip(F.col("short")).alias("short"), text.strip(F.col("official")).alias("official")
+    )
 
 
 def directed_region_map(df: DataFrame, direction: str = "to_short") -> DataFrame:
-    """(k, v) to the short or to the official names; both spellings are keys."""
+    """(k, v) to the short or to the official names; both spellings are keys, and of repeated keys the last row counts."""
     for column in ("short", "official"):
         if column not in df.columns:
             raise ValueError(f"region map lacks the column {column!r}")
     if direction not in ("to_short", "to_official"):
         raise ValueError(f"unknown direction {direction!r}")
     target = direction.removeprefix("to_")
-    tidy = df.select(text.strip(F.col("short")).alias("short"), text.strip(F.col("official")).alias("official"))
-    pairs = tidy.select(F.col("official").alias("k"), F.col(target).alias("v")).unionByName(
-        tidy.select(F.col("short").alias("k"), F.col(target).alias("v"))
-    )
-    return pairs.where(F.col("k").isNotNull() & F.col("v").isNotNull()).groupBy("k").agg(F.max("v").alias("v"))
+    pairs = _spellings(df).select("at", F.explode(F.array("official", "short")).alias("k"), F.col(target).alias("v"))
+    return pairs.where(F.col("k").isNotNull() & F.col("v").isNotNull()).groupBy("k").agg(F.max_by("v", "at").alias("v"))
 
 
 def read_region_map(spark: SparkSession, path: str | None = None, data: DataFrame | None = None) -> DataFrame:

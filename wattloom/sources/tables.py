@@ -6,17 +6,16 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import temporal
 from ..model import COMPONENTS, ROW_ID, Network, nan_to_null, with_row_id
 from ..operators import series as series_ops
 
-# Encodings tried in order, and those a conversion of Korean files tries.
-CSV_ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "euc-kr", "latin1")
+# Encodings a conversion of Korean files tries, in order.
 KOREAN_ENCODINGS = ("cp949", "euc-kr")
 
-# Spark's names for the encodings above.
+# Spark's names for the encodings that occur.
 _SPARK_ENCODING = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp949": "MS949", "euc-kr": "EUC-KR", "latin1": "ISO-8859-1"}
 
 _D, _S, _I, _B = T.DoubleType(), T.StringType(), T.IntegerType(), T.BooleanType()
@@ -35,7 +34,10 @@ KNOWN_TYPES: dict[str, T.DataType] = {
     "cyclic_state_of_charge": _B,
 }
 
-CORRUPT = "_corrupt_record"
+# Texts that stand for a missing number.
+_MISSING = ("", "nan", "na", "n/a", "null", "none")
+
+REJECTS = "row_id bigint, column string, cell string"
 
 
 def _names(header: Sequence[str]) -> list[str]:
@@ -50,20 +52,70 @@ def _names(header: Sequence[str]) -> list[str]:
     return out
 
 
+def _in_file_order(df: DataFrame) -> DataFrame:
+    """Add the row id. Spark packs large files first, so over several files the order follows path and position.
+
+    The id is made of the file's place in the sorted list, the megabyte at which the split starts and the row's place
+    inside its task, which ascends within a split.
+    """
+    if len(df.inputFiles()) < 2:
+        return with_row_id(df)
+    files = sorted(df.select(F.col("_metadata.file_path").alias("f")).distinct().toLocalIterator(), key=lambda r: r["f"])
+    order = df.sparkSession.createDataFrame([(r["f"], i) for i, r in enumerate(files)], "_path string, _file bigint")
+    columns = df.columns
+    place = F.shiftleft(F.floor(F.col("_metadata.file_block_start") / F.lit(1 << 20)), 27)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 27) - 1))
+    rows = df.select(*[F.col(f"`{c}`") for c in columns], F.col("_metadata.file_path").alias("_at"), (place + inside).alias("_place"))
+    rows = rows.join(F.broadcast(order), F.col("_at") == F.col("_path"))  # one row per file
+    return rows.select(*[F.col(f"`{c}`") for c in columns], (F.shiftleft("_file", 47) + F.col("_place")).alias(ROW_ID))
+
+
+def _parsed(column: str, kind: T.DataType) -> Column:
+    """A text cell as its type, null where it does not parse. Whole numbers may be written with decimals."""
+    cell = F.col(f"`{column}`")
+    if isinstance(kind, T.StringType):
+        return cell
+    if isinstance(kind, T.BooleanType):
+        return F.lower(F.trim(cell)).try_cast("boolean")
+    if isinstance(kind, (T.IntegerType, T.LongType)):
+        number = cell.try_cast("double")
+        return F.when(number == F.rint(number), number.try_cast(kind.simpleString()))
+    return cell.try_cast(kind.simpleString())
+
+
 def read_csv(
-    spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8-sig", infer: bool = True, row_id: bool = True
+    spark: SparkSession,
+    path: str | Sequence[str],
+    encoding: str = "utf-8-sig",
+    infer: bool = True,
+    row_id: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
+    """The rows of `read_csv_checked`; cells that do not parse are null."""
+    return read_csv_checked(spark, path, encoding, infer, row_id, multi_line)[0]
+
+
+def read_csv_checked(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    encoding: str = "utf-8-sig",
+    infer: bool = True,
+    row_id: bool = True,
+    multi_line: bool = True,
+) -> tuple[DataFrame, DataFrame]:
     """CSV with a header: known columns typed by name, the rest inferred, missing as null, file order kept.
 
-    The header comes from the first line alone. Types of unknown columns cost one pass; switch `infer`
-    off to read them as text.
+    Returns the rows and the cells that do not parse as (row_id, column, cell). Cells are read as text and then cast, so
+    that `2015.0` is a year. The header comes from the first line alone. Types of unknown columns cost one pass; switch
+    `infer` off to read them as text. Quoted line breaks need `multi_line`, which reads a file in one task; long fact
+    files, which have none, are read without and are split.
     """
     reader = spark.read.option("header", True).option("encoding", _SPARK_ENCODING.get(encoding, encoding))
-    reader = reader.option("ignoreLeadingWhiteSpace", False).option("multiLine", False)
-    raw = spark.read.option("encoding", _SPARK_ENCODING.get(encoding, encoding)).option("header", False).csv(path)
-    header = raw.first()
+    reader = reader.option("ignoreLeadingWhiteSpace", False).option("multiLine", multi_line)
+    raw = spark.read.option("encoding", _SPARK_ENCODING.get(encoding, encoding)).option("header", False)
+    header = raw.option("multiLine", multi_line).csv(path).first()
     if header is None:
-        return spark.createDataFrame([], T.StructType())
+        return spark.createDataFrame([], T.StructType()), spark.createDataFrame([], REJECTS)
     names = _names([h or f"_c{i}" for i, h in enumerate(header)])
     unknown = [n for n in names if n not in KNOWN_TYPES]
     inferred: dict[str, T.DataType] = {}
@@ -71,9 +123,24 @@ def read_csv(
         fields = reader.option("inferSchema", True).csv(path).schema.fields
         inferred = {n: f.dataType for n, f in zip(names, fields)}
         inferred = {n: t for n, t in inferred.items() if not isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType))}
-    schema = T.StructType([T.StructField(n, KNOWN_TYPES.get(n, inferred.get(n, _S))) for n in names])
-    df = reader.option("enforceSchema", True).schema(schema).csv(path)
-    return nan_to_null(with_row_id(df) if row_id else df)
+    kinds = {n: KNOWN_TYPES.get(n, inferred.get(n, _S)) for n in names}
+    cells = reader.option("enforceSchema", True).schema(T.StructType([T.StructField(n, _S) for n in names])).csv(path)
+    cells = _in_file_order(cells)
+    wrong = [
+        F.when(
+            F.col(f"`{n}`").isNotNull() & ~F.lower(F.trim(F.col(f"`{n}`"))).isin(*_MISSING) & _parsed(n, k).isNull(),
+            F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").alias("cell")),
+        )
+        for n, k in kinds.items()
+        if not isinstance(k, T.StringType)
+    ]
+    rejects = spark.createDataFrame([], REJECTS)
+    if wrong:
+        rejects = cells.select(F.col(ROW_ID).alias("row_id"), F.explode(F.array_compact(F.array(*wrong))).alias("w"))
+        rejects = rejects.select("row_id", "w.column", "w.cell")
+    kept = [] if not row_id or ROW_ID in names else [F.col(ROW_ID)]
+    rows = cells.select(*[_parsed(n, k).alias(n) for n, k in kinds.items()], *kept)
+    return nan_to_null(rows), rejects
 
 
 def read_encoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
@@ -86,14 +153,18 @@ def read_encoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame
 
 
 def read_network(spark: SparkSession, folder: str, encoding: str = "utf-8-sig") -> Network:
-    """A folder of component CSVs, `<component>-<attribute>.csv` series files and `snapshots.csv`."""
+    """A folder of component CSVs, `<component>-<attribute>.csv` series files and `snapshots.csv`.
+
+    `rejects` of the network holds, per component table, the cells that do not parse.
+    """
     names = _listing(spark, folder)
-    components, parts, snapshots = {}, [], None
+    components, rejects, parts, snapshots = {}, {}, [], None
     for file in names:
         stem, path = file.removesuffix(".csv"), f"{folder.rstrip('/')}/{file}"
         if stem in COMPONENTS or stem.rstrip("s") + "s" in COMPONENTS:
             table = stem if stem in COMPONENTS else stem.rstrip("s") + "s"
-            components[table] = _named(read_csv(spark, path, encoding))
+            rows, rejects[table] = read_csv_checked(spark, path, encoding)
+            components[table] = _named(rows)
         elif stem == "snapshots":
             snapshots = read_csv(spark, path, encoding, row_id=False)
         elif "-" in stem and stem.split("-", 1)[0] in COMPONENTS:
@@ -107,7 +178,7 @@ def read_network(spark: SparkSession, folder: str, encoding: str = "utf-8-sig")
         snapshots = series_ops.snapshot_dimension(stamps)
     elif series is not None:
         snapshots = series_ops.snapshot_dimension(series)
-    return Network(components, series, snapshots)
+    return Network(components, series, snapshots, rejects)
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -141,7 +212,7 @@ def read_hourly(spark: SparkSession, path: str, base: int | None, target: int |
 
 
 def _facts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    raw = read_csv(spark, path)
+    raw = read_csv(spark, path, multi_line=False)
     parsed = temporal.parse_dayfirst(F.col("snapshot").cast("string"))
     good = raw.where(parsed.isNotNull()).withColumn("snapshot", parsed)
     bad = raw.where(parsed.isNull()).withColumn("snapshot", F.lit(None).cast("timestamp_ntz"))
@@ -189,16 +260,12 @@ def _decoded(content: bytes, encoding: str) -> str | None:
         return None
 
 
-def transcode_summary(transcoded: DataFrame) -> DataFrame:
-    return transcoded.groupBy("ok").agg(F.count(F.lit(1)).alias("files"))
-
-
 def csv_dir_to_tables(
     spark: SparkSession, folder: str, out: str, recursive: bool = False, encoding: str = "utf-8-sig", combined: bool = False
 ) -> DataFrame:
-    """Each CSV of a folder as a Parquet table named after it; returns (table, rows, cols).
+    """Each CSV of a folder as a Parquet table named by its path below the folder; returns (table, rows, cols).
 
-    With `combined` all files become one table with the file stem as a column.
+    With `combined` all files become one table with that name as a column.
     """
     found = (
         spark.read.format("binaryFile")
@@ -210,8 +277,7 @@ def csv_dir_to_tables(
     )
     tables = {}
     for row in found.toLocalIterator():
-        stem = row["path"].rsplit("/", 1)[-1].removesuffix(".csv")
-        tables[stem] = read_csv(spark, row["path"], encoding).drop(ROW_ID)
+        tables[_below(row["path"], folder)] = read_csv(spark, row["path"], encoding).drop(ROW_ID)
     if not tables:
         return spark.createDataFrame([], "table string, rows bigint, cols bigint")
     if combined:
@@ -231,6 +297,12 @@ def csv_dir_to_tables(
     return reduce(DataFrame.unionByName, counts)
 
 
+def _below(path: str, folder: str) -> str:
+    """`a/b` for the file `a/b.csv` below `folder`."""
+    inner = folder.rstrip("/").split("://", 1)[-1].split(":", 1)[-1]
+    return path.removesuffix(".csv").split(f"{inner}/", 1)[-1]
+
+
 # --- sinks --------------------------------------------------------------------------------------
 
 
@@ -245,11 +317,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 def write_series(series: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Partitioned by component and attribute, so that reading one attribute skips all others.
 
-    Rows are spread by attribute and a slice of the names before writing: few files per partition, and
-    an attribute that dominates is written by many tasks.
+    Rows are dealt by ranges of component, attribute, name and time, cut by sampled row counts: few files per
+    partition, and an attribute that dominates is written by as many tasks as its rows need.
     """
-    slices = F.pmod(F.xxhash64("name"), F.lit(64))
-    spread = series.repartition("component", "attribute", slices)
+    spread = series.repartitionByRange("component", "attribute", "name", "snapshot")
     spread.write.mode(mode).partitionBy("component", "attribute").parquet(path)
 
 
