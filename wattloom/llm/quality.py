@@ -40,11 +40,11 @@ class Rule(NamedTuple):
 
 RULES = (
     Rule("mean_word_chars", 2.0, 12.0),
-    Rule("symbol_ratio", 0.0, 0.1),
+    Rule("symbol_ratio", 0.0, 0.06),
     Rule("shout_ratio", 0.0, 0.1),
     Rule("upper_ratio", 0.0, 0.4),
-    Rule("stop_word_ratio", 0.02, 1.0),
-    Rule("dup_line_ratio", 0.0, 0.3),
+    Rule("stop_word_ratio", 0.08, 1.0),
+    Rule("dup_line_ratio", 0.0, 0.4),
     Rule("bullet_line_ratio", 0.0, 0.9),
     Rule("ellipsis_line_ratio", 0.0, 0.3),
 )

@@ -31,7 +31,7 @@ from .common import new_path, ship, stored, texts
 from .words import blocks, mixed, runs, spaced
 
 LENGTH = 13
-CHUNK_WINDOWS = 1_000_000
+CHUNK_WINDOWS = 500_000
 MAX_BITS = 29
 SLICE_BITS = 20
 _OTHER = np.uint64(0x8EBC6AF09C88C6E3)
@@ -328,7 +328,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, max_bits: int = MAX_BITS
     windows = size // 6 + 1
     bits = bits or min(max_bits, max(16, (4 * windows - 1).bit_length()))
     named = rows.where("doc_id IS NOT NULL")
-    found = repeated_places(named, length, sketch(named, length, bits), 8 + windows // CHUNK_WINDOWS)
+    found = repeated_places(named, length, sketch(named, length, bits), 8 + windows // 1_000_000)
     found = stored(found, "ranges").withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
     placed = rows.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
     return placed.select("doc_id", "text", "ranges").mapInArrow(
