@@ -32,7 +32,8 @@ def texts():
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     out = []
     for k in range(80):
-        parts = words(20, k) + ["Umweltverträglichkeitsprüfung", "internationalization", "responsibilitiesandmore"]
+        syllables = ["ver", "ant", "wort", "lich", "keit", "tion", "schaft", "ment", "able", "ung", "ent", "is"]
+        parts = words(20, k) + ["".join(rng.choice(syllables) for _ in range(rng.randrange(3, 7))) for _ in range(20)] + ["Umweltverträglichkeitsprüfung", "internationalization", "responsibilitiesandmore"]
         extra = [
             f"password={hexes(18)}", f'Token = "{hexes(40)}"', "AKIA" + "".join(rng.choice(string.ascii_uppercase + string.digits) for _ in range(16)),
             hexes(40), "secret=token:abcdefgh", "pAsSwD:short", "API_KEY='abc.def=='", "AKIAAKIA" + "Z" * 13, "é" + hexes(30) + "g",

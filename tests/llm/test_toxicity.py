@@ -9,7 +9,7 @@ from llm_data import docs_table, edge_rows, words
 from wattloom.llm import toxicity
 
 
-def labelled(n=600):
+def labelled(n=1200):
     rng = random.Random(2)
     rows, labels = [], []
     for k in range(n):
@@ -18,7 +18,7 @@ def labelled(n=600):
             for _ in range(3):
                 text[rng.randrange(len(text))] = rng.choice(["idiot", "Moron,", "scum!"])
         rows.append((k, " ".join(text)))
-        if k % 2 == 0 or toxic:
+        if k % 2 == 0:
             labels.append((k, 1, toxic))
     return rows, labels
 
@@ -36,7 +36,7 @@ def test_held_out_accuracy_and_split(spark):
 
 
 def test_held_out_labels_are_never_used(spark):
-    rows, labels = labelled(200)
+    rows, labels = labelled(400)
     docs = docs_table(spark, rows)
     flipped = [(d, q, 1 - t if zlib.crc32(str(d).encode()) % 4 == 2 else t) for d, q, t in labels]
     one, other = (
@@ -48,19 +48,19 @@ def test_held_out_labels_are_never_used(spark):
 
 def test_corrected_risk_separates_positive_from_the_rest_of_unlabelled():
     rng = np.random.default_rng(4)
-    mark = np.uint64(7)
+    mark = 7
 
     def document(toxic):
-        return np.unique(np.append(rng.integers(100, 400, 30).astype(np.uint64), [mark] if toxic else []).astype(np.uint64))
+        return np.unique(np.append(rng.integers(100, 400, 30), [mark] if toxic else []).astype(np.uint32))
 
     sample = [(True, document(True)) for _ in range(150)] + [(False, document(k % 4 == 0)) for k in range(600)]
     model = toxicity.fit(sample, 0.25)
-    weight = dict(zip(model.words.tolist(), model.weights))
-    assert weight[7] > 3 * max(abs(w) for k, w in weight.items() if k != 7)
+    weight = dict(zip(model.features.tolist(), model.weights))
+    assert weight[7] > 3 * max([0.1, *(abs(w) for k, w in weight.items() if k != 7)])
 
 
 def test_defined_cases(spark):
-    rows, labels = labelled(200)
+    rows, labels = labelled(400)
     schema = "doc_id long, quality int, toxic int"
     extra = edge_rows()
     moved = [(None if d is None else d + 10_000, t) for d, t in extra]

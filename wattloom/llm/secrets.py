@@ -4,7 +4,7 @@ Base kinds are patterns: assignments to secret names, access keys, long hexadeci
 characters that look random: two first-order character models are trained, one of random strings (labelled: the values
 the patterns found), one of ordinary identifiers (labelled: token runs of at least `MIN_IDENTIFIER` characters that no
 pattern touches). A run of at least `MIN_TOKEN` characters is a secret if the log-likelihood ratio of the two, per
-transition, is above `MIN_RATIO`. The random model is half uniform, since secrets need not use the samples' alphabet.
+transition, is above `MIN_RATIO` (below 0: a missed secret costs more than a false one; ordinary long words lie under -1.8). Four fifths of the random model are uniform, since secrets need not use the samples' alphabet.
 
 All texts train the models; what comes back to the driver are the 2 x 64 x 64 transition counts. The ratios are one
 array literal, indexed by both characters' codes.
@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 MIN_ASSIGNED = 6
 MIN_IDENTIFIER = 12
 MIN_TOKEN = 20
-MIN_RATIO = 0.0
+MIN_RATIO = -0.75
 SMOOTHING = 0.5
-UNIFORM = 0.5
+UNIFORM = 0.8
 # Fixed values of the contract; a match of the first that assigns fewer than 6 characters is dropped after matching.
 NAMES = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 HEAD = rf"""({NAMES})["']?\x20*[:=]\x20*["']?"""

@@ -29,7 +29,8 @@ class Alphabet(NamedTuple):
 class Block(NamedTuple):
     """Words of documents `low` to `high` of a batch; document i has words first[i] to first[i + 1].
 
-    `start` and `end` are byte positions in `data`, the bytes of the whole batch.
+    `start` and `end` are byte positions in `data`, the bytes of the whole batch. Row k of `prefixes` has the hashes of
+    the words' first bytes, as many as the k-th prefix length asked for, and 0 for words that are not longer.
     """
 
     low: int
@@ -39,6 +40,7 @@ class Block(NamedTuple):
     start: np.ndarray
     end: np.ndarray
     data: np.ndarray
+    prefixes: np.ndarray
 
 
 def _alphabet(inside: np.ndarray, fold: bool) -> Alphabet:
@@ -88,7 +90,9 @@ def _room(size: int) -> int:
     return max(STEP, 1 << (size - 1).bit_length())
 
 
-def _span_words(data: np.ndarray, low: int, high: int, edges: np.ndarray, alphabet: Alphabet):
+def _span_words(
+    data: np.ndarray, low: int, high: int, edges: np.ndarray, alphabet: Alphabet, lengths: tuple[int, ...] = ()
+):
     part = data[low:high]
     inside = alphabet.inside[part]
     before, after = np.zeros(len(part), bool), np.zeros(len(part), bool)
@@ -100,8 +104,14 @@ def _span_words(data: np.ndarray, low: int, high: int, edges: np.ndarray, alphab
     power, inverse = _powers(_room(len(part)))
     value = alphabet.value[part] * power[: len(part)]
     total = np.cumsum(value, dtype=np.uint64)
-    hashes = mixed((total[end - 1] - total[start] + value[start]) * inverse[start])
-    return hashes, start + low, end + low
+    before_start = total[start] - value[start]
+    hashes = mixed((total[end - 1] - before_start) * inverse[start])
+    prefixes = np.zeros((len(lengths), len(start)), np.uint64)
+    for k, length in enumerate(lengths):
+        longer = np.flatnonzero(end - start > length)
+        at = start[longer]
+        prefixes[k, longer] = mixed((total[at + length - 1] - before_start[longer]) * inverse[at])
+    return hashes, start + low, end + low, prefixes
 
 
 def _cuts(data: np.ndarray, low: int, high: int, alphabet: Alphabet) -> Iterator[tuple[int, int]]:
@@ -119,7 +129,9 @@ def _cuts(data: np.ndarray, low: int, high: int, alphabet: Alphabet) -> Iterator
         low = end
 
 
-def blocks(column: pa.Array, alphabet: Alphabet, size: int = BLOCK) -> Iterator[Block]:
+def blocks(
+    column: pa.Array, alphabet: Alphabet, size: int = BLOCK, prefix_lengths: tuple[int, ...] = ()
+) -> Iterator[Block]:
     """The words of a string column, a few documents (about `size` bytes) at a time. Null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(column):
@@ -133,13 +145,15 @@ def blocks(column: pa.Array, alphabet: Alphabet, size: int = BLOCK) -> Iterator[
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + size, "right")) - 1)
         edges = offsets[low : high + 1]
         parts = [
-            _span_words(data, a, b, edges, alphabet) for a, b in _cuts(data, int(edges[0]), int(edges[-1]), alphabet)
+            _span_words(data, a, b, edges, alphabet, prefix_lengths)
+            for a, b in _cuts(data, int(edges[0]), int(edges[-1]), alphabet)
         ]
         if parts:
-            hashes, start, end = (np.concatenate(x) for x in zip(*parts))
+            hashes, start, end, prefixes = (np.concatenate(x, axis=-1) for x in zip(*parts))
         else:
             hashes, start, end = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield Block(low, high, hashes, np.searchsorted(start, edges), start, end, data)
+            prefixes = np.zeros((len(prefix_lengths), 0), np.uint64)
+        yield Block(low, high, hashes, np.searchsorted(start, edges), start, end, data, prefixes)
         low = high
 
 
