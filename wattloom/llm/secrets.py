@@ -4,7 +4,8 @@ Base kinds are patterns: assignments to secret names, access keys, long hexadeci
 characters that look random: two first-order character models are trained, one of random strings (labelled: the values
 the patterns found), one of ordinary identifiers (labelled: token runs of at least `MIN_IDENTIFIER` characters that no
 pattern touches). A run of at least `MIN_TOKEN` characters is a secret if the log-likelihood ratio of the two, per
-transition, is above `MIN_RATIO` (below 0: a missed secret costs more than a false one; ordinary long words lie under -1.8). Four fifths of the random model are uniform, since secrets need not use the samples' alphabet.
+transition, is above `MIN_RATIO` (below 0, since a missed secret costs more than a false one; ordinary long words lie
+under -1.8). Four fifths of the random model are uniform, since secrets need not use the samples' alphabet.
 
 All texts train the models; what comes back to the driver are the 2 x 64 x 64 transition counts. The ratios are one
 array literal, indexed by both characters' codes.
@@ -12,8 +13,8 @@ array literal, indexed by both characters' codes.
 Positions are code points, ends exclusive. They follow from the lengths of the pieces between matches, since splitting
 and extracting visit the same matches.
 
-Defined cases: a null text is empty and holds nothing; without any random string or identifier the models are equal and
-nothing is added; repeated rows agree; very long texts are scanned whole.
+Defined cases: a null text is empty and holds nothing; without any random string or identifier to learn from, nothing is
+added; repeated rows agree; very long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -114,6 +115,8 @@ def ratios(counts: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
     n = {True: [0] * _SIZE**2, False: [0] * _SIZE**2}
     for row in counts.collect():  # at most 2 x 64 x 64 rows
         n[row["random"]][row["transition"]] = row["n"]
+    if not (sum(n[True]) and sum(n[False])):
+        return [float("-inf")] * _SIZE**2
     out = []
     for a in range(_SIZE):
         here = slice(a * _SIZE, (a + 1) * _SIZE)
