@@ -144,7 +144,8 @@ def fit(
         columns.append(at)
     row, column, k = np.concatenate(rows), np.concatenate(columns), len(ids)
     shrink = min(decay / n_p, 3e-3)
-    weights, bias = np.zeros(k), float(np.log(prior / (1 - prior)))
+    most = float(np.log(prior / (1 - prior)))
+    weights, bias = np.zeros(k), most
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
         score = np.bincount(row, weights[column], minlength=n) + bias
@@ -159,7 +160,8 @@ def fit(
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        weights, bias = weights - move[:-1], bias - move[-1]
+        # A document without any of the features never scores above the prior.
+        weights, bias = weights - move[:-1], min(bias - move[-1], most)
     return Model(ids, weights, float(bias))
 
 
