@@ -9,10 +9,12 @@ signature, and two signatures agree there with the probability of their weighted
 
 Signatures are cut into `bands` of `rows` coordinates. Documents that share a band are candidates; candidates are
 compared by their whole sets, and links of at least `similarity` make the classes. A band's members are first compared
-with its smallest member. Bands that still hold several classes are then taken two at a time: members that share two
-bands go on with more and more leaders, until every two of them are in one class or were compared. Nothing is capped,
-and no band's members are listed pairwise up front. At similarity 0.8, 48 bands of 7 leave a pair without a common band
-with probability 1.2e-5 and with less than two with 1.7e-4; at 0.85 with 9e-9 and 2e-7.
+with its smallest member. In a band that still holds several classes, the members outside its largest class are
+compared with four members of that class (first, last, two by hash); they then go on without that class, first under
+every two of their bands and so on, until no band holds several classes or a round finds no link. Each round compares a
+document a few times per band, so the work grows with the rows, not with the square of a group. At similarity 0.8, 48
+bands of 7 leave a pair without a common band with probability 1.2e-5. A document among very many mutually different
+near copies is compared with hundreds of them, not with all, and stays apart if it is similar to none of those.
 
 Defined cases: words are runs of non-white-space, taken as they are; texts of one to four words are one element, their
 whole word sequence; documents without words (null, empty, blank) and rows without an id are classes of their own;
@@ -243,17 +245,15 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, similarity: floa
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _leader_pairs(members: DataFrame, kinds: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each band's leaders with its members in other classes, and the leaders. `kinds` groups lead by their two ends."""
-    group = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(kinds))
-    ends = members.groupBy("band", group.alias("kind")).agg(
-        F.min(F.struct("rep", "class")).alias("lo"), F.max(F.struct("rep", "class")).alias("hi")
+def _with_leaders(members: DataFrame, turn: int) -> DataFrame:
+    """Members outside the largest class of their band, with some members of that class as `leaders`."""
+    by_hash = [F.min_by("rep", F.xxhash64("rep", F.lit(turn), F.lit(k))) for k in (0, 1)]
+    kinds = members.groupBy("band", "class").agg(
+        F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(F.min("rep"), F.max("rep"), *by_hash)).alias("leaders")
     )
-    leaders = ends.select("band", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("l"))
-    leaders = stored(leaders.select("band", F.col("l.rep").alias("leader"), F.col("l.class").alias("led")), "leaders")
-    met = members.join(leaders, "band").where("class <> led")
-    pairs = met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    return pairs, leaders
+    largest = kinds.groupBy("band").agg(F.max_by(F.struct("class", "leaders"), F.struct("n", -F.col("class"))).alias("l"))
+    largest = largest.select(F.col("band").alias("_b"), F.col("l.class").alias("led"), F.col("l.leaders").alias("leaders"))
+    return members.join(largest, F.col("band") == F.col("_b")).where("class <> led").select("band", "rep", "leaders")
 
 
 def _open(members: DataFrame, classes: DataFrame | None) -> DataFrame:
@@ -297,27 +297,29 @@ def near_duplicates(
     pairs = members.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
     members = members.where("rep <> lo").select("band", "rep")
     checked = classes = None
-    turn, kinds = 0, 1
+    turn = 0
     while True:
         pairs = stored(pairs, "pairs")
         if not pairs.isEmpty():
             checked = pairs if checked is None else checked.union(pairs)
             links = stored(_linked(pairs, docs, reps, similarity, shingle), "links")
-            if not links.isEmpty():
-                classes = extended(classes, links)
+            if links.isEmpty() and turn > 0:
+                break
+            classes = extended(classes, links)
         if checked is None:
             break
-        members = stored(_open(members, classes), "open")
-        if turn == 0:
-            members = stored(_open(_two_at_a_time(members), classes), "open")
+        members = _open(members, classes)
+        if turn == 1:
+            members = _open(_two_at_a_time(members.select("band", "rep")), classes)
+        members = stored(members, "open")
         if members.isEmpty():
             break
-        pairs, leaders = _leader_pairs(members, kinds, turn)
+        followers = stored(_with_leaders(members, turn), "followers")
+        met = followers.select("rep", F.explode("leaders").alias("leader"))
+        pairs = met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
         pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        led = leaders.select(F.col("band").alias("_b"), F.col("leader").alias("_r"))
-        followers = members.join(led, (F.col("band") == F.col("_b")) & (F.col("rep") == F.col("_r")), "left_anti")
-        members = stored(followers.select("band", "rep"), "followers")
-        turn, kinds = turn + 1, kinds * 4
+        members = followers.select("band", "rep")
+        turn += 1
 
     member = signed.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).distinct()
     member = member.join(copies.select("digest", "rep"), F.col("_d") == F.col("digest")).select("_id", "rep")
