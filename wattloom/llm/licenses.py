@@ -4,9 +4,9 @@ A unit of text is a line, a paragraph, or the whole text. Units and templates ar
 but letters and digits is a gap) and become sets of word bigrams; a unit bears a licence if 2 |A n B| / (|A| + |B|) of
 the two sets is at least `similarity`. A unit whose number of bigrams lies outside (s / (2 - s)) to ((2 - s) / s) times
 that of a template cannot reach s, so these bounds choose the candidate templates of a unit; units outside the bounds of
-all templates go before their bigrams are made, and units that share none of the bigrams that a match must share go
-before any comparison (at s, a unit may lack fewer than a template's share 1 - s / (2 - s) of bigrams, so it holds one
-of any larger part of them).
+all templates go before their bigrams are made. A unit that reaches s lacks at most the share 1 - s / (2 - s) of a
+template's bigrams, so it holds one of any larger part of them: texts without any word of such a part are never split
+into units, and units without any bigram of such a part are never compared.
 
 The templates are a short list given as a parameter; they travel as literals.
 
@@ -18,10 +18,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .quality import STOP_WORDS
+
 SIMILARITY = 0.8
 # Customary notices, as their licences propose them.
 NOTICES = {
@@ -54,9 +57,9 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
-def normalised(text: Column) -> Column:
-    """Lower case, gaps as one blank; line feeds stay."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+def normalised(lowered: Column) -> Column:
+    """Gaps of a text in lower case as one blank; line feeds stay."""
+    return F.regexp_replace(lowered, r"[^\p{L}\p{N}\n]+", " ")
 
 
 def units(text: Column) -> Column:
@@ -72,14 +75,36 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(pairs, lambda p: p["b"].isNotNull()), lambda p: F.concat_ws(" ", p["a"], p["b"])))
 
 
+def telling_words(pairs: list[str], low: float) -> list[str]:
+    """Few, preferably long and rare words of a template, such that a unit with a share `low` of its bigrams holds one."""
+    most_missing, touched, chosen = len(pairs) - ceil(low * len(pairs) - 1e-9), set(), []
+    for word in sorted({w for p in pairs for w in p.split(" ")}, key=lambda w: (w in STOP_WORDS, -len(w), w)):
+        if len(touched) > most_missing:
+            break
+        new = {p for p in pairs if word in p.split(" ")} - touched
+        if new:
+            chosen.append(word)
+            touched |= new
+    return chosen
+
+
+def _holds(lowered: Column, word: str) -> Column:
+    """Whether a text holds a word; short words must stand alone."""
+    if len(word) >= 5:
+        return F.contains(lowered, F.lit(word))
+    return F.contains(lowered, F.lit(word)) & lowered.rlike(rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])")
+
+
 def notices(docs: DataFrame, templates: Mapping[str, str] = NOTICES, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, unit, license and dice: for every unit of a text that bears a licence, its best template."""
     sets = {name: template_bigrams(text) for name, text in sorted(templates.items())}
     sets = {name: pairs for name, pairs in sets.items() if pairs}
     low, high = similarity / (2 - similarity), (2 - similarity) / similarity
     bounds = [(ceil(low * len(pairs) - 1e-9), floor(high * len(pairs) + 1e-9)) for pairs in sets.values()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_n"))
-    rows = rows.select("doc_id", F.explode(units(F.col("_n"))).alias("unit"))
+    words = dict.fromkeys(w for pairs in sets.values() for w in telling_words(pairs, low))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("_low"))
+    rows = rows.where(reduce(lambda a, w: a | _holds(F.col("_low"), w), words, F.lit(False)))
+    rows = rows.select("doc_id", normalised(F.col("_low")).alias("_n")).select("doc_id", F.explode(units(F.col("_n"))).alias("unit"))
     gaps = F.length("unit") - F.length(F.translate("unit", " ", ""))
     # Distinct bigrams may be fewer than gaps, never more.
     rows = rows.where(gaps >= min((a for a, _ in bounds), default=1))

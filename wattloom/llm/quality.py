@@ -76,11 +76,13 @@ def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
     rows = rows.withColumns({"_words": words_of(F.col("_text")), "_lines": F.split(F.col("_text"), "\n")})
     rows = rows.withColumn("_full", F.filter("_lines", lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     words, n = F.col("_words"), F.size("_words")
-    window = lambda i: F.struct(
-        F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("at")
-    )
+    window = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
     starts = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("_windows", F.sort_array(F.transform(starts, window)))
+    rows = rows.withColumn("_hashes", F.transform(starts, window))
+    # Only texts in which some window repeats are sorted.
+    placed = F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("at")))
+    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    rows = rows.withColumn("_windows", F.when(repeats, F.sort_array(placed)).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")))
     rows = rows.withColumn("_starts", _repeated_starts())
     at = F.col("_starts")
     # A window's three words, less those of the next repeated window.
