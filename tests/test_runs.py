@@ -163,7 +163,7 @@ def test_settings(spark, tmp_path):
     (tmp_path / "s.yaml").write_text("modelling_setting:\n  weights: 4\n")
     assert st.read_settings(str(tmp_path / "s.yaml")) == {"modelling_setting": {"weights": 4}}
     frame = spark.createDataFrame([("a", "TRUE"), ("b", "7")], "setting string, value string")
-    assert st.settings_dict(frame) == {"a": True, "b": 7}
+    assert st.settings_dict(frame, ["a", "b", "c"]) == {"a": True, "b": 7}
     with pytest.raises(ValueError):
         st.directed_region_map(spark.createDataFrame([("a", "b")], "short string, official string"), "up")
     assert st.read_region_map(spark).count() == 0
@@ -183,3 +183,21 @@ def test_entry_has_rows(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_resampling_rules_reach_the_runs(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(c, a, n, start + dt.timedelta(hours=h), float(h)) for c, a, n in (("generators", "p_max_pu", "g1"), ("generators", "p_max_pu", "g2"), ("loads", "p_set", "l1"), ("links", "p0", "k1")) for h in range(8)]
+    table = spark.createDataFrame(rows, "component string, attribute string, name string, snapshot timestamp_ntz, value double")
+    units = spark.createDataFrame([("g1", "sun", 0.1), ("g2", "lng", 0.1)], "name string, carrier string, ramp_limit_up double")
+    network = Network({"generators": units}, table, runs.series.snapshot_dimension(table))
+    rules = [
+        {"component": "generators_t", "attribute": "p_max_pu", "rule": "mean"},
+        {"component": "generators_t", "attribute": "p_max_pu", "rule": "max", "carrier": "sun"},
+        {"component": "loads_t", "attribute": "p_set", "rule": "sum"},
+        {"component": "generators", "attribute": "ramp_limit_up", "rule": "scale", "carrier": "lng"},
+    ]
+    out = runs.resampled(network, {"weights": 4, "resample_rules": rules})
+    got = {(r.name, r.snapshot.hour): r.value for r in out.series.collect()}
+    assert got == {("g1", 0): 3, ("g1", 4): 7, ("g2", 0): 1.5, ("g2", 4): 5.5, ("l1", 0): 6, ("l1", 4): 22, ("k1", 0): 1.5, ("k1", 4): 5.5}
+    assert {r.name: r.ramp_limit_up for r in out["generators"].collect()} == {"g1": 0.1, "g2": 0.4}

@@ -69,6 +69,22 @@ def _fill_regression(t):
     return impute.fill_missing(_gaps(t), "capital_cost", ["carrier"], "regression", predictors=["p_nom"]).select(*_OUT)
 
 
+@query(
+    "fill_regression_gaps",
+    """
+    , f AS (SELECT regr_slope(capital_cost, p_nom) AS s, regr_intercept(capital_cost, p_nom) AS i FROM f_gaps WHERE control <> 'O')
+    SELECT name, round(coalesce(capital_cost, CASE WHEN control <> 'O' THEN greatest((SELECT s FROM f) * p_nom + (SELECT i FROM f), 0)
+           ELSE avg(capital_cost) OVER (PARTITION BY carrier) END), 2) AS capital_cost FROM f_gaps
+    """,
+    "f_gaps",
+    digits=2,
+)
+def _fill_regression_gaps(t):
+    # Units that lack the predictor get their group's mean; the others are fitted.
+    rows = _gaps(t).withColumn("p_nom", F.when(F.col("control") != "O", F.col("p_nom")))
+    return impute.fill_missing(rows, "capital_cost", ["carrier"], "regression", predictors=["p_nom"]).select(*_OUT)
+
+
 @query(
     "fill_regression_text",
     """

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import temporal
+from ..model import Network
 from ..operators import series
+from ..plans import runs
 from .registry import query
 
 _WIDE = """
@@ -213,20 +215,26 @@ def _resample_mean(t):
     return series.resample(t["f_network_series"], series.snapshot_dimension(t["f_snapshots"]), 5)
 
 
+# Buckets as whole numbers, and the view read once.
+_RULES = "CASE attribute WHEN 'p_max_pu' THEN max(value) WHEN 'p_set' THEN sum(value) WHEN 'fuel_cost' THEN min(value) END"
+
+
 @query(
     "resample_rules",
-    _resample_sql(
-        24,
-        "CASE attribute WHEN 'p_max_pu' THEN max(value) WHEN 'p_set' THEN sum(value) WHEN 'fuel_cost' THEN min(value) END",
-        "WHERE (component = 'generators' AND attribute IN ('p_max_pu', 'fuel_cost')) OR component = 'loads'",
-    )
-    + """
-    SELECT component, attribute, name, snapshot, round(CASE WHEN attribute = 'p_set' THEN coalesce(v.value, 0) ELSE v.value END, 6) AS value
-    FROM g LEFT JOIN v USING (component, attribute, name, snapshot)
-    UNION ALL SELECT component, attribute, name, snapshot, round(value, 6) FROM f_network_series
-    WHERE NOT ((component = 'generators' AND attribute IN ('p_max_pu', 'fuel_cost')) OR component = 'loads')
+    f"""
+    , n AS MATERIALIZED (SELECT *, (component = 'generators' AND attribute IN ('p_max_pu', 'fuel_cost')) OR component = 'loads' AS touched
+                         FROM f_network_series),
+    days AS MATERIALIZED (SELECT CAST(min(snapshot) AS DATE) AS first, CAST(max(snapshot) AS DATE) - CAST(min(snapshot) AS DATE) AS last FROM n),
+    b AS MATERIALIZED (SELECT component, attribute, name, CAST(snapshot AS DATE) - first AS day, {_RULES} AS value
+                       FROM n, days WHERE touched GROUP BY component, attribute, name, CAST(snapshot AS DATE) - first),
+    g AS (SELECT component, attribute, name, day FROM (SELECT DISTINCT component, attribute, name FROM b) k,
+            (SELECT unnest(range(0, last + 1)) AS day FROM days))
+    SELECT component, attribute, name, CAST(first + CAST(day AS INTEGER) AS TIMESTAMP) AS snapshot,
+           round(CASE WHEN attribute = 'p_set' THEN coalesce(b.value, 0) ELSE b.value END, 6) AS value
+    FROM g LEFT JOIN b USING (component, attribute, name, day), days
+    UNION ALL SELECT component, attribute, name, snapshot, round(value, 6) FROM n WHERE NOT touched
     """,
-    "f_network_series f_snapshots",
+    "f_network_series",
     digits=6,
 )
 def _resample_rules(t):
@@ -240,6 +248,33 @@ def _resample_rules(t):
     return series.resample(t["f_network_series"], dimension, 24, rules, default=None)
 
 
+@query(
+    "resample_rules_by_carrier",
+    """
+    , n AS MATERIALIZED (SELECT * FROM f_network_series),
+    days AS MATERIALIZED (SELECT CAST(min(snapshot) AS DATE) AS first, CAST(max(snapshot) AS DATE) - CAST(min(snapshot) AS DATE) AS last FROM n),
+    b AS MATERIALIZED (SELECT n.component, n.attribute, n.name, CAST(snapshot AS DATE) - first AS day,
+           CASE WHEN n.component = 'loads' THEN sum(value) WHEN n.component = 'generators' AND n.attribute = 'p' AND i.carrier = 'c1'
+             THEN max(value) ELSE avg(value) END AS value
+           FROM n JOIN f_items i USING (name), days GROUP BY 1, 2, 3, 4, i.carrier)
+    SELECT component, attribute, name, CAST(first + CAST(day AS INTEGER) AS TIMESTAMP) AS snapshot,
+           round(CASE WHEN component = 'loads' THEN coalesce(b.value, 0) ELSE b.value END, 4) AS value
+    FROM (SELECT component, attribute, name, day FROM (SELECT DISTINCT component, attribute, name FROM b) k,
+            (SELECT unnest(range(0, last + 1)) AS day FROM days)) LEFT JOIN b USING (component, attribute, name, day), days
+    """,
+    "f_network_series f_items",
+    digits=4,
+)
+def _resample_rules_by_carrier(t):
+    units = {"generators": t["f_items"].select("name", "carrier")}
+    network = Network(units, t["f_network_series"], series.snapshot_dimension(t["f_snapshots"]))
+    rules = [
+        {"component": "loads_t", "attribute": "p_set", "rule": "sum"},
+        {"component": "generators_t", "attribute": "p", "rule": "max", "carrier": "c1"},
+    ]
+    return runs.resampled(network, {"weights": 24, "resample_rules": rules}).series
+
+
 @query(
     "resampled_snapshots",
     _resample_sql(7, "avg(value)") + "SELECT snapshot, row_number() OVER (ORDER BY snapshot) - 1 AS pos, CAST(7 AS DOUBLE) AS weighting FROM spine",
