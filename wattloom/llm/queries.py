@@ -52,7 +52,9 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontamination.decontamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    """One row per document that holds benchmark passages."""
+    found = decontamination.decontamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.where("contaminated")
 
 
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
