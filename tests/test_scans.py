@@ -144,3 +144,11 @@ def test_forward_fill_of_series_is_the_same_when_hot(spark, as_rows):
 
     gappy = _gappy(Tables(spark, "/root/testdata/sf0.001"))
     assert as_rows(series.forward_fill(gappy, hot_rows=5)) == as_rows(series.forward_fill(gappy))
+
+
+def test_salted_left_join_keeps_unmatched_and_keyless_rows(spark, as_rows):
+    left = spark.createDataFrame([("a" if i % 10 else None if i % 20 else "z", i) for i in range(300)], "k string, id int")
+    right = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "k string, w int")
+    plain = as_rows(left.join(right, "k", "left"), "k", "id", "w")
+    for hot_rows in (20, 1000):
+        assert as_rows(scans.salted_join(left, right, ["k"], hot_rows, "left"), "k", "id", "w") == plain

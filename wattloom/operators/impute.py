@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from ..model import ROW_ID, scalar
 from ..session import checkpointed
 from .quantiles import medians, order_statistics, split_by_size
-from .scans import HOT_ROWS, filled, positions, same_keys
+from .scans import HOT_ROWS, filled, positions, salted_join, same_keys
 
 # Arrays of a group's values are only built below this size; larger groups go by order statistics.
 LIST_ROWS = 100_000
@@ -61,10 +61,9 @@ def _clipped(value: Column, non_negative: bool) -> Column:
 
 def _with_fill(df: DataFrame, target: str, keys: Sequence[str], fills: DataFrame, non_negative: bool) -> DataFrame:
     """Left join of one fill value per key; a null key finds nothing."""
-    renamed = fills.select(*[F.col(k).alias(f"_f_{k}") for k in keys], "_fill")
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_f_{k}") for k in keys])
     value = F.coalesce(F.col(target), _clipped(F.col("_fill"), non_negative))
-    return df.join(renamed, on, "left").withColumn(target, value).select(*df.columns)
+    joined = salted_join(df, fills.select(*keys, "_fill"), keys, how="left")
+    return joined.withColumn(target, value).select(*df.columns)
 
 
 def fill_group(

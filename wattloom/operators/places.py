@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
 from ..model import scalar
+from .scans import salted_join
 
 # Cities that count as a region of their own.
 SPECIAL_CITIES = (
@@ -175,7 +176,9 @@ def gazetteer_match(df: DataFrame, gazetteer: DataFrame, column: str = "address"
         .groupBy("_address")
         .agg(F.min_by("_at", F.struct("priority", "_at")).alias("_at"))
     )
-    joined = df.join(hits, F.col(column) == F.col("_address"), "left").drop("_address")
+    # A text may stand in any number of rows, or be missing in most.
+    looked_up = df.withColumn("_address", F.col(column))
+    joined = salted_join(looked_up, hits, ["_address"], how="left").drop("_address")
     has = {c: F.col(c) if c in df.columns else F.lit(None).cast("double") for c in ("x", "y")}
     own = has["x"].isNotNull() & has["y"].isNotNull()
     return joined.withColumns({c: F.when(own, has[c]).otherwise(F.coalesce(F.col("_at")[c], has[c])) for c in ("x", "y")}).drop("_at")
@@ -270,7 +273,7 @@ def reverse_match(points: DataFrame, addresses: DataFrame, region_map: DataFrame
     one = table.groupBy("_key").agg(F.min("_r").alias("_r"))
     keyed = points.withColumn("_at", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), coordinate_key(F.col("x"), F.col("y"), language)))
     return (
-        keyed.join(one, F.col("_at") == F.col("_key"), "left")
+        salted_join(keyed, one.withColumnRenamed("_key", "_at"), ["_at"], how="left")
         .withColumns({"region_1": F.col("_r.region_1"), "region_2": F.col("_r.region_2")})
-        .drop("_at", "_key", "_r")
+        .drop("_at", "_r")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text
 from ..functions.geo import jitter_offset
 from ..model import ROW_ID
-from .scans import HOT_ROWS, numbered
+from .scans import HOT_ROWS, numbered, salted_join
 
 # The provinces that a mainland row stands for, and its usual label.
 MAINLAND_PROVINCES = (
@@ -48,14 +48,14 @@ def duplicate_names(df: DataFrame, column: str = "name") -> DataFrame:
 def duplicate_positions(df: DataFrame, column: str = "name", order: str = ROW_ID) -> DataFrame:
     """(name, position): one row per occurrence of a duplicated name; nothing is gathered per name."""
     rows = df.select(text.strip(F.col(column)).alias("name"), F.col(order).alias("position"))
-    return rows.join(duplicate_names(df, column).select("name"), "name", "left_semi")
+    return salted_join(rows, duplicate_names(df, column).select("name"), ["name"])
 
 
 def unique_names(df: DataFrame, column: str = "name", order: str = ROW_ID, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every occurrence of a duplicated name gets `_1, _2, ...` in row order; all else is unchanged."""
     stripped = text.strip(F.col(column))
-    repeated = duplicate_names(df, column).select(F.col("name").alias("_dup"))
-    marked = df.withColumn("_name", stripped).join(repeated, F.col("_name") == F.col("_dup"), "left")
+    repeated = duplicate_names(df, column).select(F.col("name").alias("_name"), F.lit(True).alias("_dup"))
+    marked = salted_join(df.withColumn("_name", stripped), repeated, ["_name"], hot_rows, "left")
     unchanged = marked.where(F.col("_dup").isNull()).select(*df.columns)
     renamed = numbered(marked.where(F.col("_dup").isNotNull()), ["_name"], order, "_i", hot_rows=hot_rows)
     name = F.concat_ws("_", F.col("_name"), F.col("_i").cast("string"))

@@ -139,22 +139,24 @@ def positions(df: DataFrame, order: Sequence[str | Column], chunk: Column, alias
     )
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join in which `left` may repeat a key without bound and `right` holds a bounded number of rows per key.
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, how: str = "inner"
+) -> DataFrame:
+    """Join (`inner` or `left`) in which `left` may repeat a key without bound and `right` holds a bounded number of rows per key.
 
     A key with more than `hot_rows` rows on the left is split by a salt, and only such a key's rows on the
-    right are copied, once per salt. All other rows join as usual.
+    right are copied, once per salt. Rows with a null key meet nothing and are scattered. All others join as usual.
     """
-    hot = hot_groups(left, keys, hot_rows).select(
+    hot = hot_groups(left.dropna(subset=list(keys)), keys, hot_rows).select(
         *[F.col(k).alias(f"_h_{k}") for k in keys], F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts")
     )
     on = same_keys([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys])
     drop = ["_salts", *[f"_h_{k}" for k in keys]]
-    spread = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c not in keys]), F.col("_salts")).cast("int")
-    )
+    scatter = F.xxhash64(*[F.col(c) for c in left.columns if c not in keys])
+    spread = F.when(keyless(keys), F.pmod(scatter, F.lit(1 << 20)).cast("int"))
+    spread = spread.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(scatter, F.col("_salts")).cast("int"))
     # Bounded by construction (see hot_groups), hence the hints.
     salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", spread).drop(*drop)
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))
     copied = right.join(F.broadcast(hot), on, "left").withColumn("_salt", copies).drop(*drop)
-    return salted.join(copied, [*keys, "_salt"]).drop("_salt")
+    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
