@@ -166,8 +166,9 @@ def _leap_day_union(t):
 @query(
     "has_feb29",
     """
-    SELECT CAST(year(snapshot) AS BIGINT) AS y, bool_or(month(snapshot) = 2 AND day(snapshot) = 29) AS has_feb29,
-           bool_or(month(snapshot) = 2 AND day(snapshot) = 29) AS is_leap FROM f_daily GROUP BY 1
+    , years AS (SELECT CAST(year(snapshot) AS BIGINT) AS y, bool_or(month(snapshot) = 2 AND day(snapshot) = 29) AS has_feb29
+                FROM f_daily GROUP BY 1)
+    SELECT y, has_feb29, y % 4 = 0 AND (y % 100 <> 0 OR y % 400 = 0) AS is_leap FROM years
     """,
     "f_daily",
 )
