@@ -259,12 +259,12 @@ def _resample_rules(t):
              THEN max(value) ELSE avg(value) END AS value
            FROM n JOIN f_items i USING (name), days GROUP BY 1, 2, 3, 4, i.carrier)
     SELECT component, attribute, name, CAST(first + CAST(day AS INTEGER) AS TIMESTAMP) AS snapshot,
-           round(CASE WHEN component = 'loads' THEN coalesce(b.value, 0) ELSE b.value END, 4) AS value
+           round(CASE WHEN component = 'loads' THEN coalesce(b.value, 0) ELSE b.value END, 8) AS value
     FROM (SELECT component, attribute, name, day FROM (SELECT DISTINCT component, attribute, name FROM b) k,
             (SELECT unnest(range(0, last + 1)) AS day FROM days)) LEFT JOIN b USING (component, attribute, name, day), days
     """,
     "f_network_series f_items",
-    digits=4,
+    digits=8,
 )
 def _resample_rules_by_carrier(t):
     units = {"generators": t["f_items"].select("name", "carrier")}
