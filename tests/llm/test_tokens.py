@@ -56,7 +56,7 @@ def test_damage_is_noticed_and_other_frames_stay_readable(tmp_path):
 
     path = str(tmp_path / "a.zst")
     storage = LocalFileSystem()
-    with storage.open_output_stream(path) as sink:
+    with storage.open_output_stream(path, compression=None) as sink:
         writer = tokens.FrameWriter(sink, "<u2", 4)
         for k in range(6):
             writer.add(k, np.arange(k, k + 4, dtype="<u2").tobytes())

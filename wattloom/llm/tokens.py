@@ -227,7 +227,7 @@ def write_tokens(
         for batch in batches:
             if sink is None:
                 storage.create_dir(root, recursive=True)
-                sink = storage.open_output_stream(attempt)
+                sink = storage.open_output_stream(attempt, compression=None)
                 writer = FrameWriter(sink, dtype, frame_ids)
             ids, lengths = batch.column(0).to_pylist(), []
             for low, high in _portions(batch.column(1)):
