@@ -22,8 +22,8 @@ def expected(rows):
 
 
 def test_round_trip_equals_the_tokenizer(spark):
-    texts = ["It's a test,\nthe second\tline isn't", "", None, "<|endoftext|> inside", "é é Ñandú ΣΑΣ 12.5", "x" * 5000, " a  b \n"]
-    rows = [(i * 3 % 7, t) for i, t in enumerate(texts)]
+    texts = ["It's a test,\nthe second\tline isn't", "", None, "<|endoftext|> inside", "é é Ñandú ΣΑΣ 12.5", "x" * 5000, " a  b \n", "The END. don't stop!! wait... (A,B); X1, 3.5, O'Neil's: q? <|ENDOFTEXT|>, J\u030c."]
+    rows = [(i * 3 % 8, t) for i, t in enumerate(texts)]
     folder, index = tokens.write_tokens(docs_table(spark, rows), tokenizer_path(), END_ID, frame_ids=8)
     got = tokens.read_tokens(spark, folder, index)
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got.collect()) == sorted(expected(rows))
