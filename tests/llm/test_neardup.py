@@ -60,6 +60,41 @@ def test_classes_equal_brute_force(spark):
     assert got == brute_force(rows)
 
 
+def templated_group(seed=4242):
+    """A template with six fields: any two forms are at 0.798, but the last two also share the last word (0.806)."""
+    base = words(200, seed, 10**6)
+
+    def form(fields):
+        out = list(base)
+        out[0::199] = fields[:2]
+        out[20:180:40] = fields[2:]
+        return " ".join(out)
+
+    # Forms with an own part, which no other document can be similar to.
+    texts = [" ".join(words(70, 5000 + k)) + " " + " ".join(base) for k in range(40)]
+    texts += [form([f"f{k}x{i}" for i in range(6)]) for k in range(200)]
+    texts += [form([f"g{k}", "same", *[f"g{k}x{i}" for i in range(4)]]) for k in range(2)]
+    return list(enumerate(texts))
+
+
+def test_templated_group_equals_brute_force(spark):
+    rows = templated_group()
+    want = brute_force(rows)
+    assert [d for d, c in want.items() if c != d] == [241]
+    for block in (16, 128):
+        got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_table(spark, rows), block=block).collect()}
+        assert got == want
+
+
+def test_shared_occurrences_of_blocks():
+    rng = np.random.default_rng(2)
+    sets = [np.sort(rng.integers(0, 40, n)).astype(np.uint32) for n in (1, 30, 60, 200)]
+    shared = neardup._shared(sets[:2], sets[1:], width=7)
+    for i, x in enumerate(sets[:2]):
+        for j, y in enumerate(sets[1:]):
+            assert shared[i, j] == sum((Counter(x.tolist()) & Counter(y.tolist())).values())
+
+
 def test_edge_rows(spark):
     rows = edge_rows()
     got = neardup.near_duplicates(docs_table(spark, rows)).collect()

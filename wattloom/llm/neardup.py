@@ -10,11 +10,12 @@ signature, and two signatures agree there with the probability of their weighted
 Signatures are cut into `bands` of `rows` coordinates. Documents that share a band are candidates; candidates are
 compared by their whole sets, and links of at least `similarity` make the classes. A band's members are first compared
 with its smallest member. In a band that still holds several classes, the members outside its largest class are
-compared with four members of that class (first, last, two by hash); they then go on without that class, first under
-every two of their bands and so on, until no band holds several classes or a round finds no link. Each round compares a
-document a few times per band, so the work grows with the rows, not with the square of a group. At similarity 0.8, 48
-bands of 7 leave a pair without a common band with probability 1.2e-5. A document among very many mutually different
-near copies is compared with hundreds of them, not with all, and stays apart if it is similar to none of those.
+compared with four members of that class (first, last, two by hash); they then go on without that class, until no band
+holds several classes or a round finds no link. These rounds only make the classes large at little cost. After them,
+every two members of different classes of a band are compared, but for documents that have less than the share
+`similarity` of their elements in common with all other classes together: bands are cut into blocks, and every two
+blocks meet in one task. At similarity 0.8, 48 bands of 7 leave a pair without a common band with probability 1.2e-5.
+Members that stay apart after the rounds make that last step grow with the square of their number in a band.
 
 Defined cases: words are runs of non-white-space, taken as they are; texts of one to four words are one element, their
 whole word sequence; documents without words (null, empty, blank) and rows without an id are classes of their own;
@@ -38,6 +39,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 48
 ROWS = 7
+BLOCK = 128
 _DOCUMENTS = 128
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _CHOICE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -267,12 +269,136 @@ def _open(members: DataFrame, classes: DataFrame | None) -> DataFrame:
     return named.join(several.select(F.col("band").alias("_b")), F.col("band") == F.col("_b"), "left_semi")
 
 
-def _two_at_a_time(members: DataFrame) -> DataFrame:
-    """Members of every two of a document's open bands (at most bands * (bands - 1) / 2 rows for one)."""
-    own = members.groupBy("rep").agg(F.sort_array(F.collect_list("band")).alias("own"))
-    first = own.select("rep", "own", F.posexplode("own").alias("at", "x"))
-    both = first.select("rep", "x", F.explode(F.slice("own", F.col("at") + 2, F.size("own"))).alias("y"))
-    return both.select(F.xxhash64("x", "y").alias("band"), "rep")
+def _occurrences(sets: DataFrame) -> DataFrame:
+    """doc_id, class, element, its number of occurrences and the size of the document, for (doc_id, class, elements)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "class", "element", "n", "size"]
+        for batch in batches:
+            for doc_id, kind, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found = np.frombuffer(found.as_buffer(), np.uint32)
+                values, n = np.unique(found, return_counts=True)
+                own = [np.full(len(values), x, np.int64) for x in (doc_id, kind)]
+                columns = [*own, values.astype(np.int64), n.astype(np.int64), np.full(len(values), len(found), np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return sets.select("doc_id", "class", "elements").mapInArrow(run, "doc_id long, class long, element long, n long, size long")
+
+
+def _unproven(sets: DataFrame, similarity: float) -> DataFrame:
+    """The documents (doc_id, class, elements) that may be similar enough to one of another class: others have too few
+    elements that occur in another class at all."""
+    rows = _occurrences(sets)
+    several = rows.groupBy("element").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y")
+    rows = rows.join(several.select(F.col("element").alias("_e")), F.col("element") == F.col("_e"), "left_semi")
+    found = rows.groupBy("doc_id").agg(F.sum("n").alias("shared"), F.max("size").alias("size"))
+    return found.where(F.col("shared") >= F.lit(similarity) * F.col("size") - 1e-6).select("doc_id")
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Shared occurrences of each sorted multiset in `left` with each in `right`."""
+    both = [*left, *right]
+    # Numbered occurrences make sets of the multisets.
+    numbered = [(x.astype(np.uint64) << np.uint64(32)) + (np.arange(len(x)) - np.searchsorted(x, x)).astype(np.uint64) for x in both]
+    values, at = np.unique(np.concatenate(numbered), return_inverse=True)
+    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    of_left = owner < len(left)
+    here, there = np.zeros(len(values), bool), np.zeros(len(values), bool)
+    here[at[of_left]] = True
+    there[at[~of_left]] = True
+    column = np.cumsum(here & there) - 1
+    wanted = (here & there)[at]
+    owner, at = owner[wanted], column[at[wanted]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(left), len(right)))
+    for low in range(0, int(column[-1]) + 1, width):
+        a, b = np.searchsorted(at, [low, low + width])
+        held = np.zeros((len(both), width), np.float32)
+        held[owner[a:b], at[a:b] - low] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out
+
+
+def _block_links(sides, names, kinds, sets, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what the similar pairs of a block pair connect; pairs within one class are left out."""
+    sides, kinds = np.array(sides), np.array(kinds)
+    left = np.flatnonzero(sides == sides.min())
+    right = np.flatnonzero(sides == sides.max())
+    sizes = np.array([len(x) for x in sets], np.float64)
+    shared = _shared([sets[k] for k in left], [sets[k] for k in right])
+    alike = shared / np.maximum(1, sizes[left][:, None] + sizes[right][None, :] - shared) >= similarity
+    alike &= kinds[left][:, None] != kinds[right][None, :]
+    top = {}
+
+    def root(x):
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(alike)):
+        x, y = left[x], right[y]
+        a, b = root(kinds[x]), root(kinds[y])
+        if a != b:
+            top[a] = b
+            out.append((min(names[x], names[y]), max(names[x], names[y])))
+    return out
+
+
+def _linked_in_bands(members: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links between all members (band, rep) of different classes of every band, by (doc_id, class, elements).
+
+    A band is cut into blocks of about `block` members by hash, and every two blocks of it meet in a task of their own.
+    """
+    counted = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    dealt = members.join(counted.withColumnRenamed("band", "_b"), F.col("band") == F.col("_b"))
+    dealt = dealt.select("band", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("side"))
+    dealt = dealt.select("band", "rep", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("band", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep")
+    rows = dealt.join(sets, F.col("rep") == F.col("doc_id")).select("band", "low", "high", "side", "rep", "class", "elements")
+    rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, found = None, [], []
+
+        def close():
+            sides = {g[0] for g in group}
+            # Two blocks, or one with itself.
+            if len(group) > 1 and (len(sides) == 2 or key[1] == key[2]) and len({g[2] for g in group}) > 1:
+                found.extend(_block_links(*zip(*group), similarity))
+
+        for batch in batches:
+            plain = [batch.column(k).to_pylist() for k in range(6)]
+            for band, low, high, side, rep, kind, held in zip(*plain, batch.column(6)):
+                if key != (band, low, high):
+                    close()
+                    key, group = (band, low, high), []
+                group.append((side, rep, kind, np.frombuffer(held.as_py(), np.uint32)))
+        close()
+        pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _whole_bands(
+    members: DataFrame, classes: DataFrame, docs: DataFrame, reps: DataFrame, similarity: float, shingle: int, block: int
+) -> DataFrame:
+    """The classes after every two members of different classes of a band are compared or shown to be too different."""
+    members = stored(_open(members, classes), "whole_bands")
+    if members.isEmpty():
+        return classes
+    kinds = members.select("rep", "class").distinct()
+    wanted = stored(kinds.join(reps, F.col("rep") == F.col("doc_id")).select("doc_id", "digest"), "whole_ids")
+    sets = element_sets(docs, wanted, shingle).join(kinds, F.col("doc_id") == F.col("rep")).select("doc_id", "class", "elements")
+    sets = stored(sets, "whole_sets")
+    left = stored(_unproven(sets, similarity), "unproven")
+    members = members.join(left, F.col("rep") == F.col("doc_id"), "left_semi").select("band", "rep")
+    members = stored(_open(members, classes).select("band", "rep"), "unproven_bands")
+    if members.isEmpty():
+        return classes
+    return extended(classes, stored(_linked_in_bands(members, sets, similarity, block), "links"))
 
 
 def near_duplicates(
@@ -281,6 +407,7 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
     shingle: int = SHINGLE,
+    block: int = BLOCK,
 ) -> DataFrame:
     """doc_id and class_id (the smallest id of the class) of every document."""
     signed = stored(banded(docs, bands, rows, shingle), "bands")
@@ -295,7 +422,7 @@ def near_duplicates(
     reps = reps.select("doc_id", "digest")
 
     pairs = members.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-    members = members.where("rep <> lo").select("band", "rep")
+    members = whole = members.where("rep <> lo").select("band", "rep")
     checked = classes = None
     turn = 0
     while True:
@@ -308,10 +435,7 @@ def near_duplicates(
             classes = extended(classes, links)
         if checked is None:
             break
-        members = _open(members, classes)
-        if turn == 1:
-            members = _open(_two_at_a_time(members.select("band", "rep")), classes)
-        members = stored(members, "open")
+        members = stored(_open(members, classes), "open")
         if members.isEmpty():
             break
         followers = stored(_with_leaders(members, turn), "followers")
@@ -320,6 +444,9 @@ def near_duplicates(
         pairs = pairs.join(checked, ["a", "b"], "left_anti")
         members = followers.select("band", "rep")
         turn += 1
+    # The rounds only make the classes large; what they left out follows, whole.
+    if classes is not None:
+        classes = _whole_bands(whole, classes, docs, reps, similarity, shingle, block)
 
     member = signed.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).distinct()
     member = member.join(copies.select("digest", "rep"), F.col("_d") == F.col("digest")).select("_id", "rep")
