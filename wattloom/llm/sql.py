@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality, topk
+from . import divergence, licenses, mixing, quality, topk
 
 _GAP = r"[\x20\x09-\x0D]+"
 _WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{_GAP}'), lambda x: x <> '')"
@@ -110,3 +110,31 @@ s AS (SELECT q.n, q.vec_id AS query_id, c.n AS other, c.vec_id, CAST(list_dot_pr
 r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NULLS LAST, other) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= {k}
 """
+
+
+def divergence_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    added, scale = divergence.ADDED, divergence.SCALE
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+           FROM documents),
+t AS (SELECT row, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= {divergence.MIN_DOCUMENTS}),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT *, 1 + ({scale}::HUGEINT * (n + {added})) // (sum(n) OVER w + {added} * count(*) OVER w) AS p FROM f
+      WINDOW w AS (PARTITION BY lang, source)),
+l AS (SELECT lang, term, sum(n) AS n FROM f GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + ({scale}::HUGEINT * (n + {added})) // (sum(n) OVER w + {added} * count(*) OVER w) AS q FROM l
+      WINDOW w AS (PARTITION BY lang)),
+m AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang
+        AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(m.value, 0) AS value FROM g a JOIN g b
+        ON a.lang = b.lang AND a.source <> b.source LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r
+WHERE part = 'pair' OR rank <= {divergence.TERMS}
+"""

@@ -131,7 +131,8 @@ class _Asker:
                     x[best] for x in (self.scores, self.named, self.ids, self.uids)
                 )
                 if len(best) == self.k:
-                    self.floor = max(self.floor, float(self.scores[-1]))
+                    # Just below the score, since large scores are rounded here.
+                    self.floor = max(self.floor, float(np.nextafter(float(self.scores[-1]), -np.inf)))
             at += step
             step *= 2
 
