@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, divergence, licenses, mixing, neardup, quality, secrets, shards, sql, substrings, tokens, topk, toxicity
+from . import decontamination, divergence, licenses, mixing, neardup, quality, secrets, shards, sql, substrings, tokens, topk, toxicity, trie
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +74,10 @@ def op11_top_products(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_inner_products(table(spark, folder, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence(table(spark, folder, "documents"))
 
@@ -83,7 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_files, op2_near_duplicates, op3_quality, op4_toxicity, op5_licenses, op6_mixing,
         op7_decontamination, op8_secrets, op9_substrings, op10_shards, op11_top_products,
-        op13_divergence,
+        op12_prefix_trie, op13_divergence,
     )
 }
 
@@ -93,5 +97,6 @@ SQL: dict[str, str] = {
     "op6_mixing": sql.mixing_sql(),
     "op9_substrings": sql.substrings_sql(),
     "op11_top_products": sql.topk_sql(),
+    "op12_prefix_trie": sql.trie_sql(),
     "op13_divergence": sql.divergence_sql(),
 }

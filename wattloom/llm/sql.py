@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, licenses, mixing, quality, topk
+from . import divergence, licenses, mixing, quality, topk, trie
 
 _GAP = r"[\x20\x09-\x0D]+"
 _WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{_GAP}'), lambda x: x <> '')"
@@ -138,3 +138,31 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r
 WHERE part = 'pair' OR rank <= {divergence.TERMS}
 """
+
+
+def trie_sql() -> str:
+    polynomial = 0xEDB88320
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, (x & 1) * %d))" % polynomial
+    codes = "list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {bits}), 4294967295)"
+    return f"""
+WITH h AS (SELECT conv_id, {crc} % {trie.DEEPEST} AS h, conv_id - conv_id % {trie.SPAN} AS base
+           FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i FROM conversations),
+r AS (SELECT h.conv_id, 0 AS part, i, role, text FROM h JOIN t ON t.conv_id = base AND i < h
+      UNION ALL SELECT h.conv_id, 1, i, role, text FROM h JOIN t ON t.conv_id = h.conv_id AND i >= h),
+m AS (SELECT conv_id, list(struct_pack(role := role, text := text)) OVER w AS k, octet_length(encode(text)) AS bytes,
+        count(*) OVER (PARTITION BY conv_id) AS n FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)
+      UNION ALL SELECT conv_id, [], 0, (SELECT count(*) FROM r WHERE r.conv_id = h.conv_id) FROM h),
+v AS (SELECT k, len(k) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = len(k)), '')) AS ends_sha256
+      FROM m GROUP BY k),
+c AS (SELECT p.k, count(*) AS n FROM v JOIN v p ON v.depth = p.depth + 1 AND v.k[:p.depth] = p.k GROUP BY p.k),
+f AS (SELECT v.*, coalesce(c.n, 0) AS n_children FROM v LEFT JOIN c USING (k)),
+a AS (SELECT k[:d] AS k, sum(CAST(n_children = 0 AS INTEGER)) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens
+      FROM f, range(0, depth + 1) s(d) GROUP BY 1)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN a USING (k) LEFT JOIN f p ON f.depth = p.depth + 1 AND f.k[:p.depth] = p.k
+"""

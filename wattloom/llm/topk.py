@@ -316,7 +316,9 @@ def _met(queries: DataFrame, blocks: DataFrame, space: Space, parts: int) -> Dat
     scale = F.col("q_top") + F.lit(space.square)
     room = (scale - F.pow(F.array_max(gaps), F.lit(2.0))) / 2 + F.lit(_MARGIN) * scale + 1
     asked = asked.where(room >= F.col("q_floor")).select("part", *queries.columns[:7])
-    return asked.join(blocks.select("part", "uids", "ids", "named", "vectors", "distances"), "part")
+    # Few bytes, much work: both sides are dealt by hand, so that no two groups are put together for their size.
+    held = blocks.select("part", "uids", "ids", "named", "vectors", "distances")
+    return asked.repartition(parts, "part").join(held.repartition(parts, "part").hint("merge"), "part")
 
 
 def _searched(met: DataFrame, space: Space, k: int) -> DataFrame:
