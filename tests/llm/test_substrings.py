@@ -53,3 +53,13 @@ def test_equal_to_brute_force(spark, bits):
 
 def test_empty_table(spark):
     assert substrings.digests(docs_table(spark, [])).count() == 0
+
+
+def test_words_that_collide_in_a_polynomial(spark):
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join(["w"] * 12 + [word])), (2, " ".join(["w"] * 12 + [other])), (3, " ".join(["w"] * 12 + [other]))]
+    got = {r.doc_id: r.n_removed for r in substrings.digests(docs_table(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}

@@ -6,9 +6,9 @@ a smaller id. Two passes over the texts find the windows:
 1. Every task counts its windows in a count-min sketch of two rows and hands over its counts, cut into slices of the
    rows; a slice's counts are added up across tasks and kept as bits "counted twice or more". Sketch counts are never
    too small, so no window of two documents is lost.
-2. Windows with both bits set are grouped exactly, by 96 hash bits, in slices of the hash range. A task first groups
-   its own windows: later documents are settled there, and only the first document's rows of a window travel, so a
-   window that very many documents share sends a row per group of documents, not per document.
+2. Windows with both bits set are grouped exactly, by 96 bits of two independent hashes of their words, in slices of the
+   hash range. A task first groups its own windows: later documents are settled there, and only the first document's
+   rows of a window travel, so a window that very many documents share sends a row per group of documents.
 
 The sketch has at least four cells a window, as long as that stays within `max_bits` (2**29 cells, 64 MB a row); beyond,
 more windows reach the exact pass, and the result is the same. The bits are read from the shared folder, not broadcast.
@@ -34,7 +34,6 @@ LENGTH = 13
 CHUNK_WINDOWS = 500_000
 MAX_BITS = 29
 SLICE_BITS = 20
-_OTHER = np.uint64(0x8EBC6AF09C88C6E3)
 _SPREAD = np.uint64(0xA0761D6478BD642F)
 
 # One window in one document: 96 bits of hash, document, tag of its text, position.
@@ -84,11 +83,11 @@ def _chunks(batches: Iterator[pa.RecordBatch], length: int, both: bool) -> Itera
     kind = _WINDOW if both else _WINDOW[:1]
     for batch in batches:
         ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for block in blocks(batch.column(2), spaced()):
+        for block in blocks(batch.column(2), spaced(), second=both):
             raw, at, document = runs(block.hashes, block.first, length)
             part = {"h": mixed(raw)}
             if both:
-                other, _, _ = runs(mixed(block.hashes ^ _OTHER), block.first, length)
+                other, _, _ = runs(block.others, block.first, length)
                 part["g"] = (mixed(other) >> np.uint64(32)).astype(np.uint32)
                 part["doc"], part["tag"] = ids[block.low + document], tags[block.low + document].astype(np.uint32)
                 part["at"] = (at - block.first[document]).astype(np.uint32)

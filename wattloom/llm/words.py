@@ -1,13 +1,15 @@
 """Hashes of the words of many texts at once, from the bytes of an Arrow column.
 
-A word's hash is a polynomial over its bytes modulo 2**64, read off one running sum per block, then mixed. It depends
+A word's hash chains a bijection over its 8-byte pieces, the last one filled up with zeros, and starts from its length:
+words of up to 8 bytes never collide within a length, and longer ones no more than random 64-bit values. Words above
+`LONG` bytes are hashed with BLAKE2. A second hash with other constants can be had for twice as many bits. Both depend
 on the word alone, so equal words agree across blocks, tasks and reruns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -15,12 +17,15 @@ import pyarrow as pa
 
 BLOCK = 2 << 20
 STEP = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
+LONG = 256
+_STARTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC6BC279692B5C323))
+_SPREADS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _ROLL = np.uint64(0xD1342543DE82EF95)
 
 
 class Alphabet(NamedTuple):
-    """For each byte, whether it belongs to a word and the value it counts as."""
+    """For each byte, whether it belongs to a word and the byte it counts as."""
 
     inside: np.ndarray
     value: np.ndarray
@@ -30,7 +35,8 @@ class Block(NamedTuple):
     """Words of documents `low` to `high` of a batch; document i has words first[i] to first[i + 1].
 
     `start` and `end` are byte positions in `data`, the bytes of the whole batch. Row k of `prefixes` has the hashes of
-    the words' first bytes, as many as the k-th prefix length asked for, and 0 for words that are not longer.
+    the words' first bytes, as many as the k-th prefix length asked for, and 0 for words that are not longer. `others`
+    has the second hashes, if they were asked for.
     """
 
     low: int
@@ -41,12 +47,13 @@ class Block(NamedTuple):
     end: np.ndarray
     data: np.ndarray
     prefixes: np.ndarray
+    others: np.ndarray
 
 
 def _alphabet(inside: np.ndarray, fold: bool) -> Alphabet:
-    value = np.arange(1, 257, dtype=np.uint64)
+    value = np.arange(256, dtype=np.uint8)
     if fold:
-        value[ord("A") : ord("Z") + 1] += np.uint64(32)
+        value[ord("A") : ord("Z") + 1] += np.uint8(32)
     return Alphabet(inside, value)
 
 
@@ -76,22 +83,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        out = np.full(size, np.uint64(base & (2**64 - 1)))
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
-
-    return run(_BASE), run(pow(_BASE, -1, 2**64))
-
-
-def _room(size: int) -> int:
-    return max(STEP, 1 << (size - 1).bit_length())
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of byte ranges; `data` goes on for 8 bytes after the last."""
+    pieces = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+    size = end - start
+    out = mixed(size.astype(np.uint64) * _STARTS[which] + _STARTS[1 - which])
+    long = np.flatnonzero(size > LONG)
+    at = np.flatnonzero(size <= LONG) if len(long) else np.arange(len(size))
+    low = start
+    while len(at):
+        here = low[at]
+        left = end[at] - here
+        piece = pieces[here] & _TAILS[np.minimum(left, 8)]
+        out[at] = mixed((out[at] ^ piece) * _SPREADS[which])
+        at = at[left > 8]
+        low = low + 8
+    for k in long:
+        digest = blake2b(data[start[k] : end[k]].tobytes(), digest_size=16).digest()
+        out[k] = np.frombuffer(digest, "<u8")[which]
+    return out
 
 
 def _span_words(
-    data: np.ndarray, low: int, high: int, edges: np.ndarray, alphabet: Alphabet, lengths: tuple[int, ...] = ()
+    data: np.ndarray, low: int, high: int, edges: np.ndarray, alphabet: Alphabet, lengths: tuple[int, ...], second: bool
 ):
     part = data[low:high]
     inside = alphabet.inside[part]
@@ -101,17 +115,14 @@ def _span_words(
     before[cut] = False
     after[cut[cut > 0] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    power, inverse = _powers(_room(len(part)))
-    value = alphabet.value[part] * power[: len(part)]
-    total = np.cumsum(value, dtype=np.uint64)
-    before_start = total[start] - value[start]
-    hashes = mixed((total[end - 1] - before_start) * inverse[start])
+    folded = np.concatenate([alphabet.value[part], np.zeros(8, np.uint8)])
+    hashes = byte_hashes(folded, start, end)
+    others = byte_hashes(folded, start, end, 1) if second else hashes[:0]
     prefixes = np.zeros((len(lengths), len(start)), np.uint64)
     for k, length in enumerate(lengths):
         longer = np.flatnonzero(end - start > length)
-        at = start[longer]
-        prefixes[k, longer] = mixed((total[at + length - 1] - before_start[longer]) * inverse[at])
-    return hashes, start + low, end + low, prefixes
+        prefixes[k, longer] = byte_hashes(folded, start[longer], start[longer] + length)
+    return hashes, start + low, end + low, prefixes, others
 
 
 def _cuts(data: np.ndarray, low: int, high: int, alphabet: Alphabet) -> Iterator[tuple[int, int]]:
@@ -130,7 +141,7 @@ def _cuts(data: np.ndarray, low: int, high: int, alphabet: Alphabet) -> Iterator
 
 
 def blocks(
-    column: pa.Array, alphabet: Alphabet, size: int = BLOCK, prefix_lengths: tuple[int, ...] = ()
+    column: pa.Array, alphabet: Alphabet, size: int = BLOCK, prefix_lengths: tuple[int, ...] = (), second: bool = False
 ) -> Iterator[Block]:
     """The words of a string column, a few documents (about `size` bytes) at a time. Null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -145,15 +156,15 @@ def blocks(
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + size, "right")) - 1)
         edges = offsets[low : high + 1]
         parts = [
-            _span_words(data, a, b, edges, alphabet, prefix_lengths)
+            _span_words(data, a, b, edges, alphabet, prefix_lengths, second)
             for a, b in _cuts(data, int(edges[0]), int(edges[-1]), alphabet)
         ]
         if parts:
-            hashes, start, end, prefixes = (np.concatenate(x, axis=-1) for x in zip(*parts))
+            hashes, start, end, prefixes, others = (np.concatenate(x, axis=-1) for x in zip(*parts))
         else:
             hashes, start, end = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            prefixes = np.zeros((len(prefix_lengths), 0), np.uint64)
-        yield Block(low, high, hashes, np.searchsorted(start, edges), start, end, data, prefixes)
+            prefixes, others = np.zeros((len(prefix_lengths), 0), np.uint64), hashes
+        yield Block(low, high, hashes, np.searchsorted(start, edges), start, end, data, prefixes, others)
         low = high
 
 
