@@ -11,15 +11,22 @@ Signatures are cut into `bands` of `rows` coordinates. Documents that share a ba
 compared by their whole sets, and links of at least `similarity` make the classes. A band's members are first compared
 with its smallest member. In a band that still holds several classes, the members outside its largest class are
 compared with four members of that class (first, last, two by hash); they then go on without that class, until no band
-holds several classes or a round finds no link. These rounds only make the classes large at little cost. After them,
-every two members of different classes of a band are compared, but for documents that have less than the share
-`similarity` of their elements in common with all other classes together: bands are cut into blocks, and every two
-blocks meet in one task. At similarity 0.8, 48 bands of 7 leave a pair without a common band with probability 1.2e-5.
-Members that stay apart after the rounds make that last step grow with the square of their number in a band.
+holds several classes or a round finds no link. These rounds only make the classes large at little cost.
+
+After them, members of different classes of a band are compared unless counts show that they are too different. Two
+documents of sizes m and n are similar enough only if they share c (m + n) elements, c = similarity / (1 + similarity).
+A document that shares `shared` elements with all other classes together thus has no partner above the size
+reach = shared / c - size. If reach is below its own size, the document is weak, and two weak ones are never partners.
+So only strong members, of which families of edited copies have few, meet the others, within their reach; what is left
+out no longer counts as shared for the rest, until nothing changes. Bands are cut into blocks of members of like sizes,
+and a block of strong members meets every block in reach in one task. Strong members that stay apart make this step grow
+with the square of their number in a band. At similarity 0.8, 48 bands of 7 leave a pair without a common band with
+probability 1.2e-5.
 
 Defined cases: words are runs of non-white-space, taken as they are; texts of one to four words are one element, their
-whole word sequence; documents without words (null, empty, blank) and rows without an id are classes of their own;
-equal texts are one class; of several texts under one id, one stands for the id; an empty table gives an empty result.
+whole word sequence; documents without words (null, empty, blank) are classes of their own; equal texts are one class;
+every row counts for itself, also without an id or with one that others have; a class is named by its smallest id, and
+by null if none has an id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,9 +36,9 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import ship, stored, texts, without_ids
+from .common import WORD, ship, stored, texts
 from .graph import extended
 from .words import Block, blocks, mixed, runs, spaced
 
@@ -170,13 +177,13 @@ def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int =
                         names=["doc_id", "digest", "bands"],
                     )
 
-    rows_ = texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.md5("text").alias("digest"), "text")
+    rows_ = texts(docs).where("text IS NOT NULL").select("doc_id", F.md5("text").alias("digest"), "text")
     return rows_.mapInArrow(run, "doc_id long, digest string, bands array<long>")
 
 
 def _maybe(ids: DataFrame, bits: int = 24) -> np.ndarray:
-    """A bit field of fixed size that holds every id; others may seem to be held."""
-    cells = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("cell"))
+    """A bit field of fixed size that holds every row (doc_id, digest); others may seem to be held."""
+    cells = ids.select(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(1 << bits)).alias("cell"))
     words = cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, cast(cell % 64 AS int)))").alias("bits")
     )
@@ -187,7 +194,7 @@ def _maybe(ids: DataFrame, bits: int = 24) -> np.ndarray:
 
 
 def element_sets(docs: DataFrame, ids: DataFrame, shingle: int = SHINGLE, bits: int = 24) -> DataFrame:
-    """doc_id and the sorted 32-bit hashes (each as often as it occurs) of the documents in `ids`, by doc_id and digest."""
+    """rep and the sorted 32-bit hashes (each as often as it occurs) of the texts in `ids` (rep, doc_id, digest)."""
     spark = docs.sparkSession
     field = spark.sparkContext.broadcast(_maybe(ids, bits))
 
@@ -207,12 +214,13 @@ def element_sets(docs: DataFrame, ids: DataFrame, shingle: int = SHINGLE, bits:
                     names=["doc_id", "digest", "elements"],
                 )
 
-    rows = texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        "doc_id", F.md5("text").alias("digest"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("cell")
-    )
+    digest = F.md5("text").alias("digest")
+    rows = texts(docs).where("text IS NOT NULL").select("doc_id", digest, "text")
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(1 << bits)))
     found = rows.mapInArrow(run, "doc_id long, digest string, elements binary")
-    return found.join(ids.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}),
-                      (F.col("doc_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi").dropDuplicates(["doc_id"])
+    named = ids.select("rep", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    same = (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return found.join(named, same).select("rep", "elements").dropDuplicates(["rep"])
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -225,11 +233,11 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = stored(ids.join(reps, F.col("id") == F.col("doc_id")).select("doc_id", "digest"), "pair_ids")
-    sets = stored(element_sets(docs, wanted, shingle).select("doc_id", "elements"), "pair_sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("of_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("of_b"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = stored(reps.join(ids, "rep", "left_semi"), "pair_ids")
+    sets = stored(element_sets(docs, wanted, shingle), "pair_sets")
+    left = sets.select(F.col("rep").alias("a"), F.col("elements").alias("of_a"))
+    right = sets.select(F.col("rep").alias("b"), F.col("elements").alias("of_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,29 +278,55 @@ def _open(members: DataFrame, classes: DataFrame | None) -> DataFrame:
 
 
 def _occurrences(sets: DataFrame) -> DataFrame:
-    """doc_id, class, element, its number of occurrences and the size of the document, for (doc_id, class, elements)."""
+    """rep, class, element, its number of occurrences and the size of the document, for (rep, class, elements)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "class", "element", "n", "size"]
+        names = ["rep", "class", "element", "n", "size"]
         for batch in batches:
-            for doc_id, kind, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for rep, kind, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 found = np.frombuffer(found.as_buffer(), np.uint32)
                 values, n = np.unique(found, return_counts=True)
-                own = [np.full(len(values), x, np.int64) for x in (doc_id, kind)]
+                own = [np.full(len(values), x, np.int64) for x in (rep, kind)]
                 columns = [*own, values.astype(np.int64), n.astype(np.int64), np.full(len(values), len(found), np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return sets.select("doc_id", "class", "elements").mapInArrow(run, "doc_id long, class long, element long, n long, size long")
+    return sets.select("rep", "class", "elements").mapInArrow(run, "rep long, class long, element long, n long, size long")
 
 
-def _unproven(sets: DataFrame, similarity: float) -> DataFrame:
-    """The documents (doc_id, class, elements) that may be similar enough to one of another class: others have too few
-    elements that occur in another class at all."""
-    rows = _occurrences(sets)
+def _reaches(rows: DataFrame, similarity: float) -> DataFrame:
+    """rep, size and reach of the documents that share enough with other classes to have a partner of any fitting size."""
     several = rows.groupBy("element").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y")
-    rows = rows.join(several.select(F.col("element").alias("_e")), F.col("element") == F.col("_e"), "left_semi")
-    found = rows.groupBy("doc_id").agg(F.sum("n").alias("shared"), F.max("size").alias("size"))
-    return found.where(F.col("shared") >= F.lit(similarity) * F.col("size") - 1e-6).select("doc_id")
+    common = rows.join(several.select(F.col("element").alias("_e")), F.col("element") == F.col("_e"), "left_semi")
+    found = common.groupBy("rep").agg(F.sum("n").alias("shared"), F.max("size").alias("size"))
+    reach = F.col("shared") * F.lit((1 + similarity) / similarity) - F.col("size") + F.lit(1e-6)
+    return found.select("rep", "size", reach.alias("reach")).where(F.col("reach") >= F.lit(similarity) * F.col("size"))
+
+
+def _partnered(members: DataFrame, reaches: DataFrame) -> DataFrame:
+    """(band, rep, class, size, reach) of the members that a strong member of another class of the band may reach."""
+    rows = members.join(reaches, "rep")
+    strong = F.col("reach") >= F.col("size")
+    bands = rows.groupBy("band").agg(
+        F.min(F.when(strong, F.col("size"))).alias("least"), F.max(F.when(strong, F.col("reach"))).alias("most"),
+        F.min("class").alias("x"), F.max("class").alias("y"),
+    )
+    bands = bands.where("least IS NOT NULL AND x < y").select(F.col("band").alias("_b"), "least", "most")
+    rows = rows.join(bands, F.col("band") == F.col("_b")).where("least <= reach AND size <= most")
+    return rows.select("band", "rep", "class", "size", "reach")
+
+
+def _unproven(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The members that counts do not show to be without a partner in their band; empty or stable after some rounds."""
+    rows = _occurrences(sets)
+    left = None
+    while True:
+        found = stored(_partnered(members, _reaches(rows, similarity)), "unproven")
+        count = found.select("rep").distinct().count()
+        if count == 0 or left is not None and count > 0.9 * left:
+            return found
+        left = count
+        members = found.select("band", "rep", "class")
+        rows = _occurrences(sets.join(found.select("rep").distinct(), "rep", "left_semi"))
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
@@ -320,15 +354,17 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 1
     return out
 
 
-def _block_links(sides, names, kinds, sets, similarity: float) -> list[tuple[int, int]]:
+def _block_links(sides, names, kinds, sizes, reaches, sets, similarity: float) -> list[tuple[int, int]]:
     """Links that connect what the similar pairs of a block pair connect; pairs within one class are left out."""
-    sides, kinds = np.array(sides), np.array(kinds)
+    sides, kinds, sizes, reaches = (np.array(x) for x in (sides, kinds, sizes, reaches))
     left = np.flatnonzero(sides == sides.min())
     right = np.flatnonzero(sides == sides.max())
-    sizes = np.array([len(x) for x in sets], np.float64)
+    fit = (sizes[right][None, :] <= reaches[left][:, None]) & (sizes[left][:, None] <= reaches[right][None, :])
+    fit &= kinds[left][:, None] != kinds[right][None, :]
+    if not fit.any():
+        return []
     shared = _shared([sets[k] for k in left], [sets[k] for k in right])
-    alike = shared / np.maximum(1, sizes[left][:, None] + sizes[right][None, :] - shared) >= similarity
-    alike &= kinds[left][:, None] != kinds[right][None, :]
+    alike = fit & (shared / np.maximum(1, sizes[left][:, None] + sizes[right][None, :] - shared) >= similarity)
     top = {}
 
     def root(x):
@@ -346,17 +382,41 @@ def _block_links(sides, names, kinds, sets, similarity: float) -> list[tuple[int
     return out
 
 
-def _linked_in_bands(members: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Links between all members (band, rep) of different classes of every band, by (doc_id, class, elements).
+def block_pairs(members: DataFrame, block: int) -> DataFrame:
+    """(band, low, high, side, rep, class, size, reach): every block of strong members with every block it may reach.
 
-    A band is cut into blocks of about `block` members by hash, and every two blocks of it meet in a task of their own.
+    Blocks hold about `block` members of a band, of the same strength and of like sizes. Blocks are numbered by strength
+    (strong ones first) and size, and each pair of blocks gets the members of both sides.
     """
-    counted = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    dealt = members.join(counted.withColumnRenamed("band", "_b"), F.col("band") == F.col("_b"))
-    dealt = dealt.select("band", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("side"))
-    dealt = dealt.select("band", "rep", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("band", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep")
-    rows = dealt.join(sets, F.col("rep") == F.col("doc_id")).select("band", "low", "high", "side", "rep", "class", "elements")
+    weak = (F.col("reach") < F.col("size")).cast("int").alias("weak")
+    # Sizes within a factor 1.12 are one bucket; partners lie at most two buckets apart at similarity 0.8.
+    bucket = F.floor(F.log(F.col("size")) / F.lit(0.1133)).cast("long")
+    rows = members.withColumns({"weak": weak, "bucket": bucket})
+    counted = rows.groupBy("band", "weak", "bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
+    counted = counted.select(*[F.col(c).alias(f"_{c}") for c in ("band", "weak", "bucket")], "blocks")
+    same = [F.col(c) == F.col(f"_{c}") for c in ("band", "weak", "bucket")]
+    rows = rows.join(counted, same[0] & same[1] & same[2])
+    part = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    # A number for (weak, bucket, part): buckets are below 2**10, parts below 2**40.
+    rows = rows.withColumn("side", F.col("weak") * F.lit(1 << 50) + F.col("bucket") * F.lit(1 << 40) + part)
+    rows = stored(rows.select("band", "rep", "class", "size", "reach", "side", "weak"), "sides")
+    sides = rows.groupBy("band", "side", "weak").agg(
+        F.min("size").alias("least"), F.max("size").alias("greatest"), F.max("reach").alias("reach"),
+        F.min("class").alias("x"), F.max("class").alias("y"),
+    )
+    other = sides.select(*[F.col(c).alias(f"o_{c}") for c in sides.columns])
+    pairs = sides.where("weak = 0").join(other, F.col("band") == F.col("o_band")).where(
+        "(o_weak = 1 OR side <= o_side) AND o_least <= reach AND least <= o_reach AND (x < o_y OR o_x < y)"
+    )
+    pairs = pairs.select("band", F.least("side", "o_side").alias("low"), F.greatest("side", "o_side").alias("high"))
+    ends = pairs.select("band", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("side"))
+    return ends.join(rows.drop("weak"), ["band", "side"])
+
+
+def _linked_in_bands(members: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links between members (band, rep, class, size, reach) of different classes of every band, by their sets."""
+    rows = block_pairs(members, block).join(sets.select("rep", "elements"), "rep")
+    rows = rows.select("band", "low", "high", "side", "rep", "class", "size", "reach", "elements")
     rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,12 +429,12 @@ def _linked_in_bands(members: DataFrame, sets: DataFrame, similarity: float, blo
                 found.extend(_block_links(*zip(*group), similarity))
 
         for batch in batches:
-            plain = [batch.column(k).to_pylist() for k in range(6)]
-            for band, low, high, side, rep, kind, held in zip(*plain, batch.column(6)):
+            plain = [batch.column(k).to_pylist() for k in range(8)]
+            for band, low, high, side, *rest, held in zip(*plain, batch.column(8)):
                 if key != (band, low, high):
                     close()
                     key, group = (band, low, high), []
-                group.append((side, rep, kind, np.frombuffer(held.as_py(), np.uint32)))
+                group.append((side, *rest, np.frombuffer(held.as_py(), np.uint32)))
         close()
         pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -385,41 +445,40 @@ def _linked_in_bands(members: DataFrame, sets: DataFrame, similarity: float, blo
 def _whole_bands(
     members: DataFrame, classes: DataFrame, docs: DataFrame, reps: DataFrame, similarity: float, shingle: int, block: int
 ) -> DataFrame:
-    """The classes after every two members of different classes of a band are compared or shown to be too different."""
+    """The classes after members of different classes of a band are compared or shown to be too different."""
     members = stored(_open(members, classes), "whole_bands")
     if members.isEmpty():
         return classes
     kinds = members.select("rep", "class").distinct()
-    wanted = stored(kinds.join(reps, F.col("rep") == F.col("doc_id")).select("doc_id", "digest"), "whole_ids")
-    sets = element_sets(docs, wanted, shingle).join(kinds, F.col("doc_id") == F.col("rep")).select("doc_id", "class", "elements")
-    sets = stored(sets, "whole_sets")
-    left = stored(_unproven(sets, similarity), "unproven")
-    members = members.join(left, F.col("rep") == F.col("doc_id"), "left_semi").select("band", "rep")
-    members = stored(_open(members, classes).select("band", "rep"), "unproven_bands")
+    wanted = stored(reps.join(kinds, "rep", "left_semi"), "whole_ids")
+    sets = stored(element_sets(docs, wanted, shingle).join(kinds, "rep"), "whole_sets")
+    members = _unproven(members, sets, similarity)
     if members.isEmpty():
         return classes
     return extended(classes, stored(_linked_in_bands(members, sets, similarity, block), "links"))
 
 
-def near_duplicates(
+def text_classes(
     docs: DataFrame,
     similarity: float = SIMILARITY,
     bands: int = BANDS,
     rows: int = ROWS,
     shingle: int = SHINGLE,
     block: int = BLOCK,
-) -> DataFrame:
-    """doc_id and class_id (the smallest id of the class) of every document."""
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of every row with words, and (digest, doc_id, class) of every different text with words.
+
+    doc_id in the second is the smallest id of the text, or null.
+    """
     signed = stored(banded(docs, bands, rows, shingle), "bands")
-    first = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
-    copies = stored(first.select("digest", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")), "copies")
-    reps = copies.groupBy("rep").agg(F.min(F.struct("digest", "bands")).alias("m"))
-    reps = reps.select(F.col("rep").alias("doc_id"), "m.digest", "m.bands")
-    members = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("rep"))
+    copies = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
+    # Numbers of texts hold once they are written.
+    copies = stored(copies.withColumn("rep", F.monotonically_increasing_id()), "copies")
+    members = copies.select(F.explode("bands").alias("band"), "rep")
     shared = members.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     shared = stored(shared.select(F.col("band").alias("_band"), "lo"), "shared_bands")
     members = stored(members.join(shared, F.col("band") == F.col("_band")).select("band", "rep", "lo"), "members")
-    reps = reps.select("doc_id", "digest")
+    reps = copies.select("rep", "doc_id", "digest")
 
     pairs = members.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
     members = whole = members.where("rep <> lo").select("band", "rep")
@@ -447,21 +506,32 @@ def near_duplicates(
     # The rounds only make the classes large; what they left out follows, whole.
     if classes is not None:
         classes = _whole_bands(whole, classes, docs, reps, similarity, shingle, block)
+        reps = reps.join(classes, F.col("rep") == F.col("node"), "left")
+        return signed.select("doc_id", "digest"), reps.select("digest", "doc_id", F.coalesce("class", "rep").alias("class"))
+    return signed.select("doc_id", "digest"), reps.select("digest", "doc_id", F.col("rep").alias("class"))
 
-    member = signed.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).distinct()
-    member = member.join(copies.select("digest", "rep"), F.col("_d") == F.col("digest")).select("_id", "rep")
-    if classes is not None:
-        member = member.join(classes, F.col("rep") == F.col("node"), "left").select("_id", F.coalesce("class", "rep").alias("rep"))
-    member = member.groupBy("_id").agg(F.min("rep").alias("rep"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return ids.join(member, F.col("doc_id") == F.col("_id"), "left").select(
-        "doc_id", F.coalesce("rep", "doc_id").alias("class_id")
-    )
+
+def _wordless(docs: DataFrame) -> DataFrame:
+    return docs.where(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id and class_id (the smallest id of the class) of every document."""
+    signed, classes = text_classes(docs, **options)
+    named = classes.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    of_text = classes.select("digest", "class").join(named, "class").select("digest", "class_id")
+    alone = _wordless(docs).select(F.col("doc_id").cast("long").alias("doc_id"))
+    return signed.join(of_text, "digest").select("doc_id", "class_id").union(alone.select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class (the one with the smallest id), with all columns; rows without an id stay."""
-    classes = near_duplicates(docs, **options)
-    kept = without_ids(docs, classes.where("class_id <> doc_id").select("doc_id"))
-    known = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return known.unionByName(kept.where("doc_id IS NULL"))
+    """One row of each class, with all columns: the one with the smallest id (rows without an id last), and of rows that
+    agree in id and text the one with the smallest hash of all columns. Rows without words all stay."""
+    _, classes = text_classes(docs, **options)
+    key = lambda digest: F.concat_ws(":", digest, F.col("doc_id").cast("long").cast("string"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    kept = classes.groupBy("class").agg(F.min(first).alias("f")).select("f.doc_id", "f.digest").select(key(F.col("digest")).alias("_kept"))
+    rows = docs.where(F.col("text").cast("string").rlike(WORD)).withColumn("_key", key(F.md5(F.col("text").cast("string"))))
+    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))))
+    rows = rows.where("_rank = 1").join(kept, F.col("_key") == F.col("_kept"), "left_semi")
+    return rows.select(*docs.columns).union(_wordless(docs))
