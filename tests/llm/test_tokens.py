@@ -73,3 +73,42 @@ def test_damage_is_noticed_and_other_frames_stay_readable(tmp_path):
         assert [e.doc_id for e in damaged.read([0, 4])] == [0, 4]
         with pytest.raises(Exception):
             list(damaged.read([2]))
+
+
+def test_short_path_equals_the_tokenizer():
+    """Pieces of all kinds of characters, alone and mixed, over caches that turn over."""
+    import random
+    import unicodedata
+
+    from hypothesis import given, settings, strategies as st
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(tokenizer_path())
+    encode = tokens.Encoder(tokenizer_path(), "<u2")
+    assert encode.plain
+    encode.pieces.limit = encode.cuts.limit = 50
+
+    def same(texts):
+        assert [np.frombuffer(x, "<u2").tolist() for x in encode(texts)] == [
+            tool.encode(t, add_special_tokens=False).ids for t in texts
+        ]
+
+    kinds = {}
+    for k in range(0x110000):
+        kinds.setdefault(unicodedata.category(chr(k)), []).append(chr(k))
+    kinds.pop("Cs")
+    every = st.sampled_from(sorted(kinds)).flatmap(lambda c: st.sampled_from(kinds[c][:4000]))
+    latin = st.sampled_from([chr(k) for k in range(0x20, 0x250)])
+    piece = st.text(st.one_of(latin, latin, every), max_size=12)
+    ends = st.sampled_from(["'s", "'RE", "don't", "<|endoftext|>", "<|", "\n", "  ", "\t", "́", "İ", "\xb5", "\x85"])
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.lists(st.one_of(piece, ends), max_size=8).map("".join), max_size=5))
+    def check(texts):
+        same(texts)
+
+    check()
+    pick = random.Random(1)
+    latin1 = [chr(k) for k in range(0x21, 0x100)]
+    same([" ".join("".join(pick.choices(latin1, k=pick.randrange(1, 9))) for _ in range(500)) for _ in range(6)])
+    same([chr(a) + chr(b) for a in range(0x21, 0x100, 3) for b in range(0x21, 0x100)])

@@ -5,8 +5,9 @@ else 4), whole documents only, then one frame with the document table, then the
 format: a skippable frame with compressed size, size and the low 32 bits of XXH64 of each frame. A reader takes the seek
 table from the end of the file, then the document table, then only the frames of the documents it was asked for.
 
-Documents are dealt to files by ranges of their id, so files in order and documents inside them ascend. Files are
-written under an attempt's name and then moved, so a repeated task leaves one whole file with the same content.
+Documents are dealt to files of about `file_bytes` of text by ranges of their id, so files in order and documents inside
+them ascend. Files are written under an attempt's name and then moved, so a repeated task leaves one whole file with the
+same content.
 
 Defined cases: a null text is empty (only the end id); rows without an id come first; repeated ids keep one entry per
 row, ordered by a hash of the text, equal rows in any order; an empty table gives no files and an empty index.
@@ -14,7 +15,9 @@ row, ordered by a hash of the text, equal rows in any order; an empty table give
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -28,8 +31,16 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .common import new_path, ship, stored, texts
 
 FRAME_IDS = 1 << 15
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 PORTION = 1_000_000
+FILE_BYTES = 64 << 20
+# How the tokenizer folds and cuts words where the short path applies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+# The same cut for folded pieces of printable ASCII and of the letters from A grave to y diaeresis.
+_LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+_SIMPLE = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+_CUTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+").findall
 # Fixed values of the public seekable zstandard format: skippable frame, footer, descriptor with checksums.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -40,22 +51,59 @@ INDEX = "doc_id long, file int, position int, n_tokens long"
 READ = "doc_id long, file int, position int, start long, n_tokens long, ids_crc32 long"
 
 
+def _cuts_by_pattern(tokenizer) -> bool:
+    """Whether the tokenizer folds case, drops white space and cuts by `PATTERN` into bytes for its model."""
+    known = json.loads(tokenizer.to_str())
+    steps = (known["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        known["normalizer"] == {"type": "Sequence", "normalizers": NORMALIZERS}
+        and len(steps) == 2
+        and steps[0] == {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+        and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        and not known["post_processor"] and all(t["special"] for t in known["added_tokens"])
+    )
+
+
+class Recent:
+    """A cache in two generations: what is used again outlives the turn, the rest goes with the older one."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys to be added; afterwards all others are in `new`."""
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        absent = keys.difference(self.new)
+        again = {k: self.old[k] for k in absent if k in self.old}
+        self.new.update(again)
+        return [k for k in absent if k not in again]
+
+
 class Encoder:
     """Encodes texts piece by piece and keeps what it has seen.
 
     Blanks and line feeds always end a token in tokenizers that drop white space, so a text's ids are those of its
-    pieces in order; every piece is encoded by the tokenizer itself. New pieces go through it in one call, with a
-    special token between them, which cuts the text before anything else looks at it.
+    pieces in order. If the tokenizer cuts words by `PATTERN`, pieces of printable ASCII and the letters of `_LETTERS` are
+    folded and cut here, where Python's patterns and case folding agree with the tokenizer's, and each new cut goes
+    through the tokenizer's model alone. All other pieces are encoded by the whole tokenizer: new ones in one call, with
+    a special token between them, which cuts the text before anything else looks at it.
     """
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.pieces, self.cuts = Recent(CACHED_WORDS), Recent(CACHED_WORDS)
         special = [(t.content, k) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.specials = [content for content, _ in special]
         self.cut, self.cut_id = special[-1] if special else (None, None)
+        self.plain = _cuts_by_pattern(self.tokenizer) and not self.tokenizer.truncation and not self.tokenizer.padding
+        # Letters as the model's alphabet spells their bytes.
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {ord(c): spelled.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
 
     def _ids(self, pieces: list[str]) -> Iterator[bytes]:
         if self.cut is None or any(s in p for s in self.specials for p in pieces):
@@ -67,14 +115,25 @@ class Encoder:
         starts, ends = np.r_[0, cuts + 1] * width, np.r_[cuts, len(ids)] * width
         return (data[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
 
+    def _learn(self, pieces: list[str]) -> None:
+        simple = [p for p in pieces if self.plain and _SIMPLE(p) and not any(s in p for s in self.specials)]
+        held = {p: _CUTS(p.lower()) for p in simple}
+        tokenize = self.tokenizer.model.tokenize
+        for cut in self.cuts.missing(set().union(*held.values())):
+            spelled = cut if cut.isascii() else cut.translate(self.spelling)
+            self.cuts.new[cut] = np.array([t.id for t in tokenize(spelled)], self.dtype).tobytes()
+        of_cut = self.cuts.new.__getitem__
+        self.pieces.new.update((p, b"".join(map(of_cut, cuts))) for p, cuts in held.items())
+        others = [p for p in pieces if p not in held]
+        if others:
+            self.pieces.new.update(zip(others, self._ids(others)))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        seen = set().union(*split)
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        missing = list(seen.difference(self.known))
-        self.known.update(zip(missing, self._ids(missing)))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+        missing = self.pieces.missing(set().union(*split))
+        if missing:
+            self._learn(missing)
+        return [b"".join(map(self.pieces.new.__getitem__, pieces)) for pieces in split]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -209,7 +268,12 @@ def file_name(k: int) -> str:
 
 
 def write_tokens(
-    docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, frame_ids: int = FRAME_IDS
+    docs: DataFrame,
+    tokenizer_path: str,
+    end_id: int,
+    folder: str | None = None,
+    frame_ids: int = FRAME_IDS,
+    file_bytes: int = FILE_BYTES,
 ) -> tuple[str, DataFrame]:
     """Encode all texts, write the files, return their folder and the index: one row per document with file and position."""
     spark = docs.sparkSession
@@ -252,7 +316,9 @@ def write_tokens(
             storage.move(attempt, name)
 
     placed = texts(docs).withColumn("_tie", F.xxhash64("text"))
-    ordered = placed.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
+    size = placed.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    files = max(-(-size // file_bytes), spark.sparkContext.defaultParallelism)
+    ordered = placed.repartitionByRange(files, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
     return folder, stored(ordered.mapInArrow(write, INDEX), "index")
 
 
