@@ -180,13 +180,55 @@ def _network(t):
     return extraction.build_network(halves, t["f_substations"], voltage_min_kv=0.3, tolerance=60_000.0)
 
 
-@query("build_network")
+_WIDE = 60_000.0 / 111000.0
+_WIDE_SIDE = spatial.cell_side(_WIDE)
+
+# Clusters are components of the cells of all points; every pair of spots in cells close to each other is measured.
+_BUILT = f""", {_PREPARED},
+    points AS (SELECT line_id * 2 AS row_id, x0 AS x, y0 AS y, voltage, CAST(NULL AS VARCHAR) AS name FROM prepared
+               UNION ALL SELECT line_id * 2 + 1, x1, y1, voltage, NULL FROM prepared
+               UNION ALL SELECT 2305843009213693952 + substation_id, lon, lat,
+                 coalesce(TRY_CAST(trim(replace(voltage, 'kV', '')) AS DOUBLE), 220.0) / 1000, name FROM f_substations),
+    spots AS (SELECT DISTINCT x, y, CAST(floor(x / {_WIDE_SIDE!r}) AS BIGINT) AS gx, CAST(floor(y / {_WIDE_SIDE!r}) AS BIGINT) AS gy FROM points),
+    steps AS (SELECT dx, dy FROM range(-2, 3) a(dx), range(-2, 3) b(dy)),
+    edges AS (SELECT DISTINCT a.gx * 4294967296 + a.gy AS a, b.gx * 4294967296 + b.gy AS b
+              FROM spots a, steps JOIN spots b ON b.gx = a.gx + dx AND b.gy = a.gy + dy
+              WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= {_WIDE * _WIDE!r}),
+    reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+    labels AS (SELECT a AS cell, min(b) AS component FROM reach GROUP BY a),
+    placed AS (SELECT p.*, component FROM points p JOIN spots s ON p.x = s.x AND p.y = s.y JOIN labels ON cell = gx * 4294967296 + gy),
+    clusters AS (SELECT avg(x) AS x, avg(y) AS y, max(voltage) AS v_nom, count(*) AS cluster_size, min(row_id) AS first,
+                   arg_min(name, row_id) FILTER (WHERE name <> '') AS sub FROM placed GROUP BY component),
+    buses AS (SELECT row_number() OVER (ORDER BY first) - 1 AS bus_id, * FROM clusters),
+    ends AS (SELECT x0 AS x, y0 AS y FROM prepared UNION SELECT x1, y1 FROM prepared),
+    found AS (SELECT e.x, e.y, arg_min(bus_id, ROW((e.x - b.x) ** 2 + (e.y - b.y) ** 2, bus_id)) AS bus FROM ends e, buses b GROUP BY e.x, e.y)
+"""
+
+
+@query(
+    "build_network",
+    f"""{_BUILT}
+    SELECT line_id, a.bus AS bus0, b.bus AS bus1, round(voltage, 6) AS voltage,
+           CASE WHEN line_id % 2 = 0 THEN circuits ELSE 1 END AS circuits, round(length, 6) AS length
+    FROM prepared JOIN found a ON a.x = x0 AND a.y = y0 JOIN found b ON b.x = x1 AND b.y = y1
+    """,
+    "f_features f_substations",
+    digits=6,
+)
 def _build_network(t):
     _, lines = _network(t)
     return lines.select("line_id", "bus0", "bus1", "voltage", "circuits", "length")
 
 
-@query("build_network_buses")
+@query(
+    "build_network_buses",
+    f"""{_BUILT}
+    SELECT bus_id, coalesce(sub, 'bus_' || CAST(bus_id AS VARCHAR)) AS name, round(x, 6) AS x, round(y, 6) AS y,
+           round(v_nom, 6) AS v_nom, cluster_size FROM buses
+    """,
+    "f_features f_substations",
+    digits=6,
+)
 def _build_network_buses(t):
     buses, _ = _network(t)
     return buses
