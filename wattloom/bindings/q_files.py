@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..model import ROW_ID
-from ..sources import settings, tables
+from ..sources import settings, tables, trees
 from .registry import query
 from .views import Tables
 
@@ -127,14 +127,28 @@ def _scan_encoded_csv(t):
     return tables.read_encoded_csv(t.spark, path, "cp949").drop(ROW_ID)
 
 
+@query(
+    "scan_unnamed_encoding",
+    "SELECT name, CASE WHEN control = 'O' THEN '울산 ' ELSE 'café ' END || province AS province, round(p_nom, 4) AS p_nom FROM f_generators",
+    "f_generators",
+)
+def _scan_unnamed_encoding(t):
+    """Files in different encodings in one folder, none of them named."""
+    folder = t.scratch("mixed")
+    units = t["f_generators"].select("name", F.col("control") == "O", "province", "p_nom").toDF("name", "korean", "province", "p_nom")
+    for word, korean, encoding in (("울산 ", True, "MS949"), ("café ", False, "UTF-8")):
+        rows = units.where(F.col("korean") == korean).select("name", F.concat(F.lit(word), "province").alias("province"), "p_nom")
+        _csv(rows, f"{folder}/{encoding}", encoding)
+    return tables.read_encoded_csv(t.spark, [f"{folder}/MS949", f"{folder}/UTF-8"]).drop(ROW_ID)
+
+
 @query("transcode_files", "SELECT CAST(count(*) AS BIGINT) AS lines, true AS ok FROM customer")
 def _transcode_files(t):
     rows = t["customer"].select("c_custkey", F.concat(F.lit("부산 "), "c_name").alias("c_name"))
     path = _csv(rows.repartition(4, "c_custkey"), t.scratch("transcode"), "EUC-KR")
-    out = tables.transcode_files(t.spark, path)
-    # One line per row and one header per file.
-    lines = F.size(F.split("content", "\n")) - 2
-    return out.groupBy("ok").agg(F.sum(F.when(F.contains("content", F.lit("부산")), lines)).cast("bigint").alias("lines"))
+    report, lines = tables.transcoded(t.spark, path)
+    count = lines.where(F.contains("line", F.lit("부산"))).agg(F.count(F.lit(1))).scalar()
+    return report.agg(F.bool_and("ok").alias("ok")).select(count.cast("bigint").alias("lines"), "ok")
 
 
 @query(
@@ -147,19 +161,84 @@ def _transcode_files(t):
 def _csv_dir_to_tables(t):
     folder = t.scratch("csvdir")
     for name, df in (("nations", t["nation"]), ("customers", t["customer"].select("c_custkey", "c_name"))):
-        _single(df, folder, name)
-    return tables.csv_dir_to_tables(t.spark, folder, t.scratch("converted"))
+        _csv(df, f"{folder}/{name}")
+    found = tables.csv_dir_to_tables(t.spark, folder, t.scratch("converted"), recursive=True)
+    # The parts of a table are files of its folder.
+    return found.groupBy(F.substring_index("table", "/", 1).alias("table")).agg(F.sum("rows").alias("rows"), F.max("cols").alias("cols"))
+
+
+def _tree(t: Tables, label: str) -> trees.Tree:
+    """Units as one file per carrier, with names that repeat inside and across files and line breaks in quoted cells."""
+    folder = t.scratch(label)
+    units = t["f_generators"].select(
+        "carrier", F.col(ROW_ID).cast("string").alias("unit"), F.concat(F.lit(" n"), (F.length("name") * 7 + F.col("build_year") % 900).cast("string")).alias("name"),
+        F.concat(F.lit('said "'), "market", F.lit('",\n'), "control").alias("remark"), F.concat(F.col("province"), F.lit(" ")).alias("province"),
+    )
+    units = units.repartition("carrier").sortWithinPartitions("carrier", F.col("unit").cast("decimal(38,0)"))
+    units.write.partitionBy("carrier").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(folder)
+    return trees.read_tree(t.spark, folder)
 
 
-def _single(df, folder: str, name: str) -> None:
-    """A table as one plain file `<name>.csv`, as such folders hold them."""
-    part = _csv(df.coalesce(1), f"{folder}/parts/{name}")
-    spark = df.sparkSession
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.listStatus(fs_path(part)):
-        if status.getPath().getName().endswith(".csv"):
-            fs.rename(status.getPath(), fs_path(f"{folder}/{name}.csv"))
+def _unit(c: str, i: int):
+    return F.get("cells", F.lit(i)).alias(c)
+
+
+def _carrier():
+    return F.regexp_extract("table", "carrier=([^/]*)/", 1).alias("carrier")
+
+
+_TREE = """, u AS (SELECT carrier, CAST(row_id AS VARCHAR) AS unit, row_id, 'n' || CAST(length(name) * 7 + build_year % 900 AS VARCHAR) AS name,
+                     'said "' || market || '",' || chr(10) || control AS remark, province FROM f_generators)"""
+
+
+@query(
+    "unique_names_tree",
+    f"""{_TREE}, c AS (SELECT *, count(*) OVER (PARTITION BY carrier, name) AS n,
+                         row_number() OVER (PARTITION BY carrier, name ORDER BY row_id) AS i FROM u)
+    SELECT carrier, unit, CASE WHEN n > 1 THEN name || '_' || CAST(i AS VARCHAR) ELSE ' ' || name END AS name, remark FROM c
+    """,
+    "f_generators",
+)
+def _unique_names_tree(t):
+    rows = trees.unique_names_tree(_tree(t, "unique").rows)
+    return rows.select(_carrier(), _unit("unit", 0), _unit("name", 1), _unit("remark", 2))
+
+
+@query(
+    "unique_names_tree_report",
+    f"""{_TREE}, c AS (SELECT carrier, name, count(*) AS n FROM u GROUP BY carrier, name)
+    SELECT carrier, count(*) FILTER (n > 1) AS duplicates, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS modified FROM c GROUP BY carrier
+    """,
+    "f_generators",
+)
+def _unique_names_tree_report(t):
+    found = trees.unique_names_report(_tree(t, "dry"))
+    return found.select(_carrier(), "duplicates", "modified")
+
+
+@query(
+    "map_region_tree",
+    f"""{_TREE} SELECT carrier, unit, coalesce(short, province || ' ') AS province FROM u LEFT JOIN f_region_map ON province = official""",
+    "f_generators f_region_map",
+)
+def _map_region_tree(t):
+    mapping = settings.directed_region_map(t["f_region_map"], "to_short")
+    rows = trees.map_region_tree(_tree(t, "regions").rows, "province", mapping, "k", "v")
+    return rows.select(_carrier(), _unit("unit", 0), _unit("province", 3))
+
+
+@query(
+    "map_region_tree_report",
+    f"""{_TREE} SELECT carrier, count(short) AS changed, count(DISTINCT CASE WHEN short IS NULL THEN province END) AS unmapped
+    FROM u LEFT JOIN f_region_map ON province = official GROUP BY carrier""",
+    "f_generators f_region_map",
+)
+def _map_region_tree_report(t):
+    mapping = settings.directed_region_map(t["f_region_map"], "to_short")
+    found = trees.map_region_tree_report(_tree(t, "report"), "province", mapping, "k", "v")
+    return found.select(_carrier(), "changed", "unmapped")
 
 
 @query("write_table", "SELECT name, province, round(p_nom, 4) AS p_nom FROM f_generators", "f_generators")

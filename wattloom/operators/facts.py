@@ -124,7 +124,9 @@ def assigned(keyed: DataFrame, items: DataFrame, mode: str = "replace") -> DataF
         label = F.concat_ws("/", "component", "attribute")
         last = found.groupBy(label.alias("k")).agg(F.max(_by_kind(_LEVEL_ORDER)).alias("v"))
         lookup = scalar(last, F.map_from_entries(F.collect_list(F.struct("k", "v"))))
-        found = found.where(F.try_element_at(lookup, label) == _by_kind(_LEVEL_ORDER))
+        # Written as a difference: an equality of one side's columns with the other's would become a join key, and a
+        # broadcast does not wait for a subquery in its key.
+        found = found.where(F.try_element_at(lookup, label) - _by_kind(_LEVEL_ORDER) == 0)
     best = found.groupBy("component", "attribute", "name").agg(F.max_by(F.struct("kind", "carrier", "place", "item"), _by_kind(_STRENGTH)).alias("_b"))
     return best.select("component", "attribute", "_b.kind", "_b.carrier", "_b.place", "_b.item", "name")
 

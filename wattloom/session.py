@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,13 +30,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The cluster names that folder in `spark.checkpoint.dir`. Only when neither the setting nor the
     context has one (a local test) does this fall back to a temporary folder.
     """
+    _shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` as Parquet into the shared folder and read it back, for results that many plans scan."""
     spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/wattloom-{label}-{uuid.uuid4().hex[:12]}"
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain.write.parquet(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints, set as the context's if that has none."""
     context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if shared is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             shared = tempfile.mkdtemp(prefix="wattloom-checkpoint-")
         context.setCheckpointDir(shared)
-    return df.checkpoint()
+    return (shared or context.getCheckpointDir()).rstrip("/")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import csv
+from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import temporal
 from ..model import COMPONENTS, ROW_ID, Network, nan_to_null, with_row_id
 from ..operators import series as series_ops
+from ..session import checkpointed, written
+from . import records, trees
 
 # Encodings a conversion of Korean files tries, in order.
 KOREAN_ENCODINGS = ("cp949", "euc-kr")
@@ -83,10 +85,50 @@ def _parsed(column: str, kind: T.DataType) -> Column:
     return cell.try_cast(kind.simpleString())
 
 
+def _header(record: str) -> list[str]:
+    cells = next(csv.reader([record], escapechar="\\"), [])
+    return _names([c or f"_c{i}" for i, c in enumerate(cells)])
+
+
+def _record_cells(spark: SparkSession, path: str | Sequence[str], encoding: str | Sequence[str]) -> tuple[list[str], DataFrame] | None:
+    """Column names and the cells as text with their row id, from records found in the splits of the files."""
+    lines = records.scanned_lines(spark, path, escape="\\")
+    if isinstance(encoding, str):
+        named = lines.select("path").distinct().withColumn("encoding", F.lit(encoding.lower()))
+    else:
+        named = checkpointed(records.file_encodings(lines, "line", encoding))
+    found = records.decoded(records.records(lines), "record", named).select("path", trees.place().alias("place"), "record")
+    found = checkpointed(found)
+    first = found.groupBy("path").agg(F.min("place").alias("first"), F.min_by("record", "place").alias("header"))
+    # One row per file.
+    first = first.withColumn("file", F.row_number().over(W.orderBy("path")) - 1)
+    first = checkpointed(first.select(F.col("path").alias("_path"), "first", "header", "file"))
+    head = first.orderBy("file").first()
+    if head is None:
+        return None
+    names = _header(head["header"])
+    kind = T.StructType([T.StructField(n, _S) for n in names]).toDDL()
+    rows = found.join(first, F.col("path") == F.col("_path")).where(F.col("place") > F.col("first"))
+    cells = F.from_csv("record", F.lit(kind), {"ignoreLeadingWhiteSpace": "false", "maxCharsPerColumn": "-1"})
+    rows = rows.select(cells.alias("c"), (F.shiftleft(F.col("file").cast("bigint"), 47) + F.col("place")).alias(ROW_ID))
+    return names, written(rows.select(*[F.col(f"c.`{n}`") for n in names], ROW_ID), "cells")
+
+
+def _line_cells(spark: SparkSession, path: str | Sequence[str], encoding: str) -> tuple[list[str], DataFrame] | None:
+    """The same from files without quoted line breaks, as Spark splits them."""
+    reader = spark.read.option("encoding", _SPARK_ENCODING.get(encoding, encoding)).option("ignoreLeadingWhiteSpace", False)
+    header = reader.option("header", False).csv(path).first()
+    if header is None:
+        return None
+    names = _names([h or f"_c{i}" for i, h in enumerate(header)])
+    schema = T.StructType([T.StructField(n, _S) for n in names])
+    return names, _in_file_order(reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path))
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
-    encoding: str = "utf-8-sig",
+    encoding: str | Sequence[str] = "utf-8-sig",
     infer: bool = True,
     row_id: bool = True,
     multi_line: bool = True,
@@ -98,7 +140,7 @@ def read_csv(
 def read_csv_checked(
     spark: SparkSession,
     path: str | Sequence[str],
-    encoding: str = "utf-8-sig",
+    encoding: str | Sequence[str] = "utf-8-sig",
     infer: bool = True,
     row_id: bool = True,
     multi_line: bool = True,
@@ -106,26 +148,21 @@ def read_csv_checked(
     """CSV with a header: known columns typed by name, the rest inferred, missing as null, file order kept.
 
     Returns the rows and the cells that do not parse as (row_id, column, cell). Cells are read as text and then cast, so
-    that `2015.0` is a year. The header comes from the first line alone. Types of unknown columns cost one pass; switch
-    `infer` off to read them as text. Quoted line breaks need `multi_line`, which reads a file in one task; long fact
-    files, which have none, are read without and are split.
+    that `2015.0` is a year. The header is the first record of the first file; every file has one. Types of unknown columns
+    cost one pass; switch `infer` off to read them as text. Several encodings are tried in order, per file; a file that
+    none fits has no rows. With `multi_line` quoted cells may hold line breaks: records
+    are found in the splits of the files (`records`). Long fact files, which have none, are read without.
     """
-    reader = spark.read.option("header", True).option("encoding", _SPARK_ENCODING.get(encoding, encoding))
-    reader = reader.option("ignoreLeadingWhiteSpace", False).option("multiLine", multi_line)
-    raw = spark.read.option("encoding", _SPARK_ENCODING.get(encoding, encoding)).option("header", False)
-    header = raw.option("multiLine", multi_line).csv(path).first()
-    if header is None:
+    if multi_line or not isinstance(encoding, str):
+        found = _record_cells(spark, path, encoding)
+    else:
+        found = _line_cells(spark, path, encoding)
+    if found is None:
         return spark.createDataFrame([], T.StructType()), spark.createDataFrame([], REJECTS)
-    names = _names([h or f"_c{i}" for i, h in enumerate(header)])
-    unknown = [n for n in names if n not in KNOWN_TYPES]
-    inferred: dict[str, T.DataType] = {}
-    if unknown and infer:
-        fields = reader.option("inferSchema", True).csv(path).schema.fields
-        inferred = {n: f.dataType for n, f in zip(names, fields)}
-        inferred = {n: t for n, t in inferred.items() if not isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType))}
+    names, cells = found
+    unknown = {n: F.col(f"`{n}`") for n in names if n not in KNOWN_TYPES}
+    inferred = trees.inferred_types(cells, unknown) if infer else {}
     kinds = {n: KNOWN_TYPES.get(n, inferred.get(n, _S)) for n in names}
-    cells = reader.option("enforceSchema", True).schema(T.StructType([T.StructField(n, _S) for n in names])).csv(path)
-    cells = _in_file_order(cells)
     wrong = [
         F.when(
             F.col(f"`{n}`").isNotNull() & ~F.lower(F.trim(F.col(f"`{n}`"))).isin(*_MISSING) & _parsed(n, k).isNull(),
@@ -143,12 +180,8 @@ def read_csv_checked(
     return nan_to_null(rows), rejects
 
 
-def read_encoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """CSV in a named encoding. Korean code pages need `spark.sql.legacy.javaCharsets`, which is checked when
-    the rows are read; the session therefore keeps the setting.
-    """
-    if _SPARK_ENCODING.get(encoding, encoding) not in ("UTF-8", "ISO-8859-1"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+def read_encoded_csv(spark: SparkSession, path: str, encoding: str | Sequence[str] = records.TRY_ENCODINGS) -> DataFrame:
+    """CSV in a named encoding, or in the first of several that fits a file; without a name, those that files come in."""
     return read_csv(spark, path, encoding)
 
 
@@ -221,86 +254,95 @@ def _facts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 # --- conversions --------------------------------------------------------------------------------
 
-_TRANSCODED = "path string, encoding string, n_chars bigint, ok boolean, content string"
-
 
-def transcode_files(
+def transcoded(
     spark: SparkSession, path: str, pattern: str = "*.csv", encodings: Sequence[str] = KOREAN_ENCODINGS, recursive: bool = True
-) -> DataFrame:
-    """(path, encoding, n_chars, ok, content): every file under a folder as text, by the first encoding that fits.
+) -> tuple[DataFrame, DataFrame]:
+    """(report, lines) of every file under a folder, by the first encoding that fits all of it.
 
-    Files are spread over tasks one by one. Decoding against a list of code pages with a strict check is
-    the one thing here that Spark cannot express.
+    `report` has (path, encoding, n_chars, ok); `lines` has (path, place, line), the text of the files that some encoding
+    fits. Files are read in splits and a file's text never lies in one cell: tasks judge their lines, the verdicts are put
+    together per file, and the lines are then decoded. Line feeds are bytes of their own in all these encodings, so no
+    character lies on a border. A line feed counts as a character; that of the last line, if it has one, does too.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(path)
-        .select("path", "content")
+    reader = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+    found = reader.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line"),
+    )
+    found = checkpointed(found)
+    verdict = checkpointed(records.file_encodings(found, "line", encodings))
+    # Rows ascend inside a split, and splits by their start.
+    place = F.struct("block", "at").alias("place")
+    lines = records.decoded(found.select("path", place, "line"), "line", verdict)
+    feeds = found.groupBy("path").agg((F.max("size") - F.sum(F.octet_length("line"))).alias("feeds"))
+    chars = lines.groupBy("path").agg(F.sum(F.length("line")).alias("chars"))
+    report = verdict.join(feeds, "path").join(chars, "path", "left").select(
+        "path", "encoding", F.when(F.col("encoding").isNotNull(), F.coalesce("chars", F.lit(0)) + F.col("feeds")).alias("n_chars"),
+        F.col("encoding").isNotNull().alias("ok"),
     )
-    order = tuple(encodings)
+    return report, lines
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, content in zip(batch["path"], batch["content"]):
-                found = next(((e, t) for e in order if (t := _decoded(content, e)) is not None), (None, None))
-                text = found[1]
-                rows.append((name, found[0], None if text is None else len(text), text is not None, text))
-            yield pd.DataFrame(rows, columns=["path", "encoding", "n_chars", "ok", "content"]).astype({"n_chars": "Int64"})
 
-    return files.mapInPandas(decode, _TRANSCODED)
+def transcode_files(
+    spark: SparkSession, path: str, pattern: str = "*.csv", encodings: Sequence[str] = KOREAN_ENCODINGS, recursive: bool = True
+) -> DataFrame:
+    """(path, encoding, n_chars, ok, content): the report of `transcoded` with the text of each file in one cell.
+
+    For files that fit a cell; larger ones stay in lines (`transcoded`, `write_transcoded`).
+    """
+    report, lines = transcoded(spark, path, pattern, encodings, recursive)
+    parts = lines.groupBy(F.col("path").alias("_path")).agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("l"))
+    text = parts.select("_path", F.array_join("l.line", "\n").alias("t"))
+    # The last line feed, if there is one.
+    whole = F.concat("t", F.repeat(F.lit("\n"), F.col("n_chars").cast("int") - F.length("t")))
+    joined = report.join(text, F.col("path") == F.col("_path"), "left")
+    return joined.select("path", "encoding", "n_chars", "ok", whole.alias("content"))
 
 
-def _decoded(content: bytes, encoding: str) -> str | None:
-    try:
-        return content.decode(encoding)
-    except UnicodeDecodeError:
-        return None
+def write_transcoded(lines: DataFrame, folder: str, out: str, pattern: str = "*.csv") -> None:
+    """The lines of `transcoded` as UTF-8 text below `out/file=<path below the folder>`, in order over the parts."""
+    name = trees.table_name(F.col("path"), folder, pattern.removeprefix("*")).alias("file")
+    ranged = lines.repartitionByRange("path", "place").sortWithinPartitions("path", "place")
+    ranged.select(name, "line").write.mode("overwrite").partitionBy("file").text(out)
 
 
 def csv_dir_to_tables(
-    spark: SparkSession, folder: str, out: str, recursive: bool = False, encoding: str = "utf-8-sig", combined: bool = False
+    spark: SparkSession,
+    folder: str,
+    out: str,
+    recursive: bool = False,
+    encodings: Sequence[str] = records.TRY_ENCODINGS,
+    combined: bool = False,
 ) -> DataFrame:
-    """Each CSV of a folder as a Parquet table named by its path below the folder; returns (table, rows, cols).
+    """Each CSV of a folder as a Parquet table named by its path below the folder; returns (table, rows, cols) per file.
 
-    With `combined` all files become one table with that name as a column.
+    Files with one header are written together, partitioned by table; `table_of` reads one of them back. With `combined`
+    all files become one table of texts with the name as a column, whose own counts come first. The number of jobs
+    follows the number of different headers, not of files.
     """
-    found = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(folder)
-        .select("path")
-        .orderBy("path")
-    )
-    tables = {}
-    for row in found.toLocalIterator():
-        tables[_below(row["path"], folder)] = read_csv(spark, row["path"], encoding).drop(ROW_ID)
-    if not tables:
-        return spark.createDataFrame([], "table string, rows bigint, cols bigint")
-    if combined:
-        parts = [df.select(F.lit(n).alias("table"), *[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]) for n, df in tables.items()]
-        union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        write_table(union, f"{out}/combined")
-        tables = {"combined": union}
-    else:
-        for name, df in tables.items():
-            write_table(df, f"{out}/{name}")
-    counts = [
-        spark.read.parquet(f"{out}/{n}").agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(n).alias("table"), "rows", F.lit(len(df.columns)).cast("bigint").alias("cols")
-        )
-        for n, df in tables.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
-
-
-def _below(path: str, folder: str) -> str:
-    """`a/b` for the file `a/b.csv` below `folder`."""
-    inner = folder.rstrip("/").split("://", 1)[-1].split(":", 1)[-1]
-    return path.removesuffix(".csv").split(f"{inner}/", 1)[-1]
+    tree = trees.read_tree(spark, folder, recursive, encodings=encodings)
+    tree = trees.Tree(checkpointed(tree.files), checkpointed(tree.rows))
+    if not trees.headers(tree):
+        return trees.file_counts(tree).drop("encoding")
+    counts = trees.file_counts(tree).drop("encoding")
+    if not combined:
+        trees.write_tables(tree, out, KNOWN_TYPES, _parsed)
+        return counts
+    together = trees.combined(tree)
+    write_table(together, f"{out}/combined")
+    total = counts.agg(F.lit("combined").alias("table"), F.sum("rows").alias("rows"), F.lit(len(together.columns)).cast("bigint").alias("cols"))
+    return total.union(counts)
+
+
+def table_of(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """The rows of one converted file, from the folder of all files with its header; other files are not read."""
+    found = spark.read.parquet(f"{out}/files").where(F.col("table") == table).head()
+    if found is None:
+        raise ValueError(f"no table {table!r} below {out}")
+    rows = spark.read.option("recursiveFileLookup", False).parquet(f"{out}/header={found['header']}")
+    key = rows.columns[-1] if rows.columns else None
+    return rows.where(F.col(key) == table).drop(key) if key in ("table", "_table") else rows
 
 
 # --- sinks --------------------------------------------------------------------------------------
