@@ -166,3 +166,26 @@ def test_transcoded_lines(spark, tmp_path):
         tables.write_transcoded(lines, str(tmp_path), str(tmp_path / "out"))
     text = [p.read_text() for p in sorted((tmp_path / "out" / "file=a").glob("part-*"))]
     assert "".join(text) == "부산,1\n" * 3000
+
+
+def test_wide_files_of_many_columns(spark, tmp_path):
+    """Thousands of columns are cells by position: the plan has as many columns as the result."""
+    names = [f"unit {i}" for i in range(3000)] + ["twice", "twice"]
+    rows = [["01/03/2024 00:00", *[str(i / 2) for i in range(3001)], ""], ["02/03/2024 00:00", *["nan"] * 3001, "7"]]
+    (tmp_path / "w.csv").write_text(as_csv([["snapshot", *names], *rows]))
+    long = tables.read_wide_series(spark, str(tmp_path / "w.csv"), "loads", "p_set")
+    assert long.columns == ["component", "attribute", "name", "snapshot", "value"]
+    got = {(r["name"], r.snapshot.day): r.value for r in long.collect()}
+    assert len(got) == 2 * 3002 and got["unit 2999", 1] == 1499.5 and got["unit 5", 2] is None
+    assert (got["twice", 1], got["twice.1", 1], got["twice.1", 2]) == (1500.0, None, 7.0)
+
+
+def test_wide_blocks_round_trip(spark, tmp_path):
+    rows = spark.range(700).selectExpr(
+        "concat('n', id % 35) AS name", "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, int(id div 35)) AS snapshot",
+        "CASE WHEN id % 11 > 0 THEN double(id) / 7 END AS value",
+    )
+    slots = tables.write_wide_series(rows, str(tmp_path / "w"), 8)
+    assert sorted(r["count"] for r in slots.groupBy("block").count().collect()) == [3, 8, 8, 8, 8]
+    back = tables.read_wide_series(spark, str(tmp_path / "w"), "a", "b", parts=True).select("name", "snapshot", "value")
+    assert back.count() == 700 and back.exceptAll(rows).count() == 0

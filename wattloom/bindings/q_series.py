@@ -8,6 +8,7 @@ from ..functions import temporal
 from ..model import Network
 from ..operators import series
 from ..plans import runs
+from ..sources import tables
 from .registry import query
 
 _WIDE = """
@@ -26,6 +27,28 @@ def _wide_export(t):
     return _wide(t)
 
 
+@query("wide_export_all", "SELECT 'loads' AS component, 'p_set' AS attribute, name, snapshot, round(value, 4) AS value FROM f_series", "f_series")
+def _wide_export_all(t):
+    """All names in blocks of columns and back."""
+    rows = t["f_series"].select("name", "snapshot", "value")
+    slots = series.name_slots(rows, 50)
+    back = series.from_wide_blocks(series.wide_blocks(rows, slots), slots, "loads", "p_set")
+    # A name has a value at the snapshots it came with; blocks know all snapshots of their names.
+    return back.join(rows.select("name", "snapshot"), ["name", "snapshot"], "left_semi").select("component", "attribute", "name", "snapshot", "value")
+
+
+@query(
+    "wide_files_all",
+    "SELECT 'loads' AS component, 'p_set' AS attribute, name, snapshot, round(value, 4) AS value FROM f_series WHERE value IS NOT NULL",
+    "f_series",
+)
+def _wide_files_all(t):
+    """All names as CSV files of many columns, read back cell by cell."""
+    folder = t.scratch("wide")
+    tables.write_wide_series(t["f_series"].select("name", "snapshot", "value"), folder, 50)
+    return tables.read_wide_series(t.spark, folder, "loads", "p_set", parts=True).where("value IS NOT NULL")
+
+
 @query(
     "series_unpivot",
     f"""

@@ -45,6 +45,33 @@ def wide_export(series: DataFrame, names: Sequence[str]) -> DataFrame:
     return picked.groupBy("snapshot").pivot("name", list(names)).agg(F.max("value"))
 
 
+def name_slots(series: DataFrame, width: int = 1000) -> DataFrame:
+    """(name, block, slot): every name of the series in blocks of `width`, in order."""
+    names = series.select("name").distinct()
+    at = positions(names, ["name"], F.substring("name", 1, 3), "_at")
+    return at.select("name", F.floor(F.col("_at") / width).cast("int").alias("block"), (F.col("_at") % width).cast("int").alias("slot"))
+
+
+def wide_blocks(series: DataFrame, slots: DataFrame) -> DataFrame:
+    """(block, snapshot, values): one array per block and snapshot, so the plan does not grow with the names.
+
+    `series` holds one attribute; a value lies at the slot of its name, and a name without a value there has null.
+    """
+    rows = series.join(slots, "name").groupBy("block", "snapshot").agg(
+        F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("_held")  # at most the names of a block
+    )
+    widths = slots.groupBy(F.col("block").alias("_block")).agg(F.max("slot").alias("_last"))
+    joined = rows.join(widths, F.col("block") == F.col("_block"))
+    values = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda k: F.try_element_at("_held", k))
+    return joined.select("block", "snapshot", values.alias("values"))
+
+
+def from_wide_blocks(blocks: DataFrame, slots: DataFrame, component: str, attribute: str) -> DataFrame:
+    """The series rows of `wide_blocks`, one per name and snapshot of a block."""
+    long = blocks.select("block", "snapshot", F.posexplode("values").alias("slot", "value")).join(slots, ["block", "slot"])
+    return long.select(F.lit(component).alias("component"), F.lit(attribute).alias("attribute"), "name", "snapshot", "value")
+
+
 def catalog(series: DataFrame) -> DataFrame:
     """(component, attribute, n_names): what exists, decided from the data."""
     return series.groupBy("component", "attribute").agg(F.countDistinct("name").alias("n_names"))

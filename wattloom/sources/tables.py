@@ -202,8 +202,7 @@ def read_network(spark: SparkSession, folder: str, encoding: str = "utf-8-sig")
             snapshots = read_csv(spark, path, encoding, row_id=False)
         elif "-" in stem and stem.split("-", 1)[0] in COMPONENTS:
             component, attribute = stem.split("-", 1)
-            wide = read_csv(spark, path, encoding, row_id=False)
-            parts.append(series_ops.unpivot(wide, component, attribute, wide.columns[0]))
+            parts.append(read_wide_series(spark, path, component, attribute, encoding))
     series = reduce(DataFrame.unionByName, parts) if parts else None
     if snapshots is not None:
         column = "snapshot" if "snapshot" in snapshots.columns else snapshots.columns[0]
@@ -229,6 +228,59 @@ def _listing(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName() for f in files if f.getPath().getName().endswith(".csv"))
 
 
+def read_wide_series(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    component: str,
+    attribute: str,
+    encoding: str | Sequence[str] = "utf-8-sig",
+    parts: bool = False,
+) -> DataFrame:
+    """Series rows of CSV files with a column per name, however many: the first cell of a row is its time, day first.
+
+    Cells become rows by their position and meet the names of the header, which are rows as well, so the plan does not
+    grow with the columns. With `parts` the files of a folder are one table, and only the first begins with a header.
+    """
+    lines = records.scanned_lines(spark, path)
+    if isinstance(encoding, str):
+        named = lines.select("path").distinct().withColumn("encoding", F.lit(encoding.lower()))
+    else:
+        named = checkpointed(records.file_encodings(lines, "line", encoding))
+    found = records.decoded(records.records(lines), "record", named)
+    table = F.regexp_replace("path", "/[^/]*$", "") if parts else F.col("path")
+    place = F.struct("path", trees.place().alias("place")).alias("place")
+    found = checkpointed(found.select(table.alias("table"), place, records.cells(F.col("record")).alias("cells")))
+    first = found.groupBy("table").agg(F.min("place").alias("place"))
+    heads = found.join(first, ["table", "place"], "left_semi").select("table", F.posexplode("cells").alias("pos", "name"))
+    heads = heads.withColumn("name", F.trim(F.coalesce("name", F.lit(""))))
+    again = F.row_number().over(W.partitionBy("table", "name").orderBy("pos")) - 1
+    numbered = F.when(F.col("again") > 0, F.concat_ws(".", "name", F.col("again").cast("string"))).otherwise(F.col("name"))
+    heads = heads.withColumn("again", again).select("table", "pos", numbered.alias("name"))
+    data = found.join(first, ["table", "place"], "left_anti")
+    stamp = temporal.parse_dayfirst(F.get("cells", F.lit(0))).cast("timestamp_ntz")
+    cells = data.select("table", stamp.alias("snapshot"), F.posexplode("cells").alias("pos", "cell")).where("pos > 0")
+    long = cells.join(heads, ["table", "pos"])
+    value = nan_to_null(long.select("name", "snapshot", F.col("cell").try_cast("double").alias("value")))
+    return value.select(F.lit(component).alias("component"), F.lit(attribute).alias("attribute"), "name", "snapshot", "value")
+
+
+def write_wide_series(series: DataFrame, out: str, width: int = 1000, index: str = "snapshot") -> DataFrame:
+    """All names of one attribute as CSV with a column per name, in blocks of `width` names below `out/block=<k>`.
+
+    Returns which column lies where, as (name, block, slot). The parts of a block are one table, see `read_wide_series`.
+    """
+    slots = checkpointed(series_ops.name_slots(series, width))
+    blocks = series_ops.wide_blocks(series, slots)
+    stamp = F.date_format("snapshot", "dd/MM/yyyy HH:mm:ss")
+    rows = blocks.select("block", F.col("snapshot").alias("at"), F.concat(F.array(stamp), F.transform("values", lambda x: x.cast("string"))).alias("c"))
+    names = slots.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slot", "name"))).alias("n"))
+    heads = names.select("block", F.lit(None).cast("timestamp_ntz").alias("at"), F.concat(F.array(F.lit(index)), "n.name").alias("c"))
+    ranged = heads.union(rows).repartitionByRange("block", F.col("at").asc_nulls_first())
+    ranged = ranged.sortWithinPartitions("block", F.col("at").asc_nulls_first())
+    ranged.select("block", records.csv_line(F.col("c")).alias("line")).write.mode("overwrite").partitionBy("block").text(out)
+    return slots
+
+
 def read_monthly(spark: SparkSession, path: str, base: int | None, target: int | None) -> tuple[DataFrame, DataFrame]:
     """(monthly facts at the target year, rows set aside): timestamps that do not parse or do not exist."""
     parsed, broken = _facts(spark, path)
