@@ -1,7 +1,7 @@
 """Divergence of the term distributions of sources, per language (operator 13).
 
-1. Single-pass in-memory indexing: a task reads texts once and gathers block postings (term, source, occurrences) and
-   document counts per language until `block` postings are held. It then hands the block over as a run: per language and
+1. Single-pass in-memory indexing: a task reads texts once and gathers block postings (term, source, occurrences and
+   documents) per language until `block` postings are held. It then hands the block over as a run: per language and
    hash shard of the term, segments of at most `segment` terms in ascending order.
 2. Runs meet per hash shard. A task gets a shard's segments in the order of their first terms, opens each when the merge
    reaches it, and merges the open ones with a heap into frequencies. More than `fan_in` runs are first merged in groups
@@ -23,11 +23,12 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import ship, stored
@@ -36,8 +37,10 @@ MIN_DOCUMENTS = 30
 TERMS = 50
 SCALE = 1_000_000_000
 ADDED = 5
-BLOCK = 500_000
+BLOCK = 1_000_000
+TOKENS = 1_000_000
 SEGMENT = 1024
+ROWS = 64
 FAN_IN = 256
 PIECE = 1 << 22
 PAIRS = 1 << 20
@@ -72,33 +75,97 @@ def terms_of(text: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
     yield (folded[low:] if low else folded).split()
 
 
+def _grouped(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The different keys, ascending, and the sums of the values over each."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.flatnonzero(np.r_[np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+    return [key[start], *(np.add.reduceat(v[order], start) if len(start) else v[:0] for v in values)]
+
+
 class _Block:
-    """Postings held in memory."""
+    """Postings held in memory: (group, term, occurrences, documents), terms and groups as numbers of this block."""
 
     def __init__(self):
-        self.counts: dict[tuple[str, str], Counter] = {}
-        self.docs: dict[str, Counter] = {}
-        self.size = 0
+        self.terms: defaultdict[bytes, int] = defaultdict()
+        self.terms.default_factory = self.terms.__len__
+        self.groups: dict[tuple[str, str], int] = {}
+        self.postings: list[list[np.ndarray]] = []
+        self.ids: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
+        self.owners: list[int] = []
+        self.tokens = self.size = 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        counter = self.counts.setdefault((lang, source), Counter())
-        before = len(counter)
-        seen: set[bytes] = set()
-        for words in terms_of(text):
-            counter.update(words)
-            seen.update(words)
-        self.docs.setdefault(lang, Counter()).update(seen)
-        self.size += len(counter) - before
-
-    def postings(self) -> Iterator[tuple[str, list]]:
-        """Per language: (term, documents, {source: occurrences}) in ascending order of terms."""
-        for lang in sorted(self.docs):
-            of_term: dict[bytes, dict[str, int]] = {word: {} for word in sorted(self.docs[lang])}
-            for (other, source), counter in self.counts.items():
-                if other == lang:
-                    for word, n in counter.items():
-                        of_term[word][source] = n
-            yield lang, [(word, self.docs[lang][word], held) for word, held in of_term.items()]
+        """The terms of one document."""
+        pieces = [np.fromiter(map(self.terms.__getitem__, words), np.int64, len(words)) for words in terms_of(text)]
+        ids, weights = pieces[0], np.ones(len(pieces[0]), np.int64)
+        for piece in pieces[1:]:
+            ids, weights = _grouped(np.concatenate([ids, piece]), np.concatenate([weights, np.ones(len(piece), np.int64)]))
+        self.ids.append(ids)
+        self.weights.append(weights)
+        self.owners.append(self.groups.setdefault((lang, source), len(self.groups)))
+        self.tokens += len(ids)
+        if self.tokens >= TOKENS:
+            self._condense()
+
+    def _condense(self) -> None:
+        ids, weights = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (self.ids, self.weights))
+        document = np.repeat(np.arange(len(self.ids)), [len(x) for x in self.ids])
+        key, count = _grouped(document << 32 | ids, weights)
+        group = np.array(self.owners, np.int64)[key >> 32]
+        self.postings.append(_grouped(group << 32 | key & 0xFFFFFFFF, count, np.ones(len(key), np.int64)))
+        self.size += len(self.postings[-1][0])
+        self.ids, self.weights, self.owners, self.tokens = [], [], [], 0
+
+    def run(self, number: int, shards: int, segment: int) -> Iterator[pa.RecordBatch]:
+        """The postings as segments, by language, shard and ascending terms."""
+        self._condense()
+        key, count, docs = _grouped(*(np.concatenate(x) for x in zip(*self.postings)))
+        if not len(key):
+            return
+        terms = pa.array(self.terms, pa.binary())
+        order = np.array(sorted(range(len(terms)), key=list(self.terms).__getitem__))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        shard = np.array([zlib.crc32(w) % shards for w in self.terms], np.int64)
+        names = list(self.groups)
+        langs, sources = (sorted({n[k] for n in names}) for k in (0, 1))
+        lang_of, source_of = (
+            np.array([place[n[k]] for n in names], np.int64) for k, place in enumerate({x: j for j, x in enumerate(v)} for v in (langs, sources))
+        )
+        group, term = key >> 32, key & 0xFFFFFFFF
+        lang, source = lang_of[group], source_of[group]
+        place = np.lexsort((source, rank[term], shard[term], lang))
+        lang, source, term, count, docs = (x[place] for x in (lang, source, term, count, docs))
+        other = (lang[1:] != lang[:-1]) | (term[1:] != term[:-1])
+        start = np.flatnonzero(np.r_[True, other])
+        size, docs, term, lang = np.diff(np.r_[start, len(count)]), np.add.reduceat(docs, start), term[start], lang[start]
+        slot = lang * shards + shard[term]
+        first = np.r_[True, slot[1:] != slot[:-1]]
+        inside = np.arange(len(slot)) - np.maximum.accumulate(np.where(first, np.arange(len(slot)), 0))
+        cut = np.flatnonzero(inside % segment == 0)
+        # Sources of a segment are numbered inside it.
+        of_segment = np.repeat(np.repeat(np.arange(len(cut)), np.diff(np.r_[cut, len(term)])), size)
+        used, code = np.unique(of_segment * len(sources) + source, return_inverse=True)
+        low = np.searchsorted(used, np.arange(len(cut) + 1) * len(sources))
+        code -= low[of_segment]
+        by_term = pa.array(np.r_[cut, len(term)], pa.int32())
+        by_posting = pa.array(np.r_[start[cut], len(count)], pa.int32())
+        listed = lambda edges, values: pa.ListArray.from_arrays(edges, values)
+        found = pa.RecordBatch.from_arrays(
+            [
+                pa.array(langs, pa.string()).take(pa.array(lang[cut])), pa.array(shard[term[cut]], pa.int32()),
+                pa.array(np.full(len(cut), number), pa.int64()), terms.take(pa.array(term[cut])),
+                listed(by_term, terms.take(pa.array(term))), listed(by_term, pa.array(docs, pa.int64())),
+                listed(by_term, pa.array(size, pa.int32())),
+                listed(pa.array(low, pa.int32()), pa.array(sources, pa.string()).take(pa.array(used % len(sources)))),
+                listed(by_posting, pa.array(code, pa.int32())), listed(by_posting, pa.array(count, pa.int64())),
+            ],
+            names=_NAMES,
+        )
+        for at in range(0, len(cut), ROWS):
+            yield found.slice(at, ROWS)
 
 
 class _Writer:
@@ -130,8 +197,8 @@ class _Writer:
         if all_of_it:
             for key in list(self.open):
                 self._close(key)
-        for low in range(0, len(self.rows), 64):
-            part = self.rows[low : low + 64]
+        for low in range(0, len(self.rows), ROWS):
+            part = self.rows[low : low + ROWS]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), _TYPES)], names=_NAMES)
         self.rows = []
 
@@ -139,98 +206,117 @@ class _Writer:
 def runs(docs: DataFrame, shards: int, block: int = BLOCK, segment: int = SEGMENT) -> DataFrame:
     """Term-sorted runs of the texts, as segments per language and shard."""
 
-    def spilled(held: _Block, number: int) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        writer = _Writer(segment)
-        run = (TaskContext.get().partitionId() << 24) + number
-        for lang, postings in held.postings():
-            for posting in postings:
-                writer.add(lang, zlib.crc32(posting[0]) % shards, run, posting)
-            yield from writer.done()
-
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, number = _Block(), 0
+        held, run = _Block(), TaskContext.get().partitionId() << 24
         for batch in batches:
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang, source, text in zip(langs, sources, batch.column(2)):
                 held.add(lang, source, text.as_buffer().to_pybytes())
                 if held.size >= block:
-                    yield from spilled(held, number)
-                    held, number = _Block(), number + 1
-        yield from spilled(held, number)
+                    yield from held.run(run, shards, segment)
+                    held, run = _Block(), run + 1
+        yield from held.run(run, shards, segment)
 
     rows = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(index, _SEGMENT)
 
 
-def merged(rows: Iterator[dict]) -> Iterator[tuple[str, int, bytes, int, dict[str, int]]]:
-    """(lang, shard, term, documents, {source: occurrences}) from segments ordered by lang, shard and first term.
+class _Segment:
+    """One segment, read from a row; postings stay arrays until they are asked for."""
+
+    __slots__ = ("lang", "shard", "group", "terms", "docs", "edges", "sources", "codes", "counts", "places")
+
+    def __init__(self, batch: pa.RecordBatch, k: int):
+        of = lambda name: batch.column(name)[k]
+        self.lang, self.shard = of("lang").as_py(), of("shard").as_py()
+        self.group = of("group").as_py() if "group" in batch.schema.names else None
+        self.terms, self.docs, self.sources = (of(c).values.to_pylist() for c in ("terms", "docs", "sources"))
+        self.edges = np.r_[0, np.cumsum(of("sizes").values.to_numpy())].tolist()
+        self.places = None
+        self.codes, self.counts = (of(c).values.to_numpy() for c in ("codes", "counts"))
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[_Segment]:
+    for batch in batches:
+        for k in range(len(batch)):
+            yield _Segment(batch, k)
+
+
+class _Sums:
+    """Adds up the occurrences of a term per source over the segments that hold it."""
+
+    def __init__(self):
+        self.places: dict[str, int] = {}
+        self.names: list[str] = []
+
+    def _place(self, name: str) -> int:
+        if name not in self.places:
+            self.places[name] = len(self.names)
+            self.names.append(name)
+        return self.places[name]
+
+    def __call__(self, parts: list[tuple[_Segment, int]]) -> dict[str, int]:
+        codes, counts = [], []
+        for segment, k in parts:
+            if segment.places is None:
+                segment.places = np.array([self._place(s) for s in segment.sources], np.int64)
+            low, high = segment.edges[k], segment.edges[k + 1]
+            codes.append(segment.places[segment.codes[low:high]])
+            counts.append(segment.counts[low:high])
+        found, sums = _grouped(np.concatenate(codes), np.concatenate(counts))
+        return {self.names[c]: n for c, n in zip(found.tolist(), sums.tolist())}
+
+
+def merged(rows: Iterator[_Segment]) -> Iterator[tuple[str, int, bytes, int, list[tuple[_Segment, int]]]]:
+    """(lang, shard, term, documents, where its postings are) from segments ordered by lang, shard and first term.
 
     A segment is opened when the merge has come to its first term; the heap holds the next term of every open one.
     """
     heap: list[tuple] = []
     key = None
 
-    def opened(row: dict):
-        names = row["sources"]
-        at = 0
-        for term, docs, size in zip(row["terms"], row["docs"], row["sizes"]):
-            yield term, docs, [(names[c], n) for c, n in zip(row["codes"][at : at + size], row["counts"][at : at + size])]
-            at += size
-
     def drained(limit: bytes | None):
         """Merge all terms below `limit`."""
         while heap and (limit is None or heap[0][0] < limit):
-            term, docs, total = heap[0][0], 0, Counter()
+            term, docs, parts = heap[0][0], 0, []
             while heap and heap[0][0] == term:
-                _, number, (_, more, held), rest = heap[0]
-                docs += more
-                for source, n in held:
-                    total[source] += n
-                following = next(rest, None)
-                if following is None:
-                    heapq.heappop(heap)
+                _, number, k, segment = heap[0]
+                docs += segment.docs[k]
+                parts.append((segment, k))
+                if k + 1 < len(segment.terms):
+                    heapq.heapreplace(heap, (segment.terms[k + 1], number, k + 1, segment))
                 else:
-                    heapq.heapreplace(heap, (following[0], number, following, rest))
-            yield *key, term, docs, total
+                    heapq.heappop(heap)
+            yield *key, term, docs, parts
 
-    for number, row in enumerate(rows):
-        if (row["lang"], row["shard"]) != key:
+    for number, segment in enumerate(rows):
+        if (segment.lang, segment.shard) != key:
             yield from drained(None)
-            key = (row["lang"], row["shard"])
-        yield from drained(row["first"])
-        rest = opened(row)
-        first = next(rest)
-        heapq.heappush(heap, (first[0], number, first, rest))
+            key = (segment.lang, segment.shard)
+        yield from drained(segment.terms[0])
+        heapq.heappush(heap, (segment.terms[0], number, 0, segment))
     yield from drained(None)
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for k in range(len(batch)):
-            yield batch.slice(k, 1).to_pylist()[0]
-
-
 def longer_runs(segments: DataFrame, groups: int, shards: int, segment: int = SEGMENT) -> DataFrame:
     """Runs merged into `groups` longer ones."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = _Writer(segment)
-        run, later = None, _segments(batches)
+        writer, sums = _Writer(segment), _Sums()
+        later = _segments(batches)
         row = next(later, None)
         while row is not None:
-            run = row["group"]
+            run = row.group
 
             def same():
                 nonlocal row
-                while row is not None and row["group"] == run:  # noqa: B023
+                while row is not None and row.group == run:  # noqa: B023
                     yield row
                     row = next(later, None)
 
-            for lang, shard, term, docs, total in merged(same()):
-                writer.add(lang, shard, run, (term, docs, total))
-                if len(writer.rows) >= 64:
+            for lang, shard, term, docs, parts in merged(same()):
+                writer.add(lang, shard, run, (term, docs, sums(parts)))
+                if len(writer.rows) >= ROWS:
                     yield from writer.done(all_of_it=False)
             yield from writer.done()
 
@@ -244,6 +330,7 @@ def frequencies(segments: DataFrame, shards: int, min_documents: int) -> DataFra
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list] = [[] for _ in range(6)]
+        sums = _Sums()
 
         def batch():
             kinds = [pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
@@ -251,9 +338,10 @@ def frequencies(segments: DataFrame, shards: int, min_documents: int) -> DataFra
             arrays[1] = arrays[1].cast(pa.string())
             return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _FREQUENCY.split(", ")])
 
-        for lang, _, term, docs, of in merged(_segments(batches)):
+        for lang, _, term, docs, parts in merged(_segments(batches)):
             if docs < min_documents:
                 continue
+            of = sums(parts)
             total = sum(of.values())
             for k, (source, n) in enumerate(of.items()):
                 for column, value in zip(columns, (lang, term, source, n, total, int(k == 0))):
