@@ -20,6 +20,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -115,16 +116,22 @@ class Encoder:
         starts, ends = np.r_[0, cuts + 1] * width, np.r_[cuts, len(ids)] * width
         return (data[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
 
-    def _learn(self, pieces: list[str]) -> None:
-        simple = [p for p in pieces if self.plain and _SIMPLE(p) and not any(s in p for s in self.specials)]
-        held = {p: _CUTS(p.lower()) for p in simple}
-        tokenize = self.tokenizer.model.tokenize
-        for cut in self.cuts.missing(set().union(*held.values())):
+    def _learn(self, pieces: list[str], special: bool) -> None:
+        words, held, others = {}, {}, pieces
+        if self.plain and not special:
+            # Letters alone are one cut.
+            words = {p: p.lower() for p in pieces if p.isascii() and p.isalpha()}
+            others = [p for p in pieces if p not in words]
+            held = {p: _CUTS(p.lower()) for p in others if _SIMPLE(p)}
+            others = [p for p in others if p not in held]
+        tokenize, kind = self.tokenizer.model.tokenize, self.dtype[-1] == "2"
+        missing = self.cuts.missing(set(words.values()).union(*held.values()))
+        known = self.cuts.new
+        for cut in missing:
             spelled = cut if cut.isascii() else cut.translate(self.spelling)
-            self.cuts.new[cut] = np.array([t.id for t in tokenize(spelled)], self.dtype).tobytes()
-        of_cut = self.cuts.new.__getitem__
-        self.pieces.new.update((p, b"".join(map(of_cut, cuts))) for p, cuts in held.items())
-        others = [p for p in pieces if p not in held]
+            known[cut] = array("H" if kind else "I", [t.id for t in tokenize(spelled)]).tobytes()
+        self.pieces.new.update((p, known[cut]) for p, cut in words.items())
+        self.pieces.new.update((p, b"".join([known[cut] for cut in cuts])) for p, cuts in held.items())
         if others:
             self.pieces.new.update(zip(others, self._ids(others)))
 
@@ -132,7 +139,7 @@ class Encoder:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         missing = self.pieces.missing(set().union(*split))
         if missing:
-            self._learn(missing)
+            self._learn(missing, any(s in text for s in self.specials for text in texts))
         return [b"".join(map(self.pieces.new.__getitem__, pieces)) for pieces in split]
 
 
@@ -147,7 +154,7 @@ def encoder(path: str, dtype: str) -> Encoder:
 
 
 def _portions(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about a million bytes of text each."""
+    """Ranges of rows with about `PORTION` bytes of text each."""
     total = np.cumsum(np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]))
     low = 0
     while low < len(column):
