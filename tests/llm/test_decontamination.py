@@ -78,3 +78,26 @@ def test_edge_rows_and_empty_tables(spark):
     assert D.decontamination(docs_table(spark, []), items).count() == 0
     none = D.decontamination(docs_table(spark, rows), items.where("false")).collect()
     assert len(none) == len(rows) and not any(r.contaminated for r in none)
+
+
+def test_rows_without_ids_and_short_items(spark):
+    long, seven, three = (" ".join(words(n, 40 + n)) for n in (30, 7, 3))
+    docs = [
+        (None, "x " + long), (1, "clean text"), (1, "and " + long + " end"), (2, "a b " + seven + " c"), (3, "a b " + three + " c"), (4, three),
+        (None, "nothing here"), (5, " ".join(seven.split()[:6] + ["other"])),
+    ]
+    table = spark.createDataFrame([(None, long), (8, seven), (9, three)], "item_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in D.clean(docs_table(spark, docs), table).collect()), key=repr)
+    assert kept == sorted([(1, "clean text"), (3, "a b " + three + " c"), (None, "nothing here"), docs[-1]], key=repr)
+    got = D.decontamination(docs_table(spark, docs), table).collect()
+    found = sorted(((r.doc_id, r.item_ids, [tuple(s) for s in r.stretches]) for r in got if r.contaminated), key=repr)
+    assert found == sorted([(None, [], [(None, 1, 31)]), (1, [], [(None, 1, 31)]), (2, [8], [(8, 2, 9)]), (4, [9], [(9, 0, 3)])], key=repr)
+
+
+def test_a_prompt_that_all_items_share(spark, monkeypatch):
+    monkeypatch.setattr(D, "_HITS", 50)
+    prompt = " ".join(words(14, 77))
+    items = [(k, prompt + " " + " ".join(words(20, 800 + k))) for k in range(30)]
+    docs = [(1, prompt), (2, " ".join(words(40, 78))), (3, items[4][1])]
+    got = D.matches(docs_table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id").distinct()
+    assert {tuple(r) for r in got.collect()} == brute_force(docs, items)

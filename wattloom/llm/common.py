@@ -70,10 +70,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda word: word != "")
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Rows of `docs` whose id is not among `ids`; rows without an id stay."""
-    gone = ids.select(F.col(id_column).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns as one, `row`, beside some of our own, so that no name clashes; `select("row.*")` brings them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def without_texts(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """Rows of `docs` whose text (null: empty) has none of the MD5 digests; every row is judged by its own text."""
+    gone = digests.select(F.col(digests.columns[0]).alias("gone")).distinct()
+    rows = packed(docs, own=F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return rows.join(gone, F.col("own") == F.col("gone"), "left_anti").select("row.*")
 
 
 def same_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import stored, words_of
+from .common import packed, stored, words_of
 
 SLICES = 4096
 SHARE = 1.5
@@ -83,6 +83,7 @@ def mix(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         n_words(text).alias("size"),
+        F.md5(F.coalesce(text.cast("string"), F.lit(""))).alias("digest"),
         exponential_key(F.col("doc_id").cast("long"), quality(text) if weight is None else weight, seed).alias("_key"),
     )
     slice_ = F.floor((F.lit(1.0) - F.exp(F.col("_key") * -0.8)) * SLICES).cast("int")
@@ -105,16 +106,23 @@ def mix(
     so_far = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     border = placed.where("_state = 'some'").withColumn("_picked", so_far + F.col("size") / 2 <= F.col("_rest"))
     taken = F.col("size") * (F.col("epochs") + F.col("_picked").cast("long"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "epochs", taken.cast("long").alias("taken")]
+    columns = ["doc_id", "source", "digest", "size", "source_size", "target", "epochs", taken.cast("long").alias("taken")]
     return whole.select(*columns).union(border.select(*columns))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken."""
-    plan = mix(docs, **options).groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
+    """The documents of the mix with all their columns, each as often as it is taken.
+
+    A row is told apart by id, source and text; rows equal in all three are taken alike, as often as the most of them.
+    """
+    plan = mix(docs, **options).groupBy("doc_id", "source", "digest").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
     plan = plan.where("_taken > 0").select(
-        F.col("doc_id").alias("_id"), F.round(F.col("_taken") / F.col("_size")).cast("int").alias("_copies")
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest"),
+        F.round(F.col("_taken") / F.col("_size")).cast("int").alias("_copies"),
+    )
+    rows = packed(
+        docs, id=F.col("doc_id").cast("long"), source=F.col("source").cast("string"),
+        digest=F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))),
     )
-    kept = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    copies = kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("digest") == F.col("_digest"))
+    return rows.join(plan, same).select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")

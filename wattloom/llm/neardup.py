@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WORD, ship, stored, texts
+from .common import WORD, packed, ship, stored, texts
 from .graph import extended
 from .words import Block, blocks, mixed, runs, spaced
 
@@ -531,7 +531,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     key = lambda digest: F.concat_ws(":", digest, F.col("doc_id").cast("long").cast("string"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
     kept = classes.groupBy("class").agg(F.min(first).alias("f")).select("f.doc_id", "f.digest").select(key(F.col("digest")).alias("_kept"))
-    rows = docs.where(F.col("text").cast("string").rlike(WORD)).withColumn("_key", key(F.md5(F.col("text").cast("string"))))
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))))
-    rows = rows.where("_rank = 1").join(kept, F.col("_key") == F.col("_kept"), "left_semi")
-    return rows.select(*docs.columns).union(_wordless(docs))
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = packed(docs.where(F.col("text").cast("string").rlike(WORD)), key=key(F.md5(F.col("text").cast("string"))), hash=hashed)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("hash"))).where("rank = 1")
+    return rows.join(kept, F.col("key") == F.col("_kept"), "left_semi").select("row.*").union(_wordless(docs))

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ship, texts
+from .common import ship, texts, without_texts
 from .words import Block, blocks, mixed, plain
 
 MAX_POSITIVE = 3_000
@@ -182,8 +182,8 @@ def _placed(ids: np.ndarray, found: np.ndarray) -> np.ndarray:
     return at[ids[at] == found]
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text."""
+def scores(docs: DataFrame, model: Model, by_text: bool = False) -> DataFrame:
+    """doc_id and score (0 to 1) of every whole text; with `by_text` the digest of the text in place of the id."""
     ship(docs.sparkSession)
 
     size = max(1, len(model.features))
@@ -207,7 +207,11 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             value = 1 / (1 + np.exp(-np.clip(total, -700, 700))) if np.isfinite(model.bias) else np.zeros(len(total))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64())], names=["doc_id", "score"])
 
-    return texts(docs).mapInArrow(score, SCORES)
+    if not by_text:
+        return texts(docs).mapInArrow(score, SCORES)
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.select(F.md5(whole).alias("doc_id"), whole.alias("text")).mapInArrow(score, SCORES.replace("long", "string"))
+    return named.withColumnRenamed("doc_id", "digest")
 
 
 def train(
@@ -225,3 +229,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the classifier does not reject, with all their columns; rows without an id are judged as well."""
+    found = scores(docs, train(docs, labels), by_text=True)
+    return without_texts(docs, found.where(F.col("score") >= threshold).select("digest"))
