@@ -1,17 +1,22 @@
-"""The text pipeline: each stage works on what the one before it kept."""
+"""The text pipeline: each stage works on what the one before it kept.
+
+Defined cases: every row is judged by its own text, so rows without an id, or with one that others have, go through all
+stages like any other; null and empty texts are neither toxic by themselves nor near duplicates nor contaminated, but the
+mix takes none of them, since they have no words. Of equal rows one stays. Columns beyond those of documents come along
+up to the last stage, whatever their names. Empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from wattloom.llm import decontamination, mixing, neardup, queries, toxicity
-from wattloom.llm.common import stored, table, without_ids
+from wattloom.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier rejects go."""
-    found = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return without_ids(docs, found.where("predicted = 1").select("doc_id"))
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
