@@ -86,7 +86,7 @@ def _darts(owner: np.ndarray, seeds: np.ndarray, low: np.ndarray, width: np.ndar
     number = 0
     step = max(1, int(0.6 * float((bound * width).mean())) if len(seeds) else 1)
     while len(seeds):
-        step = min(step, 1 + 1_000_000 // len(seeds))
+        step = min(step, 1 + 250_000 // len(seeds))
         counter = np.arange(number + 1, number + step + 1, dtype=np.uint64) * _GOLD
         dart = mixed(seeds[:, None] + counter[None, :])
         wait = -np.log(((dart >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53) / width[:, None]
