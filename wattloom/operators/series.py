@@ -5,11 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import temporal
 from ..functions.rules import SERIES_RULES
-from ..model import SERIES_COLUMNS, Network, scalar, spread, total
+from ..model import SERIES_COLUMNS, Network, scalar, total
 from .scans import HOT_ROWS, filled, positions
 
 SERIES_KEYS = ("component", "attribute", "name")
@@ -275,17 +275,29 @@ def resample(
 def _with_empty_buckets(folded: DataFrame, buckets: DataFrame, rules: Mapping, default: str | None) -> DataFrame:
     """Add the buckets a series has no rows in.
 
-    Each series name unfolds to all buckets and takes its value by an equi join on (series, bucket). The
-    folded side is already partitioned that way, and no task holds a whole series.
+    A row knows the next row of its series and the bucket that is due after its own; only where they differ, and before
+    the first row, the buckets in between are listed. No series meets the calendar as a whole.
     """
     calendar = scalar(buckets, F.array_sort(F.collect_list("snapshot")))
-    names = spread(folded.select(*SERIES_KEYS).distinct(), *SERIES_KEYS)
-    grid = names.withColumn("snapshot", F.explode(calendar))
+    due = F.lead("snapshot").over(W.orderBy("snapshot"))  # one row per bucket
+    known = buckets.select("snapshot", due.alias("_due"), F.lit(True).alias("_inside"))
+    # Rows outside the calendar, or without a time, only tell that the series is there.
+    at = F.coalesce("snapshot", F.lit(dt.datetime(1, 1, 1)).cast("timestamp_ntz"))
+    own = W.partitionBy(*SERIES_KEYS).orderBy("_at")  # a row per bucket
+    rows = folded.join(known, "snapshot", "left").withColumn("_at", at)
+    rows = rows.withColumns({"_next": F.lead("_at").over(own), "_first": F.lag("_at").over(own).isNull()})
+    # Only now, so that it does not travel.
+    rows = rows.withColumn("_calendar", calendar)
+    gap = F.col("_inside").isNull() | ~F.col("_next").eqNullSafe(F.col("_due"))
+    none = F.array().cast("array<timestamp_ntz>")
+    after = F.filter("_calendar", lambda b: (b > F.col("_at")) & (F.col("_next").isNull() | (b < F.col("_next"))))
+    before = F.filter("_calendar", lambda b: b < F.col("_at"))
+    missing = F.concat(F.when(F.col("_first"), before).otherwise(none), F.when(gap, after).otherwise(none))
     empty = F.when(_zero_rule(rules, default), F.lit(0.0))
-    marked = folded.withColumn("_found", F.lit(True))
-    return grid.join(marked, [*SERIES_KEYS, "snapshot"], "left").select(
-        *SERIES_KEYS, "snapshot", F.when(F.col("_found"), F.col("value")).otherwise(empty).alias("value")
-    )
+    listed = F.transform(missing, lambda b: F.struct(b.alias("snapshot"), empty.alias("value")))
+    here = F.array(F.struct(F.col("snapshot").cast("timestamp_ntz").alias("snapshot"), F.col("value").cast("double").alias("value")))
+    both = F.concat(F.when(F.col("_inside"), here).otherwise(F.array().cast("array<struct<snapshot:timestamp_ntz,value:double>>")), listed)
+    return rows.select(*SERIES_KEYS, F.explode(both).alias("_b")).select(*SERIES_KEYS, "_b.snapshot", "_b.value")
 
 
 def _zero_rule(rules: Mapping, default: str | None) -> Column:
