@@ -149,6 +149,45 @@ def test_edited_family_is_left_out_by_counts(spark):
     assert all(out <= 3 * n for n, out in met)
 
 
+def test_members_of_a_large_class_meet_only_those_outside_it(spark):
+    """The rows of the block pairs grow with a class and not with its square."""
+
+    def met(n):
+        members = [(0, rep, 5, 300, 320.0) for rep in range(n)] + [(0, n + k, 1000 + k, 300, 320.0) for k in range(10)]
+        columns = "band long, rep long, class long, size long, reach double"
+        out = neardup.block_pairs(spark.createDataFrame(members, columns), 16).select("rep").collect()
+        assert {r.rep for r in out} == set(range(n + 10))
+        return len(out)
+
+    assert met(300) <= 600 and met(600) <= 1200
+
+
+def test_blocks_bring_every_pair_of_classes_together(spark):
+    """Pairs of different classes that may be similar meet in just one pair of blocks, strong members being one side."""
+    rng = random.Random(13)
+    members = []
+    for rep in range(300):
+        kind = rng.choice([1000, 1000, 1000, 1001, 1001, 1002 + rep])
+        size = rng.randrange(200, 320)
+        members.append((rng.randrange(2), rep, kind, size, size * rng.choice([0.97, 1.02, 1.1])))
+    met = defaultdict(set)
+    columns = "band long, rep long, class long, size long, reach double"
+    for r in neardup.block_pairs(spark.createDataFrame(members, columns), 16).collect():
+        met[r.band, r.low, r.high].add((r.side, r.rep))
+    together = Counter()
+    for (band, low, high), side in met.items():
+        for x, a in side:
+            for y, b in side:
+                if a < b and (low == high or x != y):
+                    together[band, a, b] += 1
+    assert set(together.values()) == {1}
+    for i, (band, a, kind, size, reach) in enumerate(members):
+        for other, b, of_b, size_b, reach_b in members[i + 1 :]:
+            fit = size_b <= reach and size <= reach_b and (size <= reach or size_b <= reach_b)
+            if band == other and kind != of_b and fit:
+                assert together[band, a, b] == 1
+
+
 def test_signatures_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 600).astype(np.uint64)

@@ -19,9 +19,10 @@ A document that shares `shared` elements with all other classes together thus ha
 reach = shared / c - size. If reach is below its own size, the document is weak, and two weak ones are never partners.
 So only strong members, of which families of edited copies have few, meet the others, within their reach; what is left
 out no longer counts as shared for the rest, until nothing changes. Bands are cut into blocks of members of like sizes,
-and a block of strong members meets every block in reach in one task. Strong members that stay apart make this step grow
-with the square of their number in a band. At similarity 0.8, 48 bands of 7 leave a pair without a common band with
-probability 1.2e-5.
+and a block of strong members meets every block in reach in one task. A class with many members in a band has blocks of
+its own, which never meet each other: a class meets only the members outside it. Strong members of different classes make
+this step grow with the product of their numbers in a band. At similarity 0.8, 48 bands of 7 leave a pair without a
+common band with probability 1.2e-5.
 
 Defined cases: words are runs of non-white-space, taken as they are; texts of one to four words are one element, their
 whole word sequence; documents without words (null, empty, blank) are classes of their own; equal texts are one class;
@@ -302,9 +303,13 @@ def _reaches(rows: DataFrame, similarity: float) -> DataFrame:
     return found.select("rep", "size", reach.alias("reach")).where(F.col("reach") >= F.lit(similarity) * F.col("size"))
 
 
-def _partnered(members: DataFrame, reaches: DataFrame) -> DataFrame:
-    """(band, rep, class, size, reach) of the members that a strong member of another class of the band may reach."""
-    rows = members.join(reaches, "rep")
+def _partnered(held: DataFrame, reaches: DataFrame) -> DataFrame:
+    """(band, rep, class, size, reach) of the members that a strong member of another class of the band may reach.
+
+    `held` has one row per document, with its class and bands.
+    """
+    rows = held.join(reaches, "rep").select(F.explode("bands").alias("band"), "rep", "class", "size", "reach")
+    rows = stored(rows, "reaching")
     strong = F.col("reach") >= F.col("size")
     bands = rows.groupBy("band").agg(
         F.min(F.when(strong, F.col("size"))).alias("least"), F.max(F.when(strong, F.col("reach"))).alias("most"),
@@ -320,7 +325,8 @@ def _unproven(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     rows = _occurrences(sets)
     left = None
     while True:
-        found = stored(_partnered(members, _reaches(rows, similarity)), "unproven")
+        held = members.groupBy("rep").agg(F.min("class").alias("class"), F.collect_list("band").alias("bands"))
+        found = stored(_partnered(held, _reaches(rows, similarity)), "unproven")
         count = found.select("rep").distinct().count()
         if count == 0 or left is not None and count > 0.9 * left:
             return found
@@ -385,20 +391,25 @@ def _block_links(sides, names, kinds, sizes, reaches, sets, similarity: float) -
 def block_pairs(members: DataFrame, block: int) -> DataFrame:
     """(band, low, high, side, rep, class, size, reach): every block of strong members with every block it may reach.
 
-    Blocks hold about `block` members of a band, of the same strength and of like sizes. Blocks are numbered by strength
-    (strong ones first) and size, and each pair of blocks gets the members of both sides.
+    Blocks hold about `block` members of a band, of the same strength and of like sizes. A class that fills a quarter of a
+    block there has blocks of its own, the other classes share blocks; two blocks of one class are no pair. Blocks are
+    numbered by strength (strong ones first) and size, and each pair of blocks gets the members of both sides.
     """
     weak = (F.col("reach") < F.col("size")).cast("int").alias("weak")
     # Sizes within a factor 1.12 are one bucket; partners lie at most two buckets apart at similarity 0.8.
     bucket = F.floor(F.log(F.col("size")) / F.lit(0.1133)).cast("long")
     rows = members.withColumns({"weak": weak, "bucket": bucket})
-    counted = rows.groupBy("band", "weak", "bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
-    counted = counted.select(*[F.col(c).alias(f"_{c}") for c in ("band", "weak", "bucket")], "blocks")
-    same = [F.col(c) == F.col(f"_{c}") for c in ("band", "weak", "bucket")]
-    rows = rows.join(counted, same[0] & same[1] & same[2])
-    part = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    # A number for (weak, bucket, part): buckets are below 2**10, parts below 2**40.
-    rows = rows.withColumn("side", F.col("weak") * F.lit(1 << 50) + F.col("bucket") * F.lit(1 << 40) + part)
+    like = ["band", "weak", "bucket"]
+    kinds = rows.groupBy(*like, "class").agg(F.count(F.lit(1)).alias("n"))
+    kinds = stored(kinds.withColumn("own", F.when(4 * F.col("n") >= block, F.col("class"))), "kinds")
+    counted = kinds.groupBy(*like, "own").agg(F.ceil(F.sum("n") / F.lit(block)).alias("blocks"))
+    before = Window.partitionBy("band").orderBy("weak", "bucket", "own").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0)))
+    counted = counted.select(*[F.col(c).alias(f"_{c}") for c in (*like, "own")], "first", "blocks")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*like, "own")]
+    named = kinds.join(counted, same[0] & same[1] & same[2] & same[3]).select(*like, "class", "first", "blocks")
+    rows = rows.join(named, [*like, "class"])
+    rows = rows.withColumn("side", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = stored(rows.select("band", "rep", "class", "size", "reach", "side", "weak"), "sides")
     sides = rows.groupBy("band", "side", "weak").agg(
         F.min("size").alias("least"), F.max("size").alias("greatest"), F.max("reach").alias("reach"),
