@@ -173,3 +173,33 @@ def test_mainland_rows_become_sixteen(spark):
 def test_filters_need_an_equals_sign():
     with pytest.raises(ValueError):
         columns.parse_filters(["carrier"])
+
+
+def placed_facts(spark):
+    """Facts by name and by place that several items share, some of them twice, without a name or an attribute."""
+    facts_of = [
+        (dt.datetime(2024, m, 1), "generators", a, "c", place, "generator", name, float(m * 10 + i))
+        for m in (1, 2) for i, (a, place, name) in enumerate([("cost", "A", "g0"), ("cost", "A", None), ("cost", "A", "x"), ("cost", "B", "g9"), (None, "A", "g1"), ("cost", "A", "x")])
+    ]
+    facts_of += facts_of[:3]
+    columns = "snapshot timestamp_ntz, component string, attribute string, carrier string, region string, aggregation string, name string, value double"
+    items = [("generators", f"g{i}", "c", "AB"[i % 3 // 2] if i % 4 else None) for i in range(12)] + [("generators", "g0", "c", "A")]
+    return spark.createDataFrame(facts_of, columns), spark.createDataFrame(items, "component string, name string, carrier string, province string")
+
+
+def fold():
+    return {"n": F.count(F.lit(1)), "low": F.min("value"), "high": F.max("value")}
+
+
+def combined():
+    return [F.sum("n"), F.min("low"), F.max("high")]
+
+
+@pytest.mark.parametrize("mode", ["merge", "replace"])
+def test_folded_matches_are_the_aggregates_of_all_matches(spark, as_rows, mode):
+    rows, items = placed_facts(spark)
+    keys = ["component", "attribute", "name", "snapshot", "aggregation"]
+    plain = facts.matched(rows, items, "KR", mode)
+    folded = facts.matched(rows, items, "KR", mode, fold=fold())
+    assert as_rows(folded.groupBy(*keys).agg(*combined())) == as_rows(plain.groupBy(*keys).agg(*fold().values()))
+    assert folded.count() == folded.select(*keys).distinct().count() < plain.count()

@@ -76,9 +76,10 @@ def _last_level_wins(t):
     digits=2,
 )
 def _closest_level_wins(t):
-    rows = facts.matched(_all_facts(t), t[_ITEMS], "ALL", mode="merge")
+    fold = {"n": F.count(F.lit(1)), "low": F.min("value"), "high": F.max("value")}
+    rows = facts.matched(_all_facts(t), t[_ITEMS], "ALL", mode="merge", fold=fold)
     return rows.groupBy("name", "snapshot", "aggregation").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
     )
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable, Mapping, Sequence
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.temporal import month_start
 from ..model import SERIES_COLUMNS, scalar, spread
@@ -48,16 +48,26 @@ def match_generator(facts: DataFrame, items: DataFrame) -> DataFrame:
     return by_name.drop("region").unionByName(by_place, allowMissingColumns=True)
 
 
-def matched(facts: DataFrame, items: DataFrame, national_region: str, mode: str = "replace") -> DataFrame:
+def _folded(rows: DataFrame, keys: Sequence[str], fold: Mapping[str, Column] | None) -> DataFrame:
+    """One row per key, level and snapshot with the aggregates of its facts; without `fold`, the facts themselves."""
+    if fold is None:
+        return rows
+    return rows.groupBy(*keys, "aggregation", "snapshot").agg(*[c.alias(name) for name, c in fold.items()])
+
+
+def matched(
+    facts: DataFrame, items: DataFrame, national_region: str, mode: str = "replace", fold: Mapping[str, Column] | None = None
+) -> DataFrame:
     """(component, attribute, name, snapshot, value, aggregation): the facts each item takes, after precedence.
 
     `replace`: per attribute the last level that matches anything supplies all values. `merge`: per item
     and attribute the closest level that matches it does (generator, then province, then national).
+    With `fold` (name -> aggregate of fact columns) the facts of a key and snapshot are aggregated before items multiply them.
     """
     keyed = keyed_facts(facts, national_region)
     chosen = assigned(keyed, items, mode)
-    rows = salted_join(chosen, keyed, KEY)
-    return rows.select("component", "attribute", "name", "snapshot", "value", "aggregation")
+    rows = salted_join(chosen, _folded(keyed, KEY, fold), KEY)
+    return rows.select("component", "attribute", "name", "snapshot", *(fold or ["value"]), "aggregation")
 
 
 # A fact's key: what it must have in common with an item. Unused parts are empty text.
