@@ -203,3 +203,23 @@ def test_folded_matches_are_the_aggregates_of_all_matches(spark, as_rows, mode):
     folded = facts.matched(rows, items, "KR", mode, fold=fold())
     assert as_rows(folded.groupBy(*keys).agg(*combined())) == as_rows(plain.groupBy(*keys).agg(*fold().values()))
     assert folded.count() == folded.select(*keys).distinct().count() < plain.count()
+
+
+def test_folded_generator_facts_are_the_aggregates_of_all_matches(spark, as_rows):
+    rows, items = placed_facts(spark)
+    plain, folded = facts.match_generator(rows, items), facts.match_generator(rows, items, fold())
+    named = {r["name"] for r in rows.where("attribute IS NOT NULL").collect()}
+    by_name = plain.where("attribute IS NOT NULL").select("name", "value").distinct().collect()
+    assert {r.value % 10 for r in by_name if r["name"] in named} == {0.0, 3.0}  # g0 and g9 have facts of their own
+    keys = ["component", "attribute", "carrier", "name", "snapshot"]
+    assert as_rows(folded.groupBy(*keys).agg(*combined())) == as_rows(plain.groupBy(*keys).agg(*fold().values()))
+    # An item (g0 is there twice) has a row per attribute and snapshot, however many facts its place has.
+    assert folded.groupBy(*keys).count().agg(F.max("count")).head()[0] == 2 < plain.groupBy(*keys).count().agg(F.max("count")).head()[0]
+
+
+def test_duplicates_of_folded_facts(spark, as_rows):
+    rows, items = placed_facts(spark)
+    plain, folded = facts.match_generator(rows, items), facts.match_generator(rows, items, {"n": F.count(F.lit(1))})
+    for period in (temporal.month_start, lambda c: F.date_trunc("year", c)):
+        want = as_rows(facts.duplicate_facts(plain, ["name"], period))
+        assert as_rows(facts.duplicate_facts(folded, ["name"], period, counts="n")) == want != []

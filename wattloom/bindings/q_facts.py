@@ -95,8 +95,8 @@ def _closest_level_wins(t):
     "f_named_facts f_customers",
 )
 def _duplicate_facts(t):
-    rows = facts.match_generator(t["f_named_facts"], t[_ITEMS])
-    return facts.duplicate_facts(rows, ["name"])
+    rows = facts.match_generator(t["f_named_facts"], t[_ITEMS], {"n": F.count(F.lit(1))})
+    return facts.duplicate_facts(rows, ["name"], counts="n")
 
 
 @query(

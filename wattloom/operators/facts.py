@@ -31,21 +31,10 @@ def match_province(facts: DataFrame, items: DataFrame) -> DataFrame:
     return _by_region(rows, items)
 
 
-def _by_region(rows: DataFrame, items: DataFrame) -> DataFrame:
+def _by_region(rows: DataFrame, items: DataFrame, keep: bool = False) -> DataFrame:
     places = items.select("component", "name", "carrier", F.col("province").alias("region")).where(F.col("region") != "")
-    return salted_join(places, rows, ["component", "carrier", "region"]).drop("region")
-
-
-def match_generator(facts: DataFrame, items: DataFrame) -> DataFrame:
-    """Facts by item name; an item no fact names falls back to its province. Facts without names match nothing."""
-    rows = facts.where(F.col("aggregation") == "generator")
-    if "name" not in facts.columns:
-        return match_province(facts, items).limit(0)
-    keys = ["component", "attribute", "carrier", "name"]
-    by_name = rows.join(items.select("component", "carrier", "name"), ["component", "carrier", "name"])
-    named = rows.select(*keys).where(F.col("name").isNotNull()).distinct()
-    by_place = _by_region(rows.drop("name"), items).join(named, keys, "left_anti")
-    return by_name.drop("region").unionByName(by_place, allowMissingColumns=True)
+    joined = salted_join(places, rows, ["component", "carrier", "region"])
+    return joined if keep else joined.drop("region")
 
 
 def _folded(rows: DataFrame, keys: Sequence[str], fold: Mapping[str, Column] | None) -> DataFrame:
@@ -55,6 +44,30 @@ def _folded(rows: DataFrame, keys: Sequence[str], fold: Mapping[str, Column] | N
     return rows.groupBy(*keys, "aggregation", "snapshot").agg(*[c.alias(name) for name, c in fold.items()])
 
 
+def match_generator(facts: DataFrame, items: DataFrame, fold: Mapping[str, Column] | None = None) -> DataFrame:
+    """Facts by item name; an item no fact names falls back to its province. Facts without names match nothing.
+
+    Every fact of a province meets every item that falls back to it. With `fold` (name -> aggregate of fact columns, such
+    as a count, sum or maximum) the facts of a key and snapshot are aggregated before items multiply them, and an item
+    has one row per attribute and snapshot; whoever groups further combines these.
+    """
+    if "name" not in facts.columns:
+        none = match_province(facts, items).limit(0)
+        return _folded(none, ["component", "carrier", "name", "attribute"], fold)
+    rows = facts.where(F.col("aggregation") == "generator")
+    name_key, place_key = ["component", "carrier", "name"], ["component", "carrier", "region"]
+    by_name = _folded(rows, [*name_key, "attribute"], fold).join(items.select(*name_key), name_key)
+    by_name = by_name.drop("region")
+    # Which items fall back is settled per item and attribute, before their facts multiply the rows.
+    mark = F.coalesce(F.concat(F.lit("="), F.col("attribute")), F.lit("")).alias("_mark")  # a missing attribute is one too
+    offered = rows.select(*place_key, "attribute", mark).distinct()
+    named = rows.select("component", "attribute", "carrier", "name").where(F.col("name").isNotNull()).distinct()
+    open_items = _by_region(offered, items, keep=True).join(named, ["component", "attribute", "carrier", "name"], "left_anti")
+    placed = _folded(rows.drop("name"), [*place_key, "attribute"], fold).withColumn("_mark", mark)
+    by_place = salted_join(open_items.drop("attribute"), placed, [*place_key, "_mark"]).drop("region", "_mark")
+    return by_name.unionByName(by_place, allowMissingColumns=True)
+
+
 def matched(
     facts: DataFrame, items: DataFrame, national_region: str, mode: str = "replace", fold: Mapping[str, Column] | None = None
 ) -> DataFrame:
@@ -62,7 +75,7 @@ def matched(
 
     `replace`: per attribute the last level that matches anything supplies all values. `merge`: per item
     and attribute the closest level that matches it does (generator, then province, then national).
-    With `fold` (name -> aggregate of fact columns) the facts of a key and snapshot are aggregated before items multiply them.
+    With `fold` the aggregates of `match_generator` stand for the value.
     """
     keyed = keyed_facts(facts, national_region)
     chosen = assigned(keyed, items, mode)
@@ -147,9 +160,13 @@ def normalized_facts(facts: DataFrame) -> DataFrame:
     return active.withColumnRenamed("components", "component") if "components" in active.columns else active
 
 
-def duplicate_facts(rows: DataFrame, keys: Sequence[str], period: Callable = month_start) -> DataFrame:
-    """Key and period pairs with more than one value; these cannot be laid over the snapshots."""
-    return _by_period(rows, keys, period).where(F.col("n") > 1).drop("value")
+def duplicate_facts(rows: DataFrame, keys: Sequence[str], period: Callable = month_start, counts: str | None = None) -> DataFrame:
+    """Key and period pairs with more than one value; these cannot be laid over the snapshots.
+
+    `counts` names the column of folded rows that says how many facts a row stands for.
+    """
+    n = F.count(F.lit(1)) if counts is None else F.sum(counts)
+    return rows.groupBy(*keys, period(F.col("snapshot")).alias("period")).agg(n.alias("n")).where(F.col("n") > 1)
 
 
 def _by_period(rows: DataFrame, keys: Sequence[str], period: Callable) -> DataFrame:
