@@ -152,3 +152,11 @@ def test_salted_left_join_keeps_unmatched_and_keyless_rows(spark, as_rows):
     plain = as_rows(left.join(right, "k", "left"), "k", "id", "w")
     for hot_rows in (20, 1000):
         assert as_rows(scans.salted_join(left, right, ["k"], hot_rows, "left"), "k", "id", "w") == plain
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_no_fill_walks_the_rest_of_its_group_for_every_row(spark, backward):
+    """A window frame that ends with the group is evaluated anew for each row: quadratic in the rows of a group."""
+    _, df = skewed(spark, 50)
+    plan = scans.filled(df, ["k"], ROW_ID, "v", backward)._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
