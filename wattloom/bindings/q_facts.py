@@ -47,8 +47,9 @@ def _match_province(t):
     digits=2,
 )
 def _match_generator_fallback(t):
-    rows = facts.match_generator(t["f_named_facts"], t[_ITEMS])
-    return rows.groupBy("name", "snapshot").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"))
+    fold = {"n": F.count(F.lit(1)), "value": F.max("value")}
+    rows = facts.match_generator(t["f_named_facts"], t[_ITEMS], fold)
+    return rows.groupBy("name", "snapshot").agg(F.sum("n").alias("n"), F.max("value").alias("value"))
 
 
 @query(
