@@ -160,3 +160,14 @@ def test_no_fill_walks_the_rest_of_its_group_for_every_row(spark, backward):
     _, df = skewed(spark, 50)
     plan = scans.filled(df, ["k"], ROW_ID, "v", backward)._jdf.queryExecution().executedPlan().toString().lower()
     assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
+def test_trimmed_window_of_large_groups_sends_no_row_per_window(spark):
+    """Extremes of any size leave the mean of the rest as it is, and rows are not copied to the years around them."""
+    values = [float("inf"), 1e300, -1e300, float("-inf"), *[float(i % 10) for i in range(200)]]
+    data = [(i, "g", 2000 + i % 5, v) for i, v in enumerate(values)] + [(900, "g", 2002, None), (901, "g", 2009, None), (902, None, 2002, None)]
+    df = spark.createDataFrame(data, f"{ROW_ID} bigint, g string, year int, v double").repartition(3)
+    out = impute.fill_recent(df, "v", ["g"], "mean", False, 4, "year", 2, list_rows=10)
+    got = {r[ROW_ID]: r["v"] for r in out.where(f"{ROW_ID} >= 900").collect()}
+    assert got[900] == pytest.approx(4.5) and got[901] is None and got[902] is None
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString().replace("explode(sequence(0, coalesce", "")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..model import ROW_ID, scalar
@@ -121,7 +122,8 @@ def fill_recent(
         usual, hot = split_by_size(rows, names, list_rows)
         fills = _window_lists(usual, names, half, how, trim)
         if hot is not None:
-            fills = fills.unionByName(_window_ranks(hot, names, half, how, trim))
+            bounded = how == "mean" and trim <= LIST_ROWS
+            fills = fills.unionByName(_window_trims(hot, names, half, trim) if bounded else _window_ranks(hot, names, half, how, trim))
     if keys:
         return _with_fill(df, target, [*keys, year], fills.withColumnRenamed("_year", year), non_negative)
     return _with_fill(df, target, [year], fills.select(F.col("_year").alias(year), "_fill"), non_negative)
@@ -152,6 +154,79 @@ def _window_lists(rows: DataFrame, names: Sequence[str], half: int, how: str, tr
     return out.select(*names, "_year", mean.alias("_fill"))
 
 
+# Rows of a task that are summarised together.
+_SUMMARY_ROWS = 1 << 20
+
+
+def _ends(table: pa.Table, keys: Sequence[str], trim: int) -> pa.RecordBatch:
+    """Per key the `trim` smallest and largest values, and the sum and number of the others; of few values all are kept."""
+    code = np.zeros(len(table), np.int64)
+    for key in keys:
+        found = table.column(key).combine_chunks().dictionary_encode()
+        # Numbered anew after each column, so that the codes stay below the number of rows.
+        code = np.unique(code * len(found.dictionary) + found.indices.to_numpy(), return_inverse=True)[1]
+    v = table.column("_v").to_numpy()
+    order = np.lexsort((v, code))
+    v, code = v[order], code[order]
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    sizes = np.diff(np.r_[starts, len(v)])
+    rank, size = np.arange(len(v)) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    edge = (rank < trim) | (rank >= size - trim)
+    offsets = np.r_[0, np.cumsum(np.add.reduceat(edge, starts, dtype=np.int64))].astype(np.int32)
+    first = pa.array(order[starts])
+    return pa.RecordBatch.from_arrays(
+        [
+            *(table.column(key).combine_chunks().take(first) for key in keys),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(v[edge])),
+            pa.array(np.add.reduceat(np.where(edge, 0.0, v), starts)), pa.array(np.maximum(sizes - 2 * trim, 0)),
+        ],
+        names=[*keys, "_edges", "_rest", "_n"],
+    )
+
+
+def _window_trims(rows: DataFrame, names: Sequence[str], half: int, trim: int) -> DataFrame:
+    """Means without the extremes for groups too large to hold: tasks send the extremes of a year and the sum of the rest.
+
+    What is not among the extremes of its own rows is not among those of a window around them, so no row meets a window.
+    """
+    keys = [*names, "_year"]
+    known = rows.where(F.col("_v").isNotNull()).select(*keys, F.col("_v").cast("double").alias("_v"))
+
+    def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+            if sum(map(len, held)) >= _SUMMARY_ROWS:
+                yield _ends(pa.Table.from_batches(held), keys, trim)
+                held = []
+        if held:
+            yield _ends(pa.Table.from_batches(held), keys, trim)
+
+    schema = T.StructType([*(known.schema[k] for k in keys), *T._parse_datatype_string("_edges array<double>, _rest double, _n bigint").fields])
+    parts = known.mapInArrow(summarised, schema).groupBy(*keys).agg(
+        F.array_sort(F.flatten(F.collect_list("_edges"))).alias("_all"), F.sum("_rest").alias("_rest"), F.sum("_n").alias("_n")
+    )
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+
+    size = F.size("_all")
+    middle = F.when(size > 2 * trim, F.slice("_all", F.lit(trim + 1), size - 2 * trim)).otherwise(F.array().cast("array<double>"))
+    ends = F.when(size > 2 * trim, F.concat(F.slice("_all", 1, trim), F.slice("_all", -trim, trim))).otherwise(F.col("_all"))
+    years = parts.select(*keys, ends.alias("_edges"), (F.col("_rest") + total(middle)).alias("_rest"), (F.col("_n") + size).alias("_n"))
+    # A year without a known value is a year to fill as well.
+    years = rows.select(*keys).distinct().join(years, keys, "left")
+    w = _range(names, half)
+    near = years.select(
+        *keys, F.array_sort(F.flatten(F.collect_list("_edges").over(w))).alias("_edges"), F.sum("_rest").over(w).alias("_rest"), F.sum("_n").over(w).alias("_n")
+    ).where(F.col("_n") > 0)
+    n, size = F.col("_n"), F.size("_edges")
+    kept = F.when(n > 2 * trim, F.slice("_edges", F.lit(trim + 1), size - 2 * trim)).otherwise(F.col("_edges"))
+    count = F.when(n > 2 * trim, n - 2 * trim).otherwise(n)
+    return near.select(*keys, ((F.col("_rest") + total(kept)) / count).alias("_fill"))
+
+
 def _window_ranks(rows: DataFrame, names: Sequence[str], half: int, how: str, trim: int) -> DataFrame:
     """The same for groups too large to hold: only years that need a fill unfold, and nothing is gathered."""
     needed = rows.where(F.col("_v").isNull()).select(*names, "_year").distinct()
