@@ -4,7 +4,9 @@ import csv
 import io
 import random
 from contextlib import contextmanager
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +191,54 @@ def test_wide_blocks_round_trip(spark, tmp_path):
     assert sorted(r["count"] for r in slots.groupBy("block").count().collect()) == [3, 8, 8, 8, 8]
     back = tables.read_wide_series(spark, str(tmp_path / "w"), "a", "b", parts=True).select("name", "snapshot", "value")
     assert back.count() == 700 and back.exceptAll(rows).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_lines_join_alike_in_any_batches(monkeypatch, size):
+    """Records of any length in batches of any size, with and without those of one line, over two splits and a gap."""
+    monkeypatch.setattr(records, "_HELD_LINES", 6)
+    rows, want = [], {}
+    for block, lengths in ((0, [1, 2, 3, 1, 5, 6, 9, 2]), (90, [4, 1])):
+        at = 0
+        for n in lengths:
+            start = at
+            for k in range(n):
+                rows.append(("p", block, start, block, at, b"%d" % at, k > 0, k < n - 1))
+                at += 1
+            want["p", block, start] = b"\n".join(b"%d" % i for i in range(start, at))
+        at += 1
+    rows.append(("q", 0, 0, 0, 0, b"x", False, True))  # never closed
+    rows.insert(3, ("p", None, None, 7, 3, b"y", True, False))  # of a record that another task holds
+    names = ["path", "rblock", "rstart", "block", "at", "line", "inside", "after"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_()]
+
+    def joined(some):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some[i : i + size]), kinds)], names=names) for i in range(0, len(some), size)]
+        return [r for b in records._joined_lines(iter(batches)) for r in b.to_pylist()]
+
+    found = joined(rows)
+    done = {(r["path"], r["rblock"], r["rstart"]): r["line"] for r in found if r["done"]}
+    several = [r for r in joined([r for r in rows if r[6] or r[7]]) if not r["done"]]
+    assert sorted(r["line"] for r in several) == sorted(r["line"] for r in found if not r["done"])
+    parts = {}
+    for r in several:
+        parts.setdefault((r["path"], r["rblock"], r["rstart"]), []).append((r["at"], r["line"]))
+    rest = {k: b"\n".join(x for _, x in sorted(v)) for k, v in parts.items() if k[1] is not None}
+    assert not set(done) & set(rest) and done | rest == want | {("q", 0, 0): b"x"}
+    # The record that the stray line interrupts and those of 6 lines and more are left to be brought together.
+    assert {k for k, v in want.items() if v.count(b"\n") >= 5} <= set(rest) and len(done) >= len(want) - 4
+
+
+def test_records_of_a_tree_take_no_more_disk_than_its_files_do(spark, tmp_path):
+    rows = [[str(i * 7919), f" n{i % 97}", f'said "{"ANR"[i % 3]}",\nO', "NATION "] for i in range(40_000)]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text(as_csv([["unit", "name", "remark", "province"], *rows]))
+    trees.read_tree(spark, str(tmp_path))  # the folder exists from here on
+    kept = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = sum(p.stat().st_size for p in kept.rglob("*") if p.is_file())
+    tree = trees.read_tree(spark, str(tmp_path))
+    grown = sum(p.stat().st_size for p in kept.rglob("*") if p.is_file()) - before
+    assert grown < 1.5 * sum(p.stat().st_size for p in tmp_path.glob("*.csv"))
+    assert tree.rows.count() == 80_000 and tree.rows.where("cells[2] = 'said \"N\",\nO'").count() == 26_666
+    plan = records.records(records.scanned_lines(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan  # lines are not dealt to meet their split

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions import temporal
 from ..model import COMPONENTS, ROW_ID, Network, nan_to_null, with_row_id
 from ..operators import series as series_ops
-from ..session import checkpointed, written
+from ..session import checkpointed, packed, written
 from . import records, trees
 
 # Encodings a conversion of Korean files tries, in order.
@@ -98,7 +98,7 @@ def _record_cells(spark: SparkSession, path: str | Sequence[str], encoding: str
     else:
         named = checkpointed(records.file_encodings(lines, "line", encoding))
     found = records.decoded(records.records(lines), "record", named).select("path", trees.place().alias("place"), "record")
-    found = checkpointed(found)
+    found = packed(found)
     first = found.groupBy("path").agg(F.min("place").alias("first"), F.min_by("record", "place").alias("header"))
     # One row per file.
     first = first.withColumn("file", F.row_number().over(W.orderBy("path")) - 1)
@@ -108,7 +108,8 @@ def _record_cells(spark: SparkSession, path: str | Sequence[str], encoding: str
         return None
     names = _header(head["header"])
     kind = T.StructType([T.StructField(n, _S) for n in names]).toDDL()
-    rows = found.join(first, F.col("path") == F.col("_path")).where(F.col("place") > F.col("first"))
+    # One row per file, as many as the driver lists to read them, hence the hint.
+    rows = found.join(F.broadcast(first), F.col("path") == F.col("_path")).where(F.col("place") > F.col("first"))
     cells = F.from_csv("record", F.lit(kind), {"ignoreLeadingWhiteSpace": "false", "maxCharsPerColumn": "-1"})
     rows = rows.select(cells.alias("c"), (F.shiftleft(F.col("file").cast("bigint"), 47) + F.col("place")).alias(ROW_ID))
     return names, written(rows.select(*[F.col(f"c.`{n}`") for n in names], ROW_ID), "cells")
@@ -249,7 +250,7 @@ def read_wide_series(
     found = records.decoded(records.records(lines), "record", named)
     table = F.regexp_replace("path", "/[^/]*$", "") if parts else F.col("path")
     place = F.struct("path", trees.place().alias("place")).alias("place")
-    found = checkpointed(found.select(table.alias("table"), place, records.cells(F.col("record")).alias("cells")))
+    found = packed(found.select(table.alias("table"), place, records.cells(F.col("record")).alias("cells")))
     first = found.groupBy("table").agg(F.min("place").alias("place"))
     heads = found.join(first, ["table", "place"], "left_semi").select("table", F.posexplode("cells").alias("pos", "name"))
     heads = heads.withColumn("name", F.trim(F.coalesce("name", F.lit(""))))
